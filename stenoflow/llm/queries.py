@@ -8,7 +8,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chars, packing, splitting, tokens, truncation, turns
+from . import chars, language, packing, personal, splitting, tokens, truncation, turns
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (tab, rec_key, lang, text) of segments and documents."""
+    segments = table(spark, sf_dir, "segment").select(F.lit("segment").alias("tab"), F.concat_ws("/", "meeting_id", "seg_idx").alias("rec_key"), "lang", "text")
+    return segments.unionByName(table(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("rec_key"), "lang", "text"))
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    return language.identify(rows, language.train(language.sample(rows)))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.cases(_identified(spark, sf_dir)).select("tab", "rec_key", "lang")
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's languages, stretch by stretch, with their confidence."""
+    return _identified(spark, sf_dir).distinct()
+
+
+def _private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.concat_ws("/", "meeting_id", "part_idx", "item_idx")
+    return (
+        personal.keyed(table(spark, sf_dir, "segment"), "segment", F.concat_ws("/", "meeting_id", "seg_idx"), "text")
+        .unionByName(personal.keyed(table(spark, sf_dir, "decision"), "decision", item, "evidence_quote"))
+        .unionByName(personal.keyed(table(spark, sf_dir, "action_item"), "action_item", item, "owner"))
+    )
+
+
+def _names(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    people = table(spark, sf_dir, "participant")
+    common = table(spark, sf_dir, "lexicon").select(F.col("word").alias("word")).unionByName(people.where("role is not null").select(F.explode(F.split("role", " ")).alias("word")))
+    return personal.names(rows.select("text"), people, common.where("word is not null").distinct())
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _private_texts(spark, sf_dir)
+    found = personal.found_kinds(rows, _names(spark, sf_dir, rows))
+    return found.select(F.substring_index("rec_key", "|", 1).alias("tab"), F.substring_index("rec_key", "|", -1).alias("rec_key"), "kind")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders, one row for each distinct (record, text)."""
+    rows = _private_texts(spark, sf_dir)
+    done = personal.redacted(rows, _names(spark, sf_dir, rows)).distinct()
+    return done.select(F.substring_index("rec_key", "|", 1).alias("tab"), F.substring_index("rec_key", "|", -1).alias("rec_key"), "clean_text", "kinds")
+
+
+def p3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms next to protected entities, with how strongly they disclose one."""
+    rows = _private_texts(spark, sf_dir)
+    return personal.disclosing_terms(rows.select("text"), personal.seed_names(table(spark, sf_dir, "participant")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +121,7 @@ def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_pieces, p6_found, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates, p9_limits)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_turns, p3_found, p3_redacted, p3_disclosure, p4_found, p4_pieces, p6_found, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE: dict[str, str] = {
