@@ -36,10 +36,13 @@ _NAMES = {
 CODES = {name: lang for lang, names in _NAMES.items() for name in names.split()}
 
 #: Bound of the training sample: labelled rows for each label and table, and windows of words for each language.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 4000, 4000
+SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 6000
 WINDOW = 7
 DIMENSION = 1 << 17
-EPOCHS = 5
+EPOCHS = 10
+BATCH = 64
+#: Weight of a language's share of the sample against the words' margins.
+PRIOR = 0.5
 #: Words in a row that a stretch needs: up to three borrowed words do not make a text mixed.
 LEAST_STRETCH = 4
 #: Texts with fewer words are not judged.
@@ -52,7 +55,8 @@ _SPOKEN = re.compile(r"[^\W_]+(?:['’.,\-/:][^\W_]+)*")
 _MARKUP = re.compile(r"<[^<>]{1,60}>|\"[A-Za-z_]{1,20}\"\s*:|https?://\S+|\b(?:[\[(<]?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?[\])>]?(?:\s*-->)?|\d{1,3}m\d{2}s)")
 _NOISE = re.compile(r"\[[^\W\d_][^\[\]]{0,30}\]|\(\(?[^\W\d_A-ZА-ЯĂÂÎȘȚ][^\W\d_A-ZА-ЯĂÂÎȘȚ \-]{0,25}\)\)?|\{\w[\w ]{0,20}\}|~\w[\w ]{0,20}~|\*\w[\w ]{0,20}\*|♪")
 _LABELS = re.compile(r"(?:^|(?<=\n))\s*\[?(?:s|spk|speaker|vorb|vorbitor|говорящий|спикер)[\s._\-]*\d{1,4}\s*(?:\]:?|:|[\-–—](?=\s))", re.I)
-_UH = re.compile(rf"(?<![\w\-]){HESITATION}(?![\w\-])", re.I)
+_UH = re.compile(HESITATION, re.I)
+_DIGIT = re.compile(r"\d")
 
 
 def label_language(label: Column) -> Column:
@@ -66,14 +70,29 @@ def label_language(label: Column) -> Column:
 
 
 def spoken_text(text: str) -> str:
-    """The text without markup, time stamps, labels, sounds, addresses and numbers of any kind."""
+    """The text without markup, time stamps, labels, annotations, addresses and numbers of any kind."""
     text = chars.consistent(text)
-    if not text.isalpha():
-        text = _LABELS.sub(" ", _MARKUP.sub(" ", text))
-        text = _LABELS.sub(" ", _NOISE.sub(" ", text))
-        for s, e, _ in reversed(personal.structured(text)):
-            text = text[:s] + " , " + text[e:]
-    return _UH.sub(" ", text)
+    digits = _DIGIT.search(text) is not None
+    if digits or "<" in text or '"' in text or "://" in text:
+        text = _MARKUP.sub(" ", text)
+    if digits:
+        text = _LABELS.sub(" ", text)
+    if "[" in text or "(" in text or "{" in text or "*" in text or "~" in text or "♪" in text:
+        text = _NOISE.sub(" ", text)
+        if digits:
+            text = _LABELS.sub(" ", text)
+    for s, e, _ in reversed(personal.structured(text)):
+        text = text[:s] + " , " + text[e:]
+    return text
+
+
+def _words_of(text: str) -> list[str]:
+    """The words of a text, in small letters, without hesitation sounds; of a word said over and over, one."""
+    out: list[str] = []
+    for w in _WORD.findall(text.lower()):
+        if not (out and out[-1] == w) and not (w[0] in "ăâîhmueэмхaа" and _UH.fullmatch(w)):
+            out.append(w)
+    return out
 
 
 # ---- features
@@ -114,7 +133,7 @@ def _bare(word: str) -> str:
 
 
 def _windows(text: str) -> list[tuple[str, ...]]:
-    words = [w for w in _WORD.findall(spoken_text(text).lower()) if len(w) < 30]
+    words = [w for w in _words_of(spoken_text(text)) if len(w) < 30]
     return [tuple(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW) if len(words[i : i + WINDOW]) >= 3]
 
 
@@ -123,56 +142,68 @@ def _agree(windows: list[tuple[tuple[str, ...], str]], rounds: int = 5) -> list[
 
     A wrong label or a text in two languages gives its words to a language where they are rare against their own.
     """
+    if not windows:
+        return windows
+    place: dict[str, int] = {}
+    known: dict[str, int] = {}  # words as they stand, so that each is stripped once
+    ids = []
+    for words, _ in windows:
+        for w in words:
+            if w not in known:
+                known[w] = place.setdefault(_bare(w), len(place))
+            ids.append(known[w])
+    index = np.array(ids)
+    lengths = np.array([len(words) for words, _ in windows])
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    labels = np.array([LANGS.index(lang) for _, lang in windows])
     for _ in range(rounds):
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for words, lang in windows:
-            counts[lang].update(map(_bare, words))
-        totals = {lang: sum(c.values()) for lang, c in counts.items()}
-        vocabulary = len({w for c in counts.values() for w in c})
-        score = {}
-        for w in {w for c in counts.values() for w in c}:
-            score[w] = {lang: math.log((c[w] + 0.05) / (totals[lang] + 0.05 * vocabulary)) for lang, c in counts.items()}
+        counts = np.zeros((len(place), len(LANGS)))
+        np.add.at(counts, (index, np.repeat(labels, lengths)), 1)
+        score = np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * len(place)))
         # the share of windows counts: else a rare label that is mostly wrong would keep words of a common language
-        share = {x: math.log(n / len(windows)) for x, n in Counter(lang for _, lang in windows).items()}
-        moved = []
-        for words, lang in windows:
-            by = {x: share[x] + sum(score[_bare(w)][x] for w in words) for x in counts}
-            best = max(by, key=by.get)
-            moved.append((words, best))
-        if moved == windows:
+        share = np.bincount(labels, minlength=len(LANGS)) / len(labels)
+        with np.errstate(divide="ignore"):
+            moved = (np.add.reduceat(score[index], starts) + np.log(share)).argmax(axis=1)
+        if (moved == labels).all():
             break
-        windows = moved
-    return windows
+        labels = moved
+    return [(words, LANGS[i]) for (words, _), i in zip(windows, labels)]
 
 
 def _svm(rows: list[np.ndarray], signs: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS, strength: float = 1e-5) -> np.ndarray:
-    """A linear support vector machine by averaged stochastic subgradients of the hinge loss."""
-    w, total, steps, scale = np.zeros(DIMENSION), np.zeros(DIMENSION), 0, 1.0
-    weight = {s: len(signs) / (2 * max(1, (signs == s).sum())) for s in (-1.0, 1.0)}
+    """A linear support vector machine by stochastic subgradients of the hinge loss over small batches, averaged over epochs."""
+    w, total = np.zeros(DIMENSION), np.zeros(DIMENSION)
+    lengths = np.array([len(x) for x in rows])
+    weight = np.where(signs > 0, len(signs) / (2 * max(1, (signs > 0).sum())), len(signs) / (2 * max(1, (signs < 0).sum())))
+    weight = np.minimum(weight, 4.0)
     for epoch in range(epochs):
         rate = 0.5 / (1 + epoch)
-        for i in rng.permutation(len(rows)):
-            x, s = rows[i], signs[i]
-            if s * w[x].sum() * scale / len(x) ** 0.5 < 1:
-                np.add.at(w, x, rate * min(4.0, weight[s]) * s / len(x) ** 0.5 / scale)
-            scale *= 1 - rate * strength
-        total += w * scale
-        steps += 1
-    return total / steps
+        order = rng.permutation(len(rows))
+        for i in range(0, len(order), BATCH):
+            batch = order[i : i + BATCH]
+            n = lengths[batch]
+            index = np.concatenate([rows[j] for j in batch])
+            scale = 1 / np.sqrt(n)
+            margin = np.add.reduceat(w[index], np.concatenate(([0], np.cumsum(n)[:-1]))) * scale
+            step = np.where(signs[batch] * margin < 1, signs[batch] * weight[batch] * scale * rate, 0.0)
+            w *= (1 - rate * strength) ** len(batch)
+            np.add.at(w, index, np.repeat(step, n))
+        total += w
+    return total / epochs
 
 
 class Model:
     """Weights of three family classifiers and three one-versus-one machines."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: np.ndarray, prior: tuple[float, ...] = (0.0,) * 6):
+        self.weights, self.prior = weights, prior
         self.seen: dict[str, tuple[tuple[float, ...], int]] = {}
 
     def __getstate__(self):
-        return self.weights
+        return self.weights, self.prior
 
-    def __setstate__(self, weights):
-        self.weights, self.seen = weights, {}
+    def __setstate__(self, state):
+        (self.weights, self.prior), self.seen = state, {}
 
     def word(self, word: str) -> tuple[tuple[float, ...], int]:
         """The word's score for each of LANGS, and the best of them: the family's margin, then that within it, each within [-1.5, 1.5]."""
@@ -196,6 +227,8 @@ def train(labelled: list[tuple[str, str, str]], seed: int = 7) -> Model:
         if tab == "documents" or lang in ("ro", "ru", "en"):
             windows += [(w, lang) for w in _windows(text)]
     windows = _agree(windows)
+    share = Counter(lang for _, lang in windows)
+    prior = tuple(PRIOR * math.log((share[x] + 1) / (len(windows) + len(LANGS))) for x in LANGS)
     by: dict[str, list] = defaultdict(list)
     for words, lang in sorted(set(windows)):
         by[lang].append(words)
@@ -230,7 +263,7 @@ def train(labelled: list[tuple[str, str, str]], seed: int = 7) -> Model:
             weights[3 + f] = _svm([rows[i] for i in own], np.array([1.0 if langs[i] == a else -1.0 for i in own]), rng)
         elif own:  # the sample knows only one language of this family
             weights[3 + f, :] = 0.05 if langs[own[0]] == a else -0.05
-    return Model(weights.astype(np.float32))
+    return Model(weights.astype(np.float32), prior)
 
 
 def sample(rows: DataFrame, bound: int = SAMPLE_ROWS) -> list[tuple[str, str, str]]:
@@ -242,7 +275,7 @@ def sample(rows: DataFrame, bound: int = SAMPLE_ROWS) -> list[tuple[str, str, st
     part = F.create_map(*[F.lit(x) for (tab, lang), n in counts.items() for x in (f"{tab}|{lang}", min(1.0, bound / n))])
     # a sample row is text to learn from: of very long ones a part is enough, here and only here
     chosen = named.where(F.pmod(F.xxhash64("rec_key"), F.lit(1_000_000)) < F.element_at(part, F.concat_ws("|", "tab", "lang")) * 1_000_000)
-    got = chosen.select("tab", "lang", F.substring("text", 1, 1500).alias("text")).collect()
+    got = chosen.select("tab", "lang", F.substring("text", 1, 600).alias("text")).collect()
     return sorted((r["tab"], r["lang"], r["text"]) for r in got)
 
 
@@ -258,13 +291,15 @@ def stretches(model: Model, text: str | None) -> tuple[int, list[tuple[int, int,
     if not text:
         return 0, []
     clean = spoken_text(text)
-    words = [w.lower() for w in _WORD.findall(clean)]
-    spoken = len(_SPOKEN.findall(clean))
+    words = _words_of(clean)
+    spoken = len(words)
+    if spoken < LEAST_WORDS:  # numbers are spoken too
+        spoken = sum(not _UH.fullmatch(w) for w in _SPOKEN.findall(clean))
     if not words:
         return spoken, []
     known = [model.word(w) for w in words]
     scores = [k[0] for k in known]
-    totals = [sum(x) for x in zip(*scores)]
+    totals = [p + sum(x) for p, x in zip(model.prior, zip(*scores))]
     main = totals.index(max(totals))
     # a stretch in another language needs words that are best in it
     votes = Counter(k[1] for k in known)
@@ -272,13 +307,13 @@ def stretches(model: Model, text: str | None) -> tuple[int, list[tuple[int, int,
         return spoken, [(0, len(words), LANGS[main], _confidence(totals, main, len(words)))]
     at_best = {x for x, n in votes.items() if n >= LEAST_STRETCH} | {main}
     langs = sorted(at_best)
-    best = {x: 0.0 for x in langs}
+    best = {x: model.prior[x] for x in langs}
     back: list[dict[int, int]] = []
     for s in scores:
         top = max(langs, key=best.__getitem__)
         step, frm = {}, {}
         for x in langs:
-            stay, move = best[x], best[top] - SWITCH
+            stay, move = best[x], best[top] - SWITCH + model.prior[x]
             step[x], frm[x] = (stay, x) if stay >= move else (move, top)
             step[x] += s[x]
         back.append(frm)
