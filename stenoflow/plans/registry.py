@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intervals
+from . import intervals, sequences
 
-_MODULES = (intervals,)
+_MODULES = (intervals, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
