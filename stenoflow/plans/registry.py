@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intervals, sequences
+from . import aggregates, documents, intervals, joins, ranking, sequences, texts
 
-_MODULES = (intervals, sequences)
+_MODULES = (intervals, sequences, texts, aggregates, joins, ranking, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
