@@ -139,7 +139,7 @@ def consistent(text: str | None) -> str | None:
     if not _PLAIN.match(text):
         text = unicodedata.normalize("NFC", text.translate(_TABLE))
     if _OTHERS.search(text) and _LATINS.search(text):
-        text = _alike(text)
+        text = unicodedata.normalize("NFC", _alike(text))
     return text
 
 
