@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import table
+from ..sinks.office import docx_files
 from .base import ACT, DEC, Registry, items
 
 query = Registry()
@@ -98,4 +99,10 @@ def q_minutes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("meeting_id").agg(F.to_json(F.transform(ordered, lambda r: F.struct(r["decision"].alias("decision"), r["seconds"].alias("seconds")))).alias("minutes"))
 
 
+@query()
+def q_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the minutes as word-processor files, with their size."""
+    return docx_files(q_markdown(spark, sf_dir)).select("meeting_id", F.length("docx").alias("bytes"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

@@ -83,3 +83,16 @@ def test_speakers(spark):
     df = spark.createDataFrame([("m", i, s, t) for i, (s, t) in enumerate(rows)], "meeting_id string, i long, speaker string, text string").withColumn("name", F.lit("clash")).withColumn("__key", F.lit(1))
     got = {r["i"]: r["speaker_id"] for r in resolve_speakers(df.drop("__key"), people).collect()}
     assert [got[i] for i in range(len(rows))] == ["S1", "S3", "S0", "S2", "S1", "S?", "S2", "S4", "S5", "S?", "S?", "S?", "S?"]
+
+
+def test_checks(spark):
+    from stenoflow.functions import checks
+
+    df = spark.createDataFrame([("10.1.2.3",), ("11.0.0.1",), ("mail.local",), ("evil.example",), (None,), ("300.1.1.1",)], "h string")
+    got = [r[0] for r in df.select(checks.allowed(F.col("h"), ["mail.local"], ["10.0.0.0/8", "192.168.0.0/16"])).collect()]
+    assert got == [True, False, True, False, True, False]
+    frames = spark.createDataFrame([([1.0, -1.0], [0.1, -0.1], 10.0), ([], [], 0.0)], "s array<double>, n array<double>, snr double")
+    rows = frames.select(checks.level_db(F.col("s")), checks.noise_gain(F.col("s"), F.col("n"), F.col("snr"))).collect()
+    assert abs(rows[0][0]) < 1e-6 and abs(rows[0][1] - 10**0.5) < 1e-6 and rows[1][0] == -99
+    texts = spark.createDataFrame([("TA 185/95 apoi 120/80 și 80/50",), (None,)], "t string")
+    assert [r[0] for r in texts.select(checks.pressure_alerts(F.col("t"))).collect()] == [["185/95", "80/50"], None]

@@ -101,3 +101,15 @@ def test_stage_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["stage"]: (r["status"], r["seconds"]) for r in spark.table("stages").collect()}
     assert got == {"asr": ("done", 4.0), "llm": ("error", None)}
+
+
+def test_docx():
+    import io
+    import zipfile
+
+    from stenoflow.sinks.office import docx
+
+    made = docx([("Titlu & <altul>", True), ("rând\x00", False)])
+    text = zipfile.ZipFile(io.BytesIO(made)).read("word/document.xml").decode()
+    assert "Titlu &amp; &lt;altul&gt;" in text and "<w:b/>" in text and "\x00" not in text
+    assert made == docx([("Titlu & <altul>", True), ("rând\x00", False)])
