@@ -47,7 +47,11 @@ def _encode_words(path: str):
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "__h", F.posexplode(F.regexp_extract_all("text", F.lit(SPLIT), 0)).alias("pos", "word"))
+    return docs.select("__d", "__h", F.posexplode(F.regexp_extract_all("text", F.lit(SPLIT), 0)).alias("pos", "word"))
+
+
+def _gather(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("__d", "__h").agg(F.collect_list(F.struct("pos", "ids")).alias(name))
 
 
 def encode(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer: str = "byte_bpe_50k") -> DataFrame:
@@ -55,23 +59,32 @@ def encode(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer:
 
     Null and empty texts give an empty list; a repeated row counts once; a doc_id with two texts gives a row for each. Other columns are
     ignored. Strings of special tokens inside a text are ordinary text.
+
+    The texts are partitioned by document once. Words in the frequent part of the table get their ids by broadcast and are gathered where
+    they are; only words in the rare part are shuffled, to their entry and back to their document.
     """
     path = f"{tokenizer_dir}/{tokenizer}.json"
-    docs = documents.select("doc_id", "text").withColumn("__h", F.xxhash64("text"))
+    docs = documents.select("doc_id", "text")
     empty = docs.where("text is null or text = ''").select("doc_id").distinct().select("doc_id", F.array().cast("array<int>").alias("ids"))
     full = docs.where("text is not null and text != ''")
+    full = full.withColumn("__d", F.coalesce("doc_id", F.lit(0)))
+    # the last bit of the hash tells a null doc_id from 0
+    full = full.withColumn("__h", F.shiftleft(F.xxhash64("text"), 1).bitwiseOR(F.col("doc_id").isNull().cast("long")))
     counted = _words(full).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     vocabulary = cut(counted.mapInPandas(_encode_words(path), schema))
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // HOT_WORDS))
-    hot = vocabulary.where(F.col("n") >= least).select("word", F.col("ids").alias("__hot"))
-    first = _words(full).join(F.broadcast(hot), "word", "left")
-    rare = first.where("__hot is null").drop("__hot").join(vocabulary.where(F.col("n") < least).select("word", "ids"), "word")
-    found = first.where("__hot is not null").select("doc_id", "__h", "pos", F.col("__hot").alias("ids")).unionByName(rare.select("doc_id", "__h", "pos", "ids"))
-    # a row delivered twice gives every (pos, ids) twice: the set keeps one
-    gathered = found.groupBy("doc_id", "__h").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("x"))
-    return gathered.select("doc_id", F.flatten(F.transform("x", lambda p: p["ids"])).alias("ids")).unionByName(empty)
+    hot = vocabulary.where(F.col("n") >= least).select("word", "ids")
+    once = full.dropDuplicates(["__d", "__h"])
+    split = _words(once).join(F.broadcast(hot), "word", "left")
+    frequent = _gather(split.where("ids is not null"), "__frequent")
+    seldom = split.where("ids is null").drop("ids").join(vocabulary.where(F.col("n") < least).select("word", "ids"), "word")
+    rare = _gather(seldom, "__rare")
+    none = F.array().cast("array<struct<pos:int,ids:array<int>>>")
+    gathered = frequent.join(rare, ["__d", "__h"], "full").select("__d", "__h", F.array_sort(F.concat(F.coalesce("__frequent", none), F.coalesce("__rare", none))).alias("x"))
+    ids = gathered.select("__d", "__h", F.flatten(F.transform("x", lambda p: p["ids"])).alias("ids"))
+    return ids.select(F.when(F.col("__h") % 2 == 0, F.col("__d")).alias("doc_id"), "ids").unionByName(empty)
 
 
 def pieces(spark: SparkSession, tokenizer_dir: str = TOKENIZER_DIR, tokenizer: str = "byte_bpe_50k") -> DataFrame:
