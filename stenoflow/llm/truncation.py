@@ -30,6 +30,8 @@ AT_LIMIT, ELSEWHERE = 0.7, 0.25
 #: Occurrences in the corpus that a word sequence needs to be judged by.
 SUPPORT = 3
 ORDERS = (4, 3, 2, 1)
+#: Characters from the end within which the last words of a text are looked for.
+TAIL = 400
 # fixed values: words that stand for a cut in brackets at the end of a text
 _MARK = r"(?iu)[\s]*[\[(<]\s*(?:\.{2,}|…|more|cut|truncated|trunchiat|trunc|continued|cont|snip|обрезано|обрыв|далее|продолжение|suite|tronqué|gekürzt)\.{0,3}\s*[\])>]\s*$"
 _DOTS = r"\s*(?:\.{2,}|…)\s*$"
@@ -123,32 +125,41 @@ def _last_runs(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def endings(sized: DataFrame, followers: DataFrame) -> DataFrame:
-    """Rows (doc_id, source, at_limit, kind, score, order): how each non-blank text of rows (doc_id, source, text, at_limit) ends.
+def read_endings(documents: DataFrame) -> DataFrame:
+    """Distinct rows (doc_id, source, text_hash, chars, bytes, kind, runs) of the non-blank texts: how each ends, read in one pass.
 
     kind: 'mark' (a mark left by a cut, or a broken character), 'structure' (JSON or markup that is not closed), 'closed' (structure that
-    is), 'stop' (sentence or item end), 'open' (comma, colon, dash), 'closing' (closing words of the source), 'plain' (ends in a word; score
-    is the share of sentence ends after its last `order` words, -1 if the corpus does not even know the last one). Dots that a cut may have
-    left are taken off first.
+    is), 'stop' (sentence or item end), 'open' (comma, colon, dash), 'plain' (ends in a word; runs are its last words, none if it has only
+    signs). Dots that a cut may have left are taken off first.
     """
     text = F.regexp_replace("text", r"(?U)\s+$", "")
     bare = F.regexp_replace(text, _DOTS, "")
-    base = sized.where(F.col("text").rlike(r"(?U)\S")).withColumn("__dots", bare != text).withColumn("__t", F.when(bare != text, bare).otherwise(text))
+    base = documents.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), (bare != text).alias("__dots"), bare.alias("__t"))
     json_like = F.col("text").rlike(r"^\s*[{\[]\s*[\"{\[]")
     html_like = F.col("text").rlike(r"^\s*<[A-Za-z][A-Za-z0-9]*[\s>]")
     kind = (
-        F.when(F.col("text").rlike(_MARK) | F.col("__t").rlike("\ufffd\\W*$"), "mark")
+        F.when(F.right("text", F.lit(60)).rlike(_MARK) | F.right("__t", F.lit(60)).rlike("\ufffd\\W*$"), "mark")
         .when(json_like, F.when(F.try_parse_json("text").isNotNull(), "closed").otherwise("structure"))
         .when(html_like, F.when(F.col("__t").rlike(r"(?s)^\s*<([A-Za-z][A-Za-z0-9]*)[\s>].*</\1\s*>$"), "closed").otherwise("structure"))
-        .when(~F.col("__dots") & F.col("__t").rlike(r"[.!?;][\"'»”)\]*_]*$"), "stop")
-        .when(F.col("__t").rlike(r"(?U)[,:\-–—/(«„\[]$"), "open")
+        .when(~F.col("__dots") & F.right("__t", F.lit(60)).rlike(r"[.!?;][\"'»”)\]*_]*$"), "stop")
+        .when(F.right("__t", F.lit(60)).rlike(r"(?U)[,:\-–—/(«„\[]$"), "open")
         .otherwise("plain")
     )
     base = base.withColumn("kind", kind)
-    plain = base.where("kind = 'plain'").select("doc_id", "source", "at_limit", "text_hash", _last_runs(F.col("__t")).alias("runs"))
+    runs = _last_runs(F.when(F.col("kind") == "plain", F.right("__t", F.lit(TAIL))).otherwise(""))
+    return base.select("doc_id", "source", "text_hash", "chars", "bytes", "kind", runs.alias("runs")).distinct()
+
+
+def endings(read: DataFrame, followers: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, at_limit, kind, score, order) from rows of read_endings with at_limit.
+
+    kind 'closing' stands for plain endings in closing words of the source; score is the share of sentence ends after the last `order` words,
+    -1 if the corpus does not even know the last one.
+    """
+    plain = read.where("kind = 'plain'")
     asked = plain.select("doc_id", "source", "at_limit", "text_hash", F.explode("runs").alias("x")).select("doc_id", "source", "at_limit", "text_hash", "x.k", "x.h", "x.letters")
     # closing words: one of four letters or more, or two, that end many texts of a source at other lengths than its limits
-    per_source = sized.where("text is not null").groupBy("source").agg(F.count(F.lit(1)).alias("of"))
+    per_source = read.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
     closers = asked.where("k <= 2 and not at_limit and (k = 2 or letters >= 4)").groupBy("source", "h").agg(F.count(F.lit(1)).alias("times"))
     everywhere = closers.groupBy("h").agg(F.sum("times").alias("times")).crossJoin(F.broadcast(per_source.agg(F.sum("of").alias("of"))))
     everywhere = everywhere.where((F.col("times") >= CLOSINGS) & (F.col("times") >= F.col("of") * CLOSING_SHARE)).select("h", F.col("times").alias("times_all"))
@@ -166,7 +177,7 @@ def endings(sized: DataFrame, followers: DataFrame) -> DataFrame:
     score = F.when(F.col("last") < SUPPORT, F.lit(-1.0)).otherwise(F.col("s"))
     scored = scored.select("doc_id", "source", "at_limit", F.when(F.col("closing"), "closing").otherwise("plain").alias("kind"), score.alias("score"), "order")
     void = (F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("order"))
-    rest = base.where("kind != 'plain'").select("doc_id", "source", "at_limit", "kind", *void)
+    rest = read.where("kind != 'plain'").select("doc_id", "source", "at_limit", "kind", *void)
     # plain texts without a word (only signs) are complete
     none = plain.where(F.size("runs") == 0).select("doc_id", "source", "at_limit", F.lit("closed").alias("kind"), *void)
     return scored.unionByName(rest).unionByName(none)
@@ -180,11 +191,11 @@ def truncated(documents: DataFrame, near: int = NEAR, fdr: float = FDR) -> DataF
     """
     docs = documents.select("doc_id", "source", "text")
     limits = cut(length_hazards(docs, near, fdr).where("limit").select("source", "unit", "length"))
-    sized = docs.distinct().withColumn("text_hash", F.xxhash64("text")).withColumn("__c", F.length("text")).withColumn("__b", F.octet_length("text"))
+    read = read_endings(docs)
     same = lambda unit, n: F.col("x.source").eqNullSafe(F.col("l.source")) & (F.col("l.unit") == unit) & (F.col(f"x.{n}") == F.col("l.length"))
-    sized = sized.alias("x").join(limits.alias("l"), same("chars", "__c"), "left").select("x.*", F.col("l.length").isNotNull().alias("__at"))
-    sized = sized.alias("x").join(limits.alias("l"), same("bytes", "__b"), "left").select("x.*", (F.col("__at") | F.col("l.length").isNotNull()).alias("at_limit"))
-    out = endings(sized.select("doc_id", "source", "text", "text_hash", "at_limit"), cut(_followers(docs)))
+    read = read.alias("x").join(limits.alias("l"), same("chars", "chars"), "left").select("x.*", F.col("l.length").isNotNull().alias("__at"))
+    read = read.alias("x").join(limits.alias("l"), same("bytes", "bytes"), "left").select("x.*", (F.col("__at") | F.col("l.length").isNotNull()).alias("at_limit"))
+    out = endings(cut(read.drop("__at")), cut(_followers(docs)))
     least = F.when(F.col("at_limit"), F.lit(AT_LIMIT)).otherwise(F.lit(ELSEWHERE))
     # words known only one by one are weak evidence of an end
     score = F.when(F.col("order") == 1, F.col("score") / 2).otherwise(F.col("score"))
