@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import HOT_ROWS, PIECE_ROWS, blocked, running
+
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, value: Sequence[str], tolerance: float | None = None, ahead: float = 0.0, tie: Sequence[str] = ()
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_on: str,
+    right_on: str,
+    value: Sequence[str],
+    tolerance: float | None = None,
+    ahead: float = 0.0,
+    tie: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """left with the columns `value` of right's last row with right_on <= left_on + ahead, within `tolerance` back from left_on if given.
 
-    Union and one window, so each key is sorted once and nothing is paired: O(n log n) however many rows match. Ties of right_on go to the
+    Union and one running window, so each key is sorted once and nothing is paired: O(n log n) however many rows match; hot keys are cut into
+    blocks. Ties of right_on go to the
     row that is last by `tie`. Rows of left without a match get nulls; null keys match nothing; rows of right with a null right_on are left out.
     Order columns are compared as doubles.
     """
@@ -28,9 +41,9 @@ def asof_backward(
         a, b = a.withColumn(f"__by_{k}", F.col(k)), b.withColumn(f"__by_{k}", F.col(k))
     keys = [f"__by_{k}" for k in by]
     both = a.select(*keys, "__t", "__k", "__tie", "__row", "__v").unionByName(b.select(*keys, "__t", "__k", "__tie", "__v"), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__k", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("__k") == 0, F.struct("__t", "__v")), ignorenulls=True).over(w)
-    out = both.withColumn("__hit", seen).where("__k = 1")
+    cut = blocked(both, keys, "__t", hot_rows, piece_rows)
+    hit = F.when(F.col("__k") == 0, F.struct("__t", "__v"))
+    out = running(cut, keys, [F.col("__t"), F.col("__k"), F.col("__tie")], hit, "__hit", "last").where("__k = 1")
     near: Column = F.col("__hit").isNotNull()
     for k in keys:
         near = near & F.col(k).isNotNull()
@@ -40,6 +53,5 @@ def asof_backward(
 
 
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[Column], starts: Column, name: str = "island") -> DataFrame:
-    """Number the runs of rows within `by`: a new run begins where `starts`, which may look back with lag, is true or null."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.sum(F.coalesce(starts.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Number the runs of rows within `by` from 1: a new run begins where `starts` is true or null. df has block numbers (operators.blocks)."""
+    return running(df, by, order, F.coalesce(starts.cast("int"), F.lit(1)).cast("long"), name, "sum")

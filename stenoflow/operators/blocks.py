@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,5 +110,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     )
 
 
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str, how: str, current: bool = True, block: str = BLOCK) -> DataFrame:
+    """Running 'sum', 'max' or 'last' (of non-null values) over (keys, order), hot keys included: within the block, joined with what the blocks
+    before give. `current` says whether a row sees itself. The table of blocks is as small as that of `ranked`."""
+    aggregate = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    rows = df.withColumn("__value", value)
+    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    whole = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))) if how == "last" else aggregate("__value")
+    blocks = rows.where(F.col(block) > 0).groupBy(*keys, block).agg(whole.alias("__whole"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn("__carried", aggregate("__whole").over(before)).select(*keys, block, "__carried")
+    out = rows.withColumn("__own", aggregate("__value").over(inner)).join(F.broadcast(carried), [*keys, block], "left")
+    if how == "sum":
+        both = F.when(F.col("__own").isNull() & F.col("__carried").isNull(), F.lit(None)).otherwise(F.coalesce("__own", F.lit(0)) + F.coalesce("__carried", F.lit(0)))
+    else:
+        both = F.greatest("__own", "__carried") if how == "max" else F.coalesce("__own", "__carried")
+    return out.withColumn(name, both).drop("__value", "__own", "__carried")
+
+
+def blocked(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """df with its block numbers, by bounds found in df itself."""
+    return with_block(df, hot_bounds(df.select(*keys, order), keys, order, hot_rows, piece_rows), keys, order)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import bed_number, seconds_of
 from ..operators import folds
 from ..operators.asof import asof_backward, islands
+from ..operators.blocks import blocked, neighbours, running
 from ..session import table
 from .base import ACT, DEC, SEG, Registry, items, segments
 
 query = Registry()
+_BY, _ORDER = ["meeting_id"], [F.col("start"), F.col("seg_idx")]
 
 
 @query("""
@@ -58,9 +60,8 @@ select meeting_id, cast(turn as bigint) as turn, min(who) as speaker, min("start
 def q_turns_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 without a cap: runs of one raw speaker with pauses of at most two seconds."""
     rows = segments(spark, sf_dir, "start", "end", "speaker").where(F.col("end").isNotNull()).withColumn("who", F.coalesce("speaker", F.lit("S?")))
-    w = Window.partitionBy("meeting_id").orderBy("start", "seg_idx")
-    new = ~((F.lag("who").over(w) == F.col("who")) & (F.col("start") - F.lag("end").over(w) <= 2.0))
-    runs = islands(rows.withColumn("new", F.coalesce(new, F.lit(True))), ["meeting_id"], [F.col("start"), F.col("seg_idx")], F.col("new"), "turn")
+    near = neighbours(blocked(rows, _BY, "start"), _BY, _ORDER, lag={"before": "who", "ended": "end"})
+    runs = islands(near, _BY, _ORDER, ~((F.col("before") == F.col("who")) & (F.col("start") - F.col("ended") <= 2.0)), "turn")
     return runs.groupBy("meeting_id", "turn").agg(F.min("who").alias("speaker"), F.min("start").alias("turn_start"), F.max("end").alias("turn_end"), F.count(F.lit(1)).alias("segments"), F.min("seg_idx").alias("first_seg"))
 
 
@@ -84,8 +85,7 @@ def q_chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _beds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir, "start", "text").withColumn("spoken", bed_number(F.col("text")))
-    w = Window.partitionBy("meeting_id").orderBy("start", "seg_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("bed", F.last("spoken", ignorenulls=True).over(w))
+    return running(blocked(rows, _BY, "start"), _BY, _ORDER, F.col("spoken"), "bed", "last")
 
 
 _BEDS = f"""{SEG},
@@ -95,9 +95,8 @@ i as (select *, cast(sum(c) over (partition by meeting_id order by "start", seg_
 
 
 def _bed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("meeting_id").orderBy("start", "seg_idx")
-    rows = _beds(spark, sf_dir).withColumn("new", (F.row_number().over(w) == 1) | ~F.col("bed").eqNullSafe(F.lag("bed").over(w)))
-    return islands(rows, ["meeting_id"], [F.col("start"), F.col("seg_idx")], F.col("new"))
+    near = neighbours(_beds(spark, sf_dir), _BY, _ORDER, lag={"before": "bed", "earlier": "seg_idx"})
+    return islands(near, _BY, _ORDER, F.col("earlier").isNull() | ~F.col("bed").eqNullSafe(F.col("before")))
 
 
 @query(f"with {_BEDS} select meeting_id, island, min(bed) as bed, count(*) as segments, cast(sum(length(coalesce(text, '')) + 30) as bigint) as size, min(seg_idx) as first_seg from i group by 1, 2")
@@ -118,8 +117,7 @@ def q_topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_BEDS}, m as (select *, lag(bed) over (partition by meeting_id order by \"start\", seg_idx) as before from b) select meeting_id, seg_idx, bed from m where bed is not null and bed is distinct from before")
 def q_topic_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marker where the bed spoken of changes; the last marker holds across segments that name none."""
-    w = Window.partitionBy("meeting_id").orderBy("start", "seg_idx")
-    return _beds(spark, sf_dir).withColumn("before", F.lag("bed").over(w)).where("bed is not null and not (bed <=> before)").select("meeting_id", "seg_idx", "bed")
+    return neighbours(_beds(spark, sf_dir), _BY, _ORDER, lag={"before": "bed"}).where("bed is not null and not (bed <=> before)").select("meeting_id", "seg_idx", "bed")
 
 
 @query("""
@@ -187,9 +185,9 @@ select meeting_id, cast(i as bigint) as span, min(s) as span_start, max(e) as sp
 def q_merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping or touching spans merged, by the running largest end."""
     rows = segments(spark, sf_dir, "start", "end").where(F.col("end") > F.col("start"))
-    w = Window.partitionBy("meeting_id").orderBy("start", "end", "seg_idx")
-    rows = rows.withColumn("new", F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = islands(rows, ["meeting_id"], [F.col("start"), F.col("end"), F.col("seg_idx")], F.col("new"), "span")
+    order = [F.col("start"), F.col("end"), F.col("seg_idx")]
+    reach = running(blocked(rows, _BY, "start"), _BY, order, F.col("end"), "reach", "max", current=False)
+    runs = islands(reach, _BY, order, F.col("start") > F.col("reach"), "span")
     return runs.groupBy("meeting_id", "span").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.count(F.lit(1)).alias("members"))
 
 
@@ -204,9 +202,10 @@ def q_queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {SEG} select meeting_id, seg_idx, right(lag(coalesce(text, '')) over w, 160) as before, left(lead(coalesce(text, '')) over w, 160) as after from seg window w as (partition by meeting_id order by "start", seg_idx)""")
 def q_neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 160 characters before and the first 160 after each segment."""
-    w = Window.partitionBy("meeting_id").orderBy("start", "seg_idx")
-    rows = segments(spark, sf_dir, "start", "text").withColumn("t", F.coalesce("text", F.lit("")))
-    return rows.select("meeting_id", "seg_idx", F.right(F.lag("t").over(w), F.lit(160)).alias("before"), F.left(F.lead("t").over(w), F.lit(160)).alias("after"))
+    t = F.coalesce("text", F.lit(""))
+    rows = segments(spark, sf_dir, "start", "text").select("meeting_id", "seg_idx", "start", F.right(t, F.lit(160)).alias("tail"), F.left(t, F.lit(160)).alias("head"))
+    near = neighbours(blocked(rows, _BY, "start"), _BY, _ORDER, lag={"before": "tail"}, lead={"after": "head"})
+    return near.select("meeting_id", "seg_idx", "before", "after")
 
 
 @query(f"""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stenoflow.operators.blocks import hot_bounds, neighbours, ranked, with_block
+from stenoflow.operators.blocks import hot_bounds, neighbours, ranked, running, with_block
 from stenoflow.operators.periods import periods_and_gaps
 
 
@@ -63,3 +63,23 @@ def test_rank_and_neighbours(spark):
         mine = sorted((t, i) for k, t, i in rows if k == key)
         want = {i: (n, mine[n - 2][1] if n > 1 else None, mine[n][1] if n < len(mine) else None) for n, (_, i) in enumerate(mine, 1)}
         assert {r["id"]: (r["n"], r["before"], r["after"]) for r in got if r["k"] == key} == want
+
+
+@pytest.mark.parametrize("current", [True, False])
+def test_running(spark, current):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else "cold", rng.randrange(60), i, rng.choice([None, *range(9)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long")
+    cut = with_block(df, hot_bounds(df, ["k"], "t", hot_rows=10, piece_rows=20), ["k"], "t")
+    order = [F.col("t"), F.col("id")]
+    out = cut
+    for how in ("sum", "max", "last"):
+        out = running(out, ["k"], order, F.col("v"), how, how, current)
+    got = {r["id"]: (r["sum"], r["max"], r["last"]) for r in out.collect()}
+    for key in ("hot", "cold"):
+        seen = []
+        for _, i, v in sorted(((t, i, v) for k, t, i, v in rows if k == key), key=lambda x: x[:2]):
+            now = seen + [v] if current else seen
+            known = [x for x in now if x is not None]
+            assert got[i] == ((sum(known), max(known), known[-1]) if known else (None, None, None))
+            seen = seen + [v]

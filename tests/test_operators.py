@@ -10,14 +10,15 @@ from stenoflow.operators import bestmatch, folds, vectors
 from stenoflow.operators.asof import asof_backward
 
 
+@pytest.mark.parametrize("hot", [10**9, 5])
 @pytest.mark.parametrize("tolerance", [None, 7.0])
-def test_asof(spark, tolerance):
+def test_asof(spark, tolerance, hot):
     rng = random.Random(3)
     left = [(rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), i) for i in range(120)]
     right = [(rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), i) for i in range(60)]
     a = spark.createDataFrame(left, "k string, t int, id int").withColumn("v", F.lit("clash"))
     b = spark.createDataFrame(right, "k string, u int, v int")
-    got = {r["id"]: r["w"] for r in asof_backward(a, b.withColumnRenamed("v", "w"), ["k"], "t", "u", ["w"], tolerance=tolerance, ahead=1.0, tie=["w"]).collect()}
+    got = {r["id"]: r["w"] for r in asof_backward(a, b.withColumnRenamed("v", "w"), ["k"], "t", "u", ["w"], tolerance=tolerance, ahead=1.0, tie=["w"], hot_rows=hot, piece_rows=7).collect()}
     for k, t, i in left:
         fit = [(u, v) for rk, u, v in right if k is not None and rk == k and t is not None and u is not None and u <= t + 1]
         best = max(fit) if fit else None
