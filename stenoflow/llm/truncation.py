@@ -161,8 +161,8 @@ def endings(read: DataFrame, followers: DataFrame) -> DataFrame:
     # closing words: one of four letters or more, or two, that end many texts of a source at other lengths than its limits
     per_source = read.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
     closers = asked.where("k <= 2 and not at_limit and (k = 2 or letters >= 4)").groupBy("source", "h").agg(F.count(F.lit(1)).alias("times"))
-    everywhere = closers.groupBy("h").agg(F.sum("times").alias("times")).crossJoin(F.broadcast(per_source.agg(F.sum("of").alias("of"))))
-    everywhere = everywhere.where((F.col("times") >= CLOSINGS) & (F.col("times") >= F.col("of") * CLOSING_SHARE)).select("h", F.col("times").alias("times_all"))
+    least = max(CLOSINGS, read.count() * CLOSING_SHARE)
+    everywhere = closers.groupBy("h").agg(F.sum("times").alias("times_all")).where(F.col("times_all") >= least)
     closers = closers.alias("c").join(per_source.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).where((F.col("times") >= CLOSINGS) & (F.col("times") >= F.col("of") * CLOSING_SHARE)).select("c.source", "h", "times")
     known = asked.join(followers, "h", "left").alias("a")
     known = known.join(closers.alias("c"), F.col("a.h").eqNullSafe(F.col("c.h")) & F.col("a.source").eqNullSafe(F.col("c.source")), "left").select("a.*", "c.times")
