@@ -36,6 +36,12 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _lcs(_masks(a), len(a), b) / (len(a) + len(b))
 
 
+def ratios(a: str, many: list[str]) -> list[float]:
+    """The ratio of one text with each of many."""
+    masks, n = _masks(a), len(a)
+    return [200.0 * _lcs(masks, n, b) / (n + len(b)) if n or b else 100.0 for b in many]
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text with any window of its length, or any shorter prefix or suffix, of the longer one."""
     return partial_alignment(a, b)[0]

@@ -2,17 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 
 
-def scored_pairs(left: DataFrame, right: DataFrame, on: list[str], a: Column, b: Column, measure: Callable[[str, str], float] = fuzzy.ratio) -> DataFrame:
-    """left and right joined on `on`, with a score for each pair. The measure runs once for each distinct pair of an Arrow batch."""
-    return left.join(right, on).withColumn("score", fuzzy.column(measure)(a, b))
+#: Vocabulary words that are sent to the tasks at a time.
+BLOCK = 50_000
+
+
+def nearest_words(words: DataFrame, vocabulary: DataFrame, k: int, cutoff: float) -> DataFrame:
+    """Rows (word, key, right_word, right_key, score, rank): the k best-scoring entries of a vocabulary for each word, ties in the alphabet's
+    order; those under the cutoff are dropped after ranking.
+
+    words: (word, key), vocabulary: (right_word, right_key); the keys are compared. The vocabulary goes out in blocks of a fixed size, and each
+    task keeps its k best of a block, so that pairs are never rows.
+    """
+    blocks = max(1, -(-vocabulary.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        part = sorted(map(tuple, vocabulary.where(F.pmod(F.xxhash64("right_word"), F.lit(blocks)) == b).select("right_word", "right_key").distinct().collect()))
+        if not part:
+            continue
+
+        def run(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
+            keys = [p[1] for p in part]
+            for pdf in batches:
+                rows = []
+                for word, key in zip(pdf["word"], pdf["key"]):
+                    scores = fuzzy.ratios(key, keys)
+                    best = sorted(range(len(part)), key=lambda i: (-scores[i], part[i][0]))[:k]
+                    rows += [(word, key, *part[i], scores[i]) for i in best]
+                yield pd.DataFrame(rows, columns=["word", "key", "right_word", "right_key", "score"])
+
+        near = words.select("word", "key").mapInPandas(run, "word string, key string, right_word string, right_key string, score double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        out = words.select("word", "key", F.lit("").alias("right_word"), F.lit("").alias("right_key"), F.lit(0.0).alias("score")).limit(0)
+    return top_k(out, ["word"], k, ["right_word"], cutoff)
 
 
 def top_k(pairs: DataFrame, by: list[str], k: int, ties: list[str], cutoff: float = 0.0) -> DataFrame:

@@ -65,7 +65,7 @@ def with_block(df: DataFrame, bounds: DataFrame, keys: Sequence[str], order: str
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], lag: dict[str, str] | None = None, lead: dict[str, str] | None = None, block: str = BLOCK
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], lag: dict[str, str] | None = None, lead: dict[str, str] | None = None, block: str = BLOCK
 ) -> DataFrame:
     """lag/lead by one row over (keys, order) without gathering a hot key in one task.
 
@@ -92,7 +92,7 @@ def neighbours(
     return out.drop("__first", "__last", "__part", *[f"__in_{n}" for n in (*lag, *lead)], *[f"__out_{n}" for n in (*lag, *lead)])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, block: str = BLOCK) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, block: str = BLOCK) -> DataFrame:
     """row_number from 1 over (keys, order), hot keys included: number within the block plus the rows of the blocks before.
 
     The offsets table holds a row for each (key, block) of hot keys, so at most 200 rows for each of at most 1/HOT_SHARE hot
@@ -110,13 +110,13 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     )
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str, how: str, current: bool = True, block: str = BLOCK) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, how: str, current: bool = True, block: str = BLOCK) -> DataFrame:
     """Running 'sum', 'max' or 'last' (of non-null values) over (keys, order), hot keys included: within the block, joined with what the blocks
     before give. `current` says whether a row sees itself. The table of blocks is as small as that of `ranked`."""
     aggregate = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
     rows = df.withColumn("__value", value)
     inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-    whole = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))) if how == "last" else aggregate("__value")
+    whole = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]))) if how == "last" else aggregate("__value")
     blocks = rows.where(F.col(block) > 0).groupBy(*keys, block).agg(whole.alias("__whole"))
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("__carried", aggregate("__whole").over(before)).select(*keys, block, "__carried")

@@ -213,10 +213,11 @@ def q_train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select m.model, c.compute, b.beam, count(e.run_id) as runs from (select distinct model from exp_asr) m cross join (select distinct compute from exp_asr) c cross join (select distinct beam from exp_asr) b left join exp_asr e on e.model = m.model and e.compute = c.compute and e.beam = b.beam group by 1, 2, 3")
 def q_settings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every combination of experiment settings, with its number of runs. The sides are the settings' distinct values."""
+    """Every combination of experiment settings, with its number of runs, spread out from one row of the settings' distinct values."""
     runs = table(spark, sf_dir, "exp_asr")
-    sides = [runs.select(c).distinct() for c in ("model", "compute", "beam")]
-    grid = sides[0].crossJoin(sides[1]).crossJoin(sides[2])
+    grid = runs.agg(*[F.collect_set(c).alias(c) for c in ("model", "compute", "beam")])
+    for c in ("model", "compute", "beam"):
+        grid = grid.withColumn(c, F.explode(c))
     return grid.join(runs.groupBy("model", "compute", "beam").agg(F.count("run_id").alias("n")), ["model", "compute", "beam"], "left").select("model", "compute", "beam", F.coalesce("n", F.lit(0)).alias("runs"))
 
 

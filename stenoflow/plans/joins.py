@@ -52,10 +52,18 @@ with {SEG}, {DEC}, q as (select meeting_id, part_idx, item_idx, lower(trim(evide
 select q.meeting_id, q.part_idx, q.item_idx, count(*) as segments_with_quote, min(s.seg_idx) as first_seg from q join seg s on s.meeting_id = q.meeting_id and contains(lower(s.text), q.quote) group by 1, 2, 3""")
 def q_exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3, exact case: the segments that contain a quote word for word."""
-    turns = segments(spark, sf_dir, "text").select("meeting_id", "seg_idx", F.lower("text").alias("text"))
+    turns = segments(spark, sf_dir, "text").where("text is not null").select("meeting_id", "seg_idx", F.lower("text").alias("text"))
     quote = F.lower(F.expr("trim(BOTH ' \"„”«»' FROM evidence_quote)"))
     quotes = items(spark, sf_dir, "decision").select("meeting_id", "part_idx", "item_idx", quote.alias("quote")).where("length(quote) >= 8")
-    hit = quotes.join(turns, "meeting_id").where(F.col("text").contains(F.col("quote")))
+    # a text that contains the quote has the words between its first and last whole: the longest of them is the key
+    words = X.words(F.col("quote"))
+    inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)), lambda a, b: F.length(b) - F.length(a))
+    quotes = quotes.withColumn("word", F.get(inner, F.lit(0)))
+    held = turns.withColumn("word", F.explode(F.array_distinct(X.words(F.col("text")))))
+    columns = ["meeting_id", "part_idx", "item_idx", "quote", "seg_idx", "text"]
+    keyed = quotes.where("word is not null").join(held, ["meeting_id", "word"]).select(*columns)
+    short = quotes.where("word is null").join(turns, "meeting_id").select(*columns)
+    hit = keyed.unionByName(short).where(F.col("text").contains(F.col("quote")))
     return hit.groupBy("meeting_id", "part_idx", "item_idx").agg(F.count(F.lit(1)).alias("segments_with_quote"), F.min("seg_idx").alias("first_seg"))
 
 
@@ -104,26 +112,30 @@ def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_unknown_words(spark, sf_dir).where("lang = 'ro' and length(word) >= 5").select("word").distinct()
 
 
+def _unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unknown(spark, sf_dir).withColumn("key", X.phonetic_key(F.col("word")))
+
+
+def _lexicon_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 5").select(F.lower("word").alias("right_word")).distinct()
+    return words.withColumn("right_key", X.phonetic_key(F.col("right_word")))
+
+
 @query()
 def q_nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each unknown word the lexicon word with the best ratio, if it reaches 88, begins with the same letter and is about as long.
 
-    The best is ranked over all lexicon words first and filtered then. The lexicon does not grow with the data.
+    The best is ranked over all lexicon words first and filtered then.
     """
-    lexicon = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 7").select(F.lower("word").alias("right_word")).distinct()
-    one = lexicon.withColumn("k", F.lit(1))
-    pairs = bestmatch.scored_pairs(_unknown(spark, sf_dir).where("length(word) >= 7").withColumn("k", F.lit(1)), F.broadcast(one), ["k"], F.col("word"), F.col("right_word"))
-    best = bestmatch.top_k(pairs, ["word"], 1, ["right_word"], 88.0)
+    lexicon = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 7").select(F.lower("word").alias("right_word"), F.lower("word").alias("right_key"))
+    best = bestmatch.nearest_words(_unknown(spark, sf_dir).where("length(word) >= 7").withColumn("key", F.col("word")), lexicon, 1, 88.0)
     return best.where("left(word, 1) = left(right_word, 1) and abs(length(word) - length(right_word)) <= 2").select("word", "right_word", "score")
 
 
 @query()
 def q_phonetic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above on phonetic keys, from 92 on, with the same first sound and no mere inflection."""
-    lexicon = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 5").select(F.lower("word").alias("right_word")).distinct().withColumn("right_key", X.phonetic_key(F.col("right_word"))).withColumn("k", F.lit(1))
-    unknown = _unknown(spark, sf_dir).withColumn("key", X.phonetic_key(F.col("word"))).withColumn("k", F.lit(1))
-    pairs = bestmatch.scored_pairs(unknown, F.broadcast(lexicon), ["k"], F.col("key"), F.col("right_key"))
-    best = bestmatch.top_k(pairs, ["word"], 1, ["right_word"], 92.0)
+    best = bestmatch.nearest_words(_unknown_keys(spark, sf_dir), _lexicon_keys(spark, sf_dir), 1, 92.0)
     prefix = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.length("key"), F.length("right_key"))), lambda i: F.col("key").substr(F.lit(1), i) == F.col("right_key").substr(F.lit(1), i))), F.lit(0))
     shorter = F.least(F.length("key"), F.length("right_key"))
     keep = (F.left("key", F.lit(1)) == F.left("right_key", F.lit(1))) & (F.abs(F.length("key") - F.length("right_key")) <= 2) & (prefix < shorter - 3)
@@ -133,10 +145,7 @@ def q_phonetic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates from 78 on, then those with a key of about the same length."""
-    lexicon = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 5").select(F.lower("word").alias("right_word")).distinct().withColumn("right_key", X.phonetic_key(F.col("right_word"))).withColumn("k", F.lit(1))
-    unknown = _unknown(spark, sf_dir).withColumn("key", X.phonetic_key(F.col("word"))).withColumn("k", F.lit(1))
-    pairs = bestmatch.scored_pairs(unknown, F.broadcast(lexicon), ["k"], F.col("key"), F.col("right_key"))
-    return bestmatch.top_k(pairs, ["word"], 3, ["right_word"], 78.0).where("abs(length(key) - length(right_key)) <= 3").select("word", "rank", "right_word", "score")
+    return bestmatch.nearest_words(_unknown_keys(spark, sf_dir), _lexicon_keys(spark, sf_dir), 3, 78.0).where("abs(length(key) - length(right_key)) <= 3").select("word", "rank", "right_word", "score")
 
 
 @query()

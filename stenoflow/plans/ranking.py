@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,22 +87,28 @@ def q_keep_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation: word and character error rates
 
 
+def word_edits(ref: list[str], hyp: list[str]) -> int:
+    """Insertions, deletions and substitutions between two word lists: what both begin and end with is set aside, the rest goes through one
+    row of the distance table at a time."""
+    while ref and hyp and ref[-1] == hyp[-1]:
+        ref, hyp = ref[:-1], hyp[:-1]
+    same = 0
+    while same < min(len(ref), len(hyp)) and ref[same] == hyp[same]:
+        same += 1
+    ref, hyp = ref[same:], hyp[same:]
+    row = list(range(len(hyp) + 1))
+    for i, word in enumerate(ref, 1):
+        left, diagonal, row[0] = i, row[0], i
+        for j, other in enumerate(hyp, 1):
+            diagonal, left = row[j], min(row[j] + 1, left + 1, diagonal + (word != other))
+            row[j] = left
+    return row[-1]
+
+
 def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word edits of each pair, by one row of the distance table at a time."""
     for pdf in batches:
-        out = []
-        for ref, hyp in zip(pdf["ref_words"], pdf["hyp_words"]):
-            row = np.arange(len(hyp) + 1)
-            for i, w in enumerate(ref, 1):
-                same = np.fromiter((w != h for h in hyp), dtype=np.int64, count=len(hyp))
-                new = np.empty_like(row)
-                new[0] = i
-                best = np.minimum(row[1:] + 1, row[:-1] + same)
-                # an insertion costs one more than the cell to its left: a running minimum after taking the position off
-                new[1:] = np.minimum.accumulate(np.concatenate(([i], best - np.arange(1, len(hyp) + 1))))[1:] + np.arange(1, len(hyp) + 1)
-                row = new
-            out.append(int(row[-1]))
-        yield pdf.assign(edits=out)[["meeting_id", "seg_idx", "lang", "ref_n", "edits"]]
+        edits = [word_edits(list(r), list(h)) for r, h in zip(pdf["ref_words"], pdf["hyp_words"])]
+        yield pdf.assign(edits=edits)[["meeting_id", "seg_idx", "lang", "ref_n", "edits"]]
 
 
 @query()

@@ -13,7 +13,7 @@ from ..session import table
 from .base import ACT, DEC, SEG, Registry, items, segments
 
 query = Registry()
-_BY, _ORDER = ["meeting_id"], [F.col("start"), F.col("seg_idx")]
+_BY, _ORDER = ["meeting_id"], ["start", "seg_idx"]
 
 
 @query("""

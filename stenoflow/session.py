@@ -36,19 +36,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder as a local path, where it is one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    path = (named or "").removeprefix("file://")
+    return path if path.startswith("/") else None
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that Python workers can import it wherever they run."""
-    import shutil
-    import weakref
+    """Send this package to the executors, once a session, so that Python workers can import it wherever they run.
+
+    Spark's own file service hands the archive out; it is made in the shared folder where there is one.
+    """
+    import os
+    import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
     if getattr(sc, "_stenoflow_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="stenoflow-")
-    stage = Path(folder, "stage")
-    shutil.copytree(root, stage / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(str(Path(folder, root.name)), "zip", stage))
-    weakref.finalize(sc, shutil.rmtree, folder, True)
+    shared = _shared_folder(spark)
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="stenoflow-code-", dir=shared)
+    archive = str(Path(folder, f"{root.name}.zip"))
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)
     sc._stenoflow_shipped = True

@@ -96,3 +96,17 @@ def test_checks(spark):
     assert abs(rows[0][0]) < 1e-6 and abs(rows[0][1] - 10**0.5) < 1e-6 and rows[1][0] == -99
     texts = spark.createDataFrame([("TA 185/95 apoi 120/80 și 80/50",), (None,)], "t string")
     assert [r[0] for r in texts.select(checks.pressure_alerts(F.col("t"))).collect()] == [["185/95", "80/50"], None]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
+def test_word_edits(a, b):
+    from functools import cache
+
+    from stenoflow.plans.ranking import word_edits
+
+    @cache
+    def far(i, j):
+        return max(i, j) if not i or not j else min(far(i - 1, j) + 1, far(i, j - 1) + 1, far(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+
+    assert word_edits(a, b) == far(len(a), len(b))
