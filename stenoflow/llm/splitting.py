@@ -78,7 +78,7 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
         return [(0, n)] if n else []
     kinds = _boundaries(text)
     words = kinds[-1][1]
-    count = max(2, -(-(n - overlap) // (limit - overlap)))
+    count = least = max(2, -(-(n - overlap) // (limit - overlap)))
     while True:
         each, out, begin, last = n / count, [], 0, 0
         for k in range(1, count):
@@ -89,9 +89,13 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
             out.append((begin, last))
             begin = _back(text, words, last, overlap, out[-1][0])
         out.append((begin, n))
-        if len(out) == count and all(0 < e - b <= limit for b, e in out):
+        if all(0 < e - b <= limit for b, e in out):
             return out
         count += 1
+        if count > 2 * least + 8:  # no boundaries to speak of: pieces of the full length
+            step = limit - overlap
+            full = range(0, max(1, n - overlap), step)
+            return [(b, min(n, b + limit)) for b in full]
 
 
 def _pieces(limit: int, overlap: int):
