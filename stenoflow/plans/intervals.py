@@ -52,7 +52,7 @@ forms as (
   select meeting_id, no, unnest(list_append(ws, list_aggregate(ws, 'string_agg', ' '))) as k from people where no != 'S'),
 single as (select meeting_id, k, min(no) as no from forms group by 1, 2 having min(no) = max(no)),
 who as (
-  select a.meeting_id, case when speaker is null then case when l != '' then 'S' || l end when n != '' then 'S' || n else single.no end as speaker,
+  select distinct a.meeting_id, case when speaker is null then case when l != '' then 'S' || l end when n != '' then 'S' || n else single.no end as speaker,
     cast(round(s * 100) as bigint) as b, cast(round(e * 100) as bigint) as e
   from keyed a left join single on a.meeting_id = single.meeting_id and a.k = single.k),
 marked as (
