@@ -41,7 +41,7 @@ WINDOW = 7
 DIMENSION = 1 << 17
 EPOCHS = 10
 BATCH = 64
-#: Weight of a language's share of the sample against the words' margins.
+#: Weight of a language's share of the table's words against the words' margins.
 PRIOR = 0.5
 #: Words in a row that a stretch needs: up to three borrowed words do not make a text mixed.
 LEAST_STRETCH = 4
@@ -137,10 +137,11 @@ def _windows(text: str) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW) if len(words[i : i + WINDOW]) >= 3]
 
 
-def _agree(windows: list[tuple[tuple[str, ...], str]], rounds: int = 5) -> list[tuple[tuple[str, ...], str]]:
+def _agree(windows: list[tuple[tuple[str, ...], str]], rounds: int = 5, weights: np.ndarray | None = None) -> list[tuple[tuple[str, ...], str]]:
     """Windows with labels made consistent: each goes to the language whose words it has, by word counts that are then taken again.
 
-    A wrong label or a text in two languages gives its words to a language where they are rare against their own.
+    A wrong label or a text in two languages gives its words to a language where they are rare against their own. weights: how much of all
+    rows each window stands for; the languages' shares need them, the words within a language do not.
     """
     if not windows:
         return windows
@@ -161,7 +162,7 @@ def _agree(windows: list[tuple[tuple[str, ...], str]], rounds: int = 5) -> list[
         np.add.at(counts, (index, np.repeat(labels, lengths)), 1)
         score = np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * len(place)))
         # the share of windows counts: else a rare label that is mostly wrong would keep words of a common language
-        share = np.bincount(labels, minlength=len(LANGS)) / len(labels)
+        share = np.bincount(labels, weights, minlength=len(LANGS)) / (len(labels) if weights is None else weights.sum())
         with np.errstate(divide="ignore"):
             moved = (np.add.reduceat(score[index], starts) + np.log(share)).argmax(axis=1)
         if (moved == labels).all():
@@ -195,15 +196,15 @@ def _svm(rows: list[np.ndarray], signs: np.ndarray, rng: np.random.Generator, ep
 class Model:
     """Weights of three family classifiers and three one-versus-one machines."""
 
-    def __init__(self, weights: np.ndarray, prior: tuple[float, ...] = (0.0,) * 6):
-        self.weights, self.prior = weights, prior
+    def __init__(self, weights: np.ndarray, prior: tuple[float, ...] = (0.0,) * 6, by_table: dict[str, tuple[float, ...]] | None = None):
+        self.weights, self.prior, self.by_table = weights, prior, by_table or {}
         self.seen: dict[str, tuple[tuple[float, ...], int]] = {}
 
     def __getstate__(self):
-        return self.weights, self.prior
+        return self.weights, self.prior, self.by_table
 
     def __setstate__(self, state):
-        (self.weights, self.prior), self.seen = state, {}
+        (self.weights, self.prior, self.by_table), self.seen = state, {}
 
     def word(self, word: str) -> tuple[tuple[float, ...], int]:
         """The word's score for each of LANGS, and the best of them: the family's margin, then that within it, each within [-1.5, 1.5]."""
@@ -219,16 +220,34 @@ class Model:
         return got
 
 
-def train(labelled: list[tuple[str, str, str]], seed: int = 7) -> Model:
-    """The model from rows (tab, lang, text). Only documents teach uk, fr and de: segments are spoken in the other three."""
+def _prior(langs: list[str], weights: np.ndarray) -> tuple[float, ...]:
+    """The log share of each of LANGS by weight; one more window each, so that a language without any keeps a small share."""
+    share = np.bincount([LANGS.index(x) for x in langs], weights, minlength=len(LANGS)) * (len(langs) / weights.sum())
+    return tuple(PRIOR * math.log((n + 1) / (len(langs) + len(LANGS))) for n in share.tolist())
+
+
+def train(labelled: list[tuple[str, str, str]], seed: int = 7, totals: dict[tuple[str, str], int] | None = None) -> Model:
+    """The model from rows (tab, lang, text). Only documents teach uk, fr and de: segments are spoken in the other three.
+
+    totals: the words of all rows of each (tab, lang). The sample holds a small label whole and little of a large one, so each window stands
+    for as many as its table and label have more; the priors are shares of all rows, for each table its own.
+    """
     rng = np.random.default_rng(seed)
     windows: list[tuple[tuple[str, ...], str]] = []
+    strata: list[tuple[str, str]] = []
+    sampled: Counter = Counter()
     for tab, lang, text in labelled:
         if tab == "documents" or lang in ("ro", "ru", "en"):
-            windows += [(w, lang) for w in _windows(text)]
-    windows = _agree(windows)
-    share = Counter(lang for _, lang in windows)
-    prior = tuple(PRIOR * math.log((share[x] + 1) / (len(windows) + len(LANGS))) for x in LANGS)
+            sampled[tab, lang] += text.count(" ") + 1
+            got = _windows(text)
+            windows += [(w, lang) for w in got]
+            strata += [(tab, lang)] * len(got)
+    weights = np.array([(totals or sampled)[x] / sampled[x] for x in strata])
+    windows = _agree(windows, weights=weights)
+    tabs = np.array([tab for tab, _ in strata])
+    langs = np.array([lang for _, lang in windows])
+    by_table = {tab: _prior(langs[tabs == tab].tolist(), weights[tabs == tab]) for tab in sorted(set(tabs.tolist()))}
+    prior = _prior(langs.tolist(), weights) if windows else (PRIOR * math.log(1 / len(LANGS)),) * len(LANGS)
     by: dict[str, list] = defaultdict(list)
     for words, lang in sorted(set(windows)):
         by[lang].append(words)
@@ -254,36 +273,46 @@ def train(labelled: list[tuple[str, str, str]], seed: int = 7) -> Model:
         rows.append(np.array(sorted({g for w in words for g in known[w]}), dtype=np.int64))
     langs = [lang for _, lang in chosen]
     family = {lang: f for f, pair in enumerate(FAMILIES.values()) for lang in pair}
-    weights = np.zeros((6, DIMENSION))
+    machines = np.zeros((6, DIMENSION))
     for f in range(3):
-        weights[f] = _svm(rows, np.array([1.0 if family[x] == f else -1.0 for x in langs]), rng)
+        machines[f] = _svm(rows, np.array([1.0 if family[x] == f else -1.0 for x in langs]), rng)
     for f, (a, b) in enumerate(FAMILIES.values()):
         own = [i for i, x in enumerate(langs) if x in (a, b)]
         if {langs[i] for i in own} == {a, b}:
-            weights[3 + f] = _svm([rows[i] for i in own], np.array([1.0 if langs[i] == a else -1.0 for i in own]), rng)
+            machines[3 + f] = _svm([rows[i] for i in own], np.array([1.0 if langs[i] == a else -1.0 for i in own]), rng)
         elif own:  # the sample knows only one language of this family
-            weights[3 + f, :] = 0.05 if langs[own[0]] == a else -0.05
-    return Model(weights.astype(np.float32), prior)
+            machines[3 + f, :] = 0.05 if langs[own[0]] == a else -0.05
+    return Model(machines.astype(np.float32), prior, by_table)
 
 
 def sample(rows: DataFrame, bound: int = SAMPLE_ROWS) -> list[tuple[str, str, str]]:
     """About `bound` rows for each table and label that names one of LANGS, chosen by a hash of the key: (tab, lang, text)."""
-    named = rows.withColumn("lang", label_language(F.col("lang"))).where(F.col("lang").isin(*LANGS) & (F.length("text") >= 20))
-    counts = {(r["tab"], r["lang"]): r["n"] for r in named.groupBy("tab", "lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sample_and_totals(rows, bound)[0]
+
+
+def sample_and_totals(rows: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[list[tuple[str, str, str]], dict[tuple[str, str], int]]:
+    """The sample, and the words of all rows of each (tab, lang) that it is taken from, however short."""
+    named = rows.withColumn("lang", label_language(F.col("lang"))).where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull())
+    # words as train counts them in the sample: one more than the spaces
+    words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    every = named.groupBy("tab", "lang").agg(F.count_if(F.length("text") >= 20).alias("n"), F.sum(words.cast("long")).alias("words")).collect()
+    named = named.where(F.length("text") >= 20)
+    totals = {(r["tab"], r["lang"]): r["words"] for r in every}
+    counts = {(r["tab"], r["lang"]): r["n"] for r in every if r["n"]}
     if not counts:
-        return []
+        return [], totals
     part = F.create_map(*[F.lit(x) for (tab, lang), n in counts.items() for x in (f"{tab}|{lang}", min(1.0, bound / n))])
     # a sample row is text to learn from: of very long ones a part is enough, here and only here
     chosen = named.where(F.pmod(F.xxhash64("rec_key"), F.lit(1_000_000)) < F.element_at(part, F.concat_ws("|", "tab", "lang")) * 1_000_000)
     got = chosen.select("tab", "lang", F.substring("text", 1, 600).alias("text")).collect()
-    return sorted((r["tab"], r["lang"], r["text"]) for r in got)
+    return sorted((r["tab"], r["lang"], r["text"]) for r in got), totals
 
 
 # ---- stretches
 
 
-def stretches(model: Model, text: str | None) -> tuple[int, list[tuple[int, int, str, float]]]:
-    """The number of spoken words of a text, and its stretches as (first word, end word, language, confidence).
+def stretches(model: Model, text: str | None, tab: str | None = None) -> tuple[int, list[tuple[int, int, str, float]]]:
+    """The number of spoken words of a text, and its stretches as (first word, end word, language, confidence); tab: the table whose prior counts.
 
     The path through the words with the highest score, less SWITCH for each change, gives the stretches; those too short for a clause, or
     with too little evidence, go to their neighbours. A text with no words has no stretches.
@@ -297,9 +326,10 @@ def stretches(model: Model, text: str | None) -> tuple[int, list[tuple[int, int,
         spoken = sum(not _UH.fullmatch(w) for w in _SPOKEN.findall(clean))
     if not words:
         return spoken, []
+    prior = model.by_table.get(tab, model.prior)
     known = [model.word(w) for w in words]
     scores = [k[0] for k in known]
-    totals = [p + sum(x) for p, x in zip(model.prior, zip(*scores))]
+    totals = [p + sum(x) for p, x in zip(prior, zip(*scores))]
     main = totals.index(max(totals))
     # a stretch in another language needs words that are best in it
     votes = Counter(k[1] for k in known)
@@ -307,13 +337,13 @@ def stretches(model: Model, text: str | None) -> tuple[int, list[tuple[int, int,
         return spoken, [(0, len(words), LANGS[main], _confidence(totals, main, len(words)))]
     at_best = {x for x, n in votes.items() if n >= LEAST_STRETCH} | {main}
     langs = sorted(at_best)
-    best = {x: model.prior[x] for x in langs}
+    best = {x: prior[x] for x in langs}
     back: list[dict[int, int]] = []
     for s in scores:
         top = max(langs, key=best.__getitem__)
         step, frm = {}, {}
         for x in langs:
-            stay, move = best[x], best[top] - SWITCH + model.prior[x]
+            stay, move = best[x], best[top] - SWITCH + prior[x]
             step[x], frm[x] = (stay, x) if stay >= move else (move, top)
             step[x] += s[x]
         back.append(frm)
@@ -369,11 +399,11 @@ def _identify(model: Model):
         for pdf in batches:
             known: dict = {}
             spoken, found = [], []
-            for text in pdf["text"]:
-                got = known.get(text)
+            for tab, text in zip(pdf["tab"], pdf["text"]):
+                got = known.get((tab, text))
                 if got is None:
-                    n, parts = stretches(model, text)
-                    got = known[text] = n, [{"first_word": b, "end_word": e, "lang": x, "confidence": c} for b, e, x, c in parts]
+                    n, parts = stretches(model, text, tab)
+                    got = known[tab, text] = n, [{"first_word": b, "end_word": e, "lang": x, "confidence": c} for b, e, x, c in parts]
                 spoken.append(got[0])
                 found.append(got[1])
             yield pd.DataFrame({"tab": pdf["tab"], "rec_key": pdf["rec_key"], "label": pdf["label"], "spoken_words": spoken, "stretches": found})

@@ -19,7 +19,8 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
-    return language.identify(rows, language.train(language.sample(rows)))
+    labelled, totals = language.sample_and_totals(rows)
+    return language.identify(rows, language.train(labelled, totals=totals))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
