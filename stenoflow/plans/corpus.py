@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +17,7 @@ from ..session import table
 from .base import SEG, Registry, segments
 
 query = Registry()
-VARIANTS = 50
+_RUN = re.compile(r"[^\W_]+")
 
 
 @query(f"""with {SEG}, n as (select *, len(regexp_extract_all(text, '\\p{{L}}+')) as n from seg where text is not null)
@@ -49,18 +55,59 @@ def q_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("wrong", "correct").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(F.length("wrong")), "wrong", "correct")
 
 
+class Variants:
+    """Variants replaced as whole words in any case, longest first, each in the text that the longer ones left.
+
+    Only those whose first word the text has are tried, and after a replacement those whose first word it brought in.
+    """
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.pairs = sorted(pairs, key=lambda p: (-len(p[0]), p))
+        self.by_word: dict[str, list[int]] = defaultdict(list)
+        for i, (wrong, _) in enumerate(self.pairs):
+            self.by_word[next(iter(self._words(wrong)), "")].append(i)  # '' for a variant without letters and digits
+        self.patterns: dict[int, re.Pattern] = {}
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return [w.lower() for w in _RUN.findall(text)]
+
+    def _tried(self, text: str, after: int = -1) -> set[int]:
+        return {i for w in ["", *self._words(text)] if w in self.by_word for i in self.by_word[w] if i > after}
+
+    def apply(self, text: str) -> tuple[str, list[str]]:
+        """The text with variants replaced, and those that applied, in that order."""
+        applied, tried = [], self._tried(text)
+        queue = sorted(tried)
+        while queue:
+            i = heapq.heappop(queue)
+            wrong, correct = self.pairs[i]
+            if i not in self.patterns:
+                self.patterns[i] = re.compile(rf"(?<![^\W_]){re.escape(wrong)}(?![^\W_])", re.I)
+            text, n = self.patterns[i].subn(lambda _, to=correct: to, text)
+            if n:
+                applied.append(wrong)
+                for k in self._tried(correct, i) - tried:
+                    tried.add(k)
+                    heapq.heappush(queue, k)
+        return text, applied
+
+
 @query()
 def q_variants_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the 50 most frequent variants replaced in raw texts, whole words in any case, longest first, with the list of those that applied."""
-    top = q_variants(spark, sf_dir).orderBy(F.desc("n"), "wrong", "correct").limit(VARIANTS).collect()
-    pairs = sorted(((r["wrong"], r["correct"]) for r in top), key=lambda p: (-len(p[0]), p))
-    text, hits = F.col("raw_text"), []
-    for wrong, correct in pairs:
-        pattern = r"(?iu)(?<![\p{L}\p{N}])\Q" + wrong.replace("\\E", "") + r"\E(?![\p{L}\p{N}])"
-        hits.append(F.when(F.col("raw_text").rlike(pattern), F.lit(wrong)))
-        text = F.regexp_replace(text, pattern, correct.replace("\\", r"\\").replace("$", r"\$"))
-    applied = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return segments(spark, sf_dir, "raw_text").where("raw_text is not null").select("meeting_id", "seg_idx", text.alias("fixed"), applied.alias("applied")).where("size(applied) > 0")
+    """all variants replaced in raw texts, whole words in any case, longest first, with the list of those that applied.
+
+    The distinct variants, a vocabulary of misspellings, go to every task.
+    """
+    pairs = [(r["wrong"], r["correct"]) for r in q_variants(spark, sf_dir).select("wrong", "correct").collect()]
+
+    def run(batches: Iterator[pd.DataFrame], pairs=pairs) -> Iterator[pd.DataFrame]:
+        variants = Variants(pairs)
+        for pdf in batches:
+            done = [(m, i, *variants.apply(t)) for m, i, t in zip(pdf["meeting_id"], pdf["seg_idx"], pdf["raw_text"])]
+            yield pd.DataFrame([x for x in done if x[3]], columns=["meeting_id", "seg_idx", "fixed", "applied"])
+
+    return segments(spark, sf_dir, "raw_text").where("raw_text is not null").mapInPandas(run, "meeting_id string, seg_idx long, fixed string, applied array<string>")
 
 
 @query(f"""with {SEG}, r as (select meeting_id, seg_idx, unnest(regexp_extract_all(' ' || regexp_replace(text, '[ ,.;?!()]', '  ', 'g') || ' ', ' [0-9]{{2,3}}/[0-9]{{2,3}} ')) as r from seg where text is not null)

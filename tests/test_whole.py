@@ -32,3 +32,30 @@ def test_windows_reach_the_end_of_the_meeting(spark, tables):
     folder = tables(segment=(SEGMENT, spans), job=("id string, status string", [("m", "done"), ("n", "done"), ("o", "new")]))
     got = rows(spark, "q_interval_overlap_whole", folder)
     assert got == [("m", 0.0, 0, 50.0, 60.0), ("m", 2520.0, 1, 2530.0, 2580.0), ("m", 9960.0, 2, 9990.0, 10_020.0), ("n", 0.0, 4, 5.0, 20.0)]
+
+
+def test_every_variant_is_applied(spark, tables):
+    letters = "abcdefghij"
+    rare = ["x" + letters[i // 10] + letters[i % 10] for i in range(60)]
+    many = [segment(i, raw="", corrections=[(w, w.upper() + "1")]) for i, w in enumerate(rare)] + [segment(100 + i, raw="", corrections=[("pnetru", "pentru")]) for i in range(3)]
+    texts = [segment(200 + i, raw=f"Nu {w.capitalize()}, a{w}b") for i, w in enumerate(rare)]
+    got = rows(spark, "q_variants_applied", tables(segment=(SEGMENT, [*many, *texts, segment(300, raw="PNETRU xaa"), segment(301, raw=None), segment(302, raw="bine")])))
+    assert got == [("m", 200 + i, f"Nu {w.upper()}1, a{w}b", [w]) for i, w in enumerate(rare)] + [("m", 300, "pentru XAA1", ["pnetru", "xaa"])]
+
+
+def test_variants_as_one_by_one():
+    import random
+    import re
+
+    from stenoflow.plans.corpus import Variants
+
+    rng = random.Random(3)
+    some = lambda k: "".join(rng.choice("aB -.ă1_") for _ in range(rng.randint(1, k)))
+    for _ in range(1500):
+        pairs = list({(some(4), some(4)) for _ in range(8)})
+        text = want = some(14)
+        applied = []
+        for wrong, correct in sorted(pairs, key=lambda p: (-len(p[0]), p)):
+            want, n = re.subn(rf"(?<![^\W_]){re.escape(wrong)}(?![^\W_])", lambda _, to=correct: to, want, flags=re.I)
+            applied += [wrong] * bool(n)
+        assert Variants(pairs).apply(text) == (want, applied), (pairs, text)
