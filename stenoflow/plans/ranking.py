@@ -121,13 +121,41 @@ def q_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.groupBy("lang").agg(F.sum("edits").alias("edits"), F.sum("ref_n").alias("words"), F.round(100 * F.sum("edits") / F.sum("ref_n"), 4).alias("wer"))
 
 
+def char_edits(ref: str, hyp: str) -> int:
+    """Least number of changed, left-out and added characters between two texts, with one bit for each character of the reference."""
+    same = 0
+    while same < min(len(ref), len(hyp)) and ref[same] == hyp[same]:
+        same += 1
+    ref, hyp = ref[same:], hyp[same:]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(ref):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full, last, edits = (1 << len(ref)) - 1, 1 << len(ref) - 1, len(ref)
+    up, down = full, 0  # where the column grows by one downwards, and where it falls
+    for ch in hyp:
+        hit = masks.get(ch, 0)
+        diagonal = ((hit & up) + up ^ up) | hit | down
+        more, less = down | ~(diagonal | up) & full, up & diagonal
+        edits += (more & last != 0) - (less & last != 0)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(diagonal | more)) & full, more & diagonal & full
+    return edits
+
+
+def _char_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(edits=[char_edits(a, b) for a, b in zip(pdf["a"], pdf["b"])], n=pdf["a"].str.len())[["lang", "edits", "n"]].astype({"edits": "int64", "n": "int64"})
+
+
 _ASCII = "regexp_replace(translate(lower({0}), 'ăâîșțşţáàäéèëêíïóöôúüûçñйё', 'aaiststaaaeeeeiiooouuucnие'), '[^a-z0-9 ]', '', 'g')"
 
 
 @query(f"""with {SEG}, t as (select lang, {_ASCII.format('text')} as a, {_ASCII.format('raw_text')} as b from seg where lang in ('ro', 'en') and text is not null and raw_text is not null and length(text) < 400)
 select lang, cast(sum(levenshtein(a, b)) as bigint) as edits, cast(sum(length(a)) as bigint) as chars from t where length(a) < 400 and length(b) < 400 group by 1""")
 def q_character_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character edits on accent-folded text, for segments under 400 characters."""
+    """Character edits on accent-folded text, for Romanian and English segments under 400 characters."""
     from ..functions.text import without_diacritics
 
     fold = lambda c: F.regexp_replace(without_diacritics(F.col(c)), "[^a-z0-9 ]", "")
@@ -135,6 +163,17 @@ def q_character_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("length(a) < 400 and length(b) < 400").groupBy("lang").agg(F.sum(F.levenshtein("a", "b").cast("long")).alias("edits"), F.sum(F.length("a").cast("long")).alias("chars"))
 
 
+@query()
+def q_character_edits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character edits on accent-folded text of any length, in Romanian, Russian and English."""
+    from ..functions.text import without_diacritics
+
+    fold = lambda c: F.regexp_replace(without_diacritics(F.col(c)), "[^a-zа-я0-9 ]", "")
+    rows = segments(spark, sf_dir, "text", "raw_text", "lang").where("lang in ('ro', 'ru', 'en') and text is not null and raw_text is not null")
+    edits = rows.select("lang", fold("text").alias("a"), fold("raw_text").alias("b")).mapInPandas(_char_edits, "lang string, edits long, n long")
+    return edits.groupBy("lang").agg(F.sum("edits").alias("edits"), F.sum("n").alias("chars"))
+
+
 @query(f"""with {SEG}, n as (select meeting_id, seg_idx, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) as num, raw_text from seg where text is not null and raw_text is not null)
 select meeting_id, count(*) as numbers, count(*) filter (where regexp_matches(' ' || regexp_replace(raw_text, '[^0-9]+', ' ', 'g') || ' ', ' ' || num || ' ')) as hits from n group by 1""")
 def q_number_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

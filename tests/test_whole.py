@@ -59,3 +59,33 @@ def test_variants_as_one_by_one():
             want, n = re.subn(rf"(?<![^\W_]){re.escape(wrong)}(?![^\W_])", lambda _, to=correct: to, want, flags=re.I)
             applied += [wrong] * bool(n)
         assert Variants(pairs).apply(text) == (want, applied), (pairs, text)
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, diagonal, row[0] = i, row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, left = row[j], min(row[j] + 1, left + 1, diagonal + (x != y))
+            row[j] = left
+    return row[-1]
+
+
+def test_character_edits():
+    import random
+
+    from stenoflow.plans.ranking import char_edits
+
+    rng = random.Random(5)
+    some = lambda k: "".join(rng.choice("abcж ") for _ in range(rng.randint(0, k)))
+    for k in (3, 12, 90):
+        for _ in range(300):
+            a, b = some(k), some(k)
+            assert char_edits(a, b) == plain_edits(a, b), (a, b)
+
+
+def test_character_edits_of_long_and_russian_texts(spark, tables):
+    long, ru = "pacientul respiră greu " * 40, "больной дышит, ёлка"
+    said = [segment(0, text=long, raw=long + "da da da "), segment(1, text="Șapte.", raw="sapta"), segment(2, text=ru, raw="больная дышит елка", lang="ru"), segment(3, text=None, raw="x"), segment(4, text="", raw="abc", lang="en")]
+    got = rows(spark, "q_character_edits_whole", tables(segment=(SEGMENT, said)))
+    assert got == [("en", 3, 0), ("ro", 9 + 1, len(long) + 5), ("ru", 2, len(ru) - 1)]
