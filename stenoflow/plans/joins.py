@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from ..functions import fuzzy, text as X
 from ..operators import bestmatch, folds
 from ..session import cut, table
 from .base import DEC, SEG, Registry, items, segments
+from .corpus import q_fuzzy_vocabulary
 
 query = Registry()
 EVIDENCE, VERIFIED = 55.0, 72.0
@@ -108,35 +111,58 @@ def q_documents_of_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "meeting_id").join(jobs, "meeting_id", "left_semi").select("doc_id")
 
 
+LANGS = ("ro", "ru", "en")
+
+
+def _key(lang: Column, word: Column) -> Column:
+    """What candidates are compared by: the sound in Romanian, the small letters otherwise."""
+    return F.when(lang == "ro", X.phonetic_key(word)).otherwise(F.lower(word))
+
+
 def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_unknown_words(spark, sf_dir).where("lang = 'ro' and length(word) >= 5").select("word").distinct()
+    return q_unknown_words(spark, sf_dir).where("length(word) >= 5").select("lang", "word").distinct()
 
 
 def _unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unknown(spark, sf_dir).withColumn("key", X.phonetic_key(F.col("word")))
+    return _unknown(spark, sf_dir).withColumn("key", _key(F.col("lang"), F.col("word")))
 
 
 def _lexicon_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 5").select(F.lower("word").alias("right_word")).distinct()
-    return words.withColumn("right_key", X.phonetic_key(F.col("right_word")))
+    words = table(spark, sf_dir, "lexicon").where("length(word) >= 5").select("lang", F.lower("word").alias("right_word")).distinct()
+    return words.withColumn("right_key", _key(F.col("lang"), F.col("right_word")))
+
+
+def _nearest(words: DataFrame, lexicon: DataFrame, k: int, cutoff: float) -> DataFrame:
+    """nearest_words within each language."""
+    words, lexicon = cut(words), lexicon.select("lang", "right_word", "right_key")
+    each = [bestmatch.nearest_words(words.where(F.col("lang") == x), lexicon.where(F.col("lang") == x), k, cutoff).withColumn("lang", F.lit(x)) for x in LANGS]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _common_prefix(a: str, b: str) -> Column:
+    """The number of letters that two columns begin with alike."""
+    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: F.col(a).substr(F.lit(1), i) == F.col(b).substr(F.lit(1), i))), F.lit(0))
 
 
 @query()
 def q_nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each unknown word the lexicon word with the best ratio, if it reaches 88, begins with the same letter and is about as long.
+    """For each unknown word the word of its own language's lexicon with the best ratio, both folded, if it reaches 88, begins with the same
+    letter, is about as long and no mere inflection.
 
     The best is ranked over all lexicon words first and filtered then.
     """
-    lexicon = table(spark, sf_dir, "lexicon").where("lang = 'ro' and length(word) >= 7").select(F.lower("word").alias("right_word"), F.lower("word").alias("right_key"))
-    best = bestmatch.nearest_words(_unknown(spark, sf_dir).where("length(word) >= 7").withColumn("key", F.col("word")), lexicon, 1, 88.0)
-    return best.where("left(word, 1) = left(right_word, 1) and abs(length(word) - length(right_word)) <= 2").select("word", "right_word", "score")
+    lexicon = q_fuzzy_vocabulary(spark, sf_dir).select("lang", F.lower("word").alias("right_word"), F.col("key").alias("right_key"))
+    words = _unknown(spark, sf_dir).where("length(word) >= 7").withColumn("key", X.without_diacritics(F.col("word")))
+    keep = (F.left("key", F.lit(1)) == F.left("right_key", F.lit(1))) & (F.abs(F.length("key") - F.length("right_key")) <= 2)
+    keep &= _common_prefix("key", "right_key") < F.least(F.length("key"), F.length("right_key")) - 4
+    return _nearest(words, lexicon, 1, 88.0).where(keep).select("lang", "word", "right_word", "score")
 
 
 @query()
 def q_phonetic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above on phonetic keys, from 92 on, with the same first sound and no mere inflection."""
-    best = bestmatch.nearest_words(_unknown_keys(spark, sf_dir), _lexicon_keys(spark, sf_dir), 1, 92.0)
-    prefix = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.length("key"), F.length("right_key"))), lambda i: F.col("key").substr(F.lit(1), i) == F.col("right_key").substr(F.lit(1), i))), F.lit(0))
+    """As above on phonetic keys of Romanian, from 92 on, with the same first sound and no mere inflection."""
+    best = bestmatch.nearest_words(_unknown_keys(spark, sf_dir).where("lang = 'ro'"), _lexicon_keys(spark, sf_dir).where("lang = 'ro'"), 1, 92.0)
+    prefix = _common_prefix("key", "right_key")
     shorter = F.least(F.length("key"), F.length("right_key"))
     keep = (F.left("key", F.lit(1)) == F.left("right_key", F.lit(1))) & (F.abs(F.length("key") - F.length("right_key")) <= 2) & (prefix < shorter - 3)
     return best.where(keep).select("word", "right_word", "score")
@@ -144,8 +170,8 @@ def q_phonetic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best candidates from 78 on, then those with a key of about the same length."""
-    return bestmatch.nearest_words(_unknown_keys(spark, sf_dir), _lexicon_keys(spark, sf_dir), 3, 78.0).where("abs(length(key) - length(right_key)) <= 3").select("word", "rank", "right_word", "score")
+    """The three best candidates of a word's own language from 78 on, then those with a key of about the same length."""
+    return _nearest(_unknown_keys(spark, sf_dir), _lexicon_keys(spark, sf_dir), 3, 78.0).where("abs(length(key) - length(right_key)) <= 3").select("lang", "word", "rank", "right_word", "score")
 
 
 @query()

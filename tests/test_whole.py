@@ -89,3 +89,15 @@ def test_character_edits_of_long_and_russian_texts(spark, tables):
     said = [segment(0, text=long, raw=long + "da da da "), segment(1, text="Șapte.", raw="sapta"), segment(2, text=ru, raw="больная дышит елка", lang="ru"), segment(3, text=None, raw="x"), segment(4, text="", raw="abc", lang="en")]
     got = rows(spark, "q_character_edits_whole", tables(segment=(SEGMENT, said)))
     assert got == [("en", 3, 0), ("ro", 9 + 1, len(long) + 5), ("ru", 2, len(ru) - 1)]
+
+
+def test_candidates_in_every_language(spark, tables):
+    lexicon = ("lang string, word string, count long", [("ro", "respirație", 3), ("ro", "ședință", 2), ("ru", "давление", 5), ("ru", "кровотечение", 5), ("en", "pressure", 4), ("en", "breathing", 4)])
+    said = [segment(0, text="respirrație resspirație sedimță"), segment(1, text="дваление кровотечениями крвоотечение", lang="ru"), segment(2, text="perssure breathings", lang="en"), segment(3, text="давлоние", lang="ro")]
+    folder = tables(segment=(SEGMENT, said), lexicon=lexicon)
+    found = {r[:2]: r[3] for r in rows(spark, "q_candidates", folder)}
+    assert found[("ru", "дваление")] == "давление" and found[("en", "perssure")] == "pressure" and found[("ro", "respirrație")] == "respirație"
+    assert all(lang != "ro" or word != "давлоние" for lang, word in found)  # the lexicon of another language
+    near = {r[:2]: r[2] for r in rows(spark, "q_nearest_word", folder)}
+    # кровотечениями, breathings and respirrație part from the lexicon's word in their last letters only
+    assert near == {("ro", "resspirație"): "respirație", ("ru", "крвоотечение"): "кровотечение"}
