@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +75,29 @@ def partial_alignment(a: str, b: str) -> tuple[float, int, int]:
     return best
 
 
+def partial_ratio_from(a: str, b: str, least: float) -> float:
+    """partial_ratio where it reaches `least`, 0 otherwise: only windows that have letters enough in common are measured."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    n, m = len(short), len(long)
+    if not n or short in long:
+        return 100.0 if n or not m else 0.0
+    if least >= 100.0:  # only an equal window has that
+        return 0.0
+    begin = np.concatenate((np.zeros(n - 1, dtype=int), np.arange(m - n + 1), np.arange(m - n + 1, m)))
+    end = np.concatenate((np.arange(1, n), np.arange(n, m + 1), np.full(n - 1, m)))
+    codes, common = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.zeros(len(begin), dtype=int)
+    for ch, k in Counter(short).items():
+        seen = np.concatenate(([0], np.cumsum(codes == ord(ch))))
+        common += np.minimum(k, seen[end] - seen[begin])
+    bound = 200.0 * common / (n + end - begin)
+    masks, best = _masks(short), 0.0
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] < least or bound[i] <= best:
+            break
+        best = max(best, 200.0 * _lcs(masks, n, long[begin[i] : end[i]]) / (n + int(end[i] - begin[i])))
+    return best if best >= least else 0.0
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """Words split at white space; the case counts."""
     x, y = set(a.split()), set(b.split())

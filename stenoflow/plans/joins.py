@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +27,60 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir, "decision").select("meeting_id", "part_idx", "item_idx", quote.alias("quote"), X.seconds_of(F.col("timestamp")).alias("ts")).where("length(quote) >= 8")
 
 
+#: Quotes and segments of a meeting that are compared at a time.
+QUOTE_BLOCK, TURN_BLOCK = 200, 1000
+
+
+def _letters(texts: list[str], place: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(place), len(texts)), dtype=np.int32)
+    for i, text in enumerate(texts):
+        for ch, n in Counter(text).items():
+            if ch in place:
+                out[place[ch], i] = n
+    return out
+
+
+def best_turns(quotes: list[dict], turns: list[dict]) -> Iterator[tuple]:
+    """(part_idx, item_idx, seg_idx, start, score) of each quote's best segment, with the bonus, if it reaches the quote's `least`; earlier wins ties."""
+    texts = [t["text"] for t in turns]
+    place = {ch: i for i, ch in enumerate(sorted({ch for q in quotes for ch in q["quote"]}))}
+    said, sizes = _letters(texts, place), np.array([len(t) for t in texts])
+    starts = np.array([np.nan if t["start"] is None else t["start"] for t in turns])
+    asked = _letters([q["quote"] for q in quotes], place)
+    for k, q in enumerate(quotes):
+        ts = np.nan if q["ts"] is None else q["ts"]
+        bonus = np.where(np.abs(starts - ts) < 120, 3.0, 0.0)
+        own = np.flatnonzero(asked[:, k])
+        common = np.minimum(said[own], asked[own, k][:, None]).sum(axis=0)
+        # a window of w letters has at most min(common, w) of them in order: most where w is all that is common
+        reach = 200.0 * common / np.maximum(1, np.minimum(sizes, len(q["quote"])) + common) + bonus
+        best, floor = None, q["least"]
+        for i in np.argsort(-reach, kind="stable"):
+            if reach[i] < floor - 1e-9:
+                break
+            t = turns[i]
+            score = fuzzy.partial_ratio_from(q["quote"], t["text"], floor - float(bonus[i]) - 1e-9)
+            if not score:
+                continue
+            rank = (score + float(bonus[i]), -starts[i], -t["seg_idx"])
+            if best is None or rank > best[0]:
+                best, floor = (rank, t), max(floor, rank[0])
+        if best:
+            yield q["part_idx"], q["item_idx"], best[1]["seg_idx"], best[1]["start"], best[0][0]
+
+
+def _best_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(m, *x) for m, q, t in zip(pdf["meeting_id"], pdf["quotes"], pdf["turns"]) for x in best_turns(list(q), list(t))]
+        yield pd.DataFrame(rows, columns=["meeting_id", "part_idx", "item_idx", "seg_idx", "start", "score"])
+
+
 @query()
 def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment that a quote is taken from, by the best partial match, with a small bonus near the stated time; earlier wins ties.
 
-    Exact quotes are found by containment in the JVM and score 100. All others are first measured against the segments that share one of the
-    quote's three longest words; a quote that is not verified by any of these is then measured against every segment of its meeting.
+    Quotes are first measured against the segments that share one of their three longest words. Then each meets all segments of its meeting, in
+    blocks; those whose letters cannot reach the best score so far are passed over, as they can neither win nor tie.
     """
     quotes = _quotes(spark, sf_dir)
     turns = segments(spark, sf_dir, "start", "text").where("length(text) > 0").select("meeting_id", "seg_idx", "start", F.lower("text").alias("text"))
@@ -42,9 +93,13 @@ def q_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = near.where(F.col("text").contains(F.col("quote"))).withColumn("score", F.lit(100.0))
     rest = near.join(exact.select(*key).distinct(), key, "left_anti").withColumn("score", fuzzy.column(fuzzy.partial_ratio)("quote", "text"))
     first = cut(exact.unionByName(rest).select(*key, "ts", "seg_idx", "start", "score"))
-    sure = first.where(F.col("score") >= VERIFIED).select(*key).distinct()
-    weak = quotes.join(sure, key, "left_anti").join(turns, "meeting_id").withColumn("score", fuzzy.column(fuzzy.partial_ratio)("quote", "text"))
-    scored = first.unionByName(weak.select(*first.columns)).withColumn("score", F.col("score") + bonus)
+    reached = first.groupBy(*key).agg(F.max(F.col("score") + bonus).alias("least"))
+    asked = quotes.join(reached, key, "left").withColumn("least", F.greatest(F.lit(EVIDENCE), "least"))
+    block = F.floor((F.row_number().over(Window.partitionBy("meeting_id").orderBy("part_idx", "item_idx")) - 1) / QUOTE_BLOCK)
+    asked = asked.withColumn("qb", block).groupBy("meeting_id", "qb").agg(F.collect_list(F.struct("part_idx", "item_idx", "quote", F.col("ts").cast("double").alias("ts"), "least")).alias("quotes"))
+    held = turns.groupBy("meeting_id", F.floor(F.col("seg_idx") / TURN_BLOCK).alias("sb")).agg(F.collect_list(F.struct("seg_idx", F.col("start").cast("double").alias("start"), "text")).alias("turns"))
+    pairs = asked.join(held, "meeting_id").repartition("meeting_id", "qb", "sb").select("meeting_id", "quotes", "turns")
+    scored = pairs.mapInPandas(_best_of_blocks, "meeting_id string, part_idx long, item_idx long, seg_idx long, start double, score double")
     best = scored.groupBy(*key).agg(F.max_by(F.struct("seg_idx", "score"), F.struct("score", -F.col("start"), -F.col("seg_idx"))).alias("b"))
     out = best.select(*key, F.col("b.seg_idx").alias("seg_idx"), F.least(F.lit(100.0), F.col("b.score")).alias("evidence_score"))
     return out.where(F.col("evidence_score") >= EVIDENCE).withColumn("verified", F.col("evidence_score") >= VERIFIED)
