@@ -1,4 +1,4 @@
-"""Ranking, evaluation and vector queries: P2-P5, P19, F33-F35, F37, F38, M1-M5, A19-A21, A23, A26, A27, A29, J18, J19, O8, W7."""
+"""Ranking, evaluation and vector queries: P2-P5, P19, F33-F35, F37, F38, M1-M5, A19-A21, A23, A26, A27, A29, J18, J19, O8."""
 
 from __future__ import annotations
 
@@ -108,17 +108,26 @@ def word_edits(ref: list[str], hyp: list[str]) -> int:
 def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         edits = [word_edits(list(r), list(h)) for r, h in zip(pdf["ref_words"], pdf["hyp_words"])]
-        yield pdf.assign(edits=edits)[["meeting_id", "seg_idx", "lang", "ref_n", "edits"]]
+        yield pdf.assign(edits=edits)[["meeting_id", "seg_idx", "lang", "script", "ref_n", "edits"]]
 
 
 @query()
 def q_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word edits of the raw text against the corrected one, summed by language, digits left out."""
+    """Word edits of the raw text against the corrected one, summed by language and script, digits left out.
+
+    script 'all' has all words; 'latin' and 'cyrillic' have the words of that script only, where the corrected text has any. A segment whose
+    corrected text has words of both scripts counts as 'mixed', not for the language of its label.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), 0)
     rows = segments(spark, sf_dir, "text", "raw_text", "lang").where("text is not null and raw_text is not null")
-    rows = rows.select("meeting_id", "seg_idx", F.coalesce("lang", F.lit("?")).alias("lang"), words("text").alias("ref_words"), words("raw_text").alias("hyp_words")).withColumn("ref_n", F.size("ref_words"))
-    edits = rows.mapInPandas(_edits, "meeting_id string, seg_idx long, lang string, ref_n int, edits long")
-    return edits.groupBy("lang").agg(F.sum("edits").alias("edits"), F.sum("ref_n").alias("words"), F.round(100 * F.sum("edits") / F.sum("ref_n"), 4).alias("wer"))
+    rows = rows.select("meeting_id", "seg_idx", F.coalesce("lang", F.lit("?")).alias("lang"), words("text").alias("ref"), words("raw_text").alias("hyp"))
+    cyrillic = lambda w: w.rlike("[а-яё]")
+    rows = rows.withColumn("lang", F.when(F.exists("ref", cyrillic) & F.exists("ref", lambda w: ~cyrillic(w)), "mixed").otherwise(F.col("lang")))
+    part = lambda script, keep: F.struct(F.lit(script).alias("script"), F.filter("ref", keep).alias("ref_words"), F.filter("hyp", keep).alias("hyp_words"))
+    parts = F.array(part("all", lambda w: F.lit(True)), part("latin", lambda w: ~cyrillic(w)), part("cyrillic", cyrillic))
+    rows = rows.select("meeting_id", "seg_idx", "lang", F.explode(parts).alias("p")).select("meeting_id", "seg_idx", "lang", "p.*").withColumn("ref_n", F.size("ref_words"))
+    edits = rows.where("script = 'all' or ref_n > 0").mapInPandas(_edits, "meeting_id string, seg_idx long, lang string, script string, ref_n int, edits long")
+    return edits.groupBy("lang", "script").agg(F.sum("edits").alias("edits"), F.sum("ref_n").alias("words"), F.round(100 * F.sum("edits") / F.nullif(F.sum("ref_n"), F.lit(0)), 4).alias("wer"))
 
 
 def char_edits(ref: str, hyp: str) -> int:
@@ -228,7 +237,7 @@ def q_knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectral clustering with the number of clusters from the eigenvalue gap, small clusters absorbed."""
+    """Spectral clustering with the number of clusters from the eigenvalue gap, small clusters absorbed."""
     rows = table(spark, sf_dir, "embeddings").withColumn("grp", F.floor(F.col("vec_id") / 100).cast("long"))
     return vectors.spectral(rows, "grp", "vec_id", "embedding")
 

@@ -1,4 +1,4 @@
-"""Text function queries: F1-F16, F19, F20, F27, F29-F32, F36, F41-F47, P6, P15, W12, F6, F10, F24."""
+"""Text function queries: F1-F10, F12, F13, F15, F16, F19, F20, F27, F29-F32, F36, F41-F43, F45, F47, P6, P15, W12, F6, F10, F24."""
 
 from __future__ import annotations
 

@@ -101,3 +101,12 @@ def test_candidates_in_every_language(spark, tables):
     near = {r[:2]: r[2] for r in rows(spark, "q_nearest_word", folder)}
     # кровотечениями, breathings and respirrație part from the lexicon's word in their last letters only
     assert near == {("ro", "resspirație"): "respirație", ("ru", "крвоотечение"): "кровотечение"}
+
+
+def test_word_errors_by_script(spark, tables):
+    said = [segment(0, text="bine doctor 7", raw="bine doctr"), segment(1, text="да bine", raw="да bun"), segment(2, text="хорошо сейчас", raw="хорошо ceva", lang="ru"), segment(3, text="", raw="x", lang="en")]
+    got = {r[:2]: r[2:] for r in [(r["lang"], r["script"], r["edits"], r["words"]) for r in registry.queries()["q_word_error_rate"](spark, tables(segment=(SEGMENT, said))).collect()]}
+    assert got == {
+        ("ro", "all"): (1, 2), ("ro", "latin"): (1, 2), ("mixed", "all"): (1, 2), ("mixed", "latin"): (1, 1), ("mixed", "cyrillic"): (0, 1),
+        ("ru", "all"): (1, 2), ("ru", "cyrillic"): (1, 2), ("en", "all"): (1, 0),
+    }
