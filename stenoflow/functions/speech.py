@@ -6,6 +6,7 @@ import difflib
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,29 +14,39 @@ from pyspark.sql import types as T
 LONGEST_PHRASE = 8
 
 
+def _surplus(ids: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Which words to drop so that no phrase of n words is said more than `most` times in a row.
+
+    A phrase said k times is a stretch of (k-1)*n words or more that equal the word n places on. Such stretches are found at once, as runs of
+    the comparison of the list with itself, n places apart; a stretch may begin within what the one before it took up.
+    """
+    drop = np.zeros(len(ids), dtype=bool)
+    same = np.concatenate(([False], ids[n:] == ids[:-n], [False]))
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    taken = 0
+    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        begin = max(begin, taken)
+        if end - begin >= n * most:
+            taken = begin + n * ((end - begin) // n + 1)
+            drop[begin + n * most : taken] = True
+    return drop
+
+
 def collapse_repeats(text: str | None, most: int = 2) -> str | None:
     """Phrases of 1 to 8 words said more than `most` times in a row are kept `most` times, until nothing changes; then syllable loops."""
     if text is None:
         return None
-    words, before = text.split(), None
-    while words != before:
-        before = words
+    words = np.array(text.split(), dtype=object)
+    ids = pd.factorize(words)[0] if len(words) else np.zeros(0, dtype=int)
+    size = -1
+    while size != len(ids):
+        size = len(ids)
         for n in range(1, LONGEST_PHRASE + 1):
-            kept: list[str] = []
-            i = 0
-            while i < len(words):
-                end = i + n
-                while words[end : end + n] == words[i : i + n] and end + n <= len(words):
-                    end += n
-                times = (end - i) // n
-                if times > most:
-                    kept += words[i : i + n * most]
-                    i = end
-                else:
-                    kept.append(words[i])
-                    i += 1
-            words = kept
-    return re.sub(r"\b(\w{1,3}-)\1{3,}", r"\1\1", " ".join(words))
+            if len(ids) > n * most:
+                keep = ~_surplus(ids, n, most)
+                ids, words = ids[keep], words[keep]
+    # fixed value: a syllable with its hyphen, four times or more
+    return re.sub(r"(\b\w{1,3}-)\1{3,}", r"\1\1", " ".join(words))
 
 
 def compression(text: str | None) -> float | None:

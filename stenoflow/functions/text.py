@@ -57,6 +57,13 @@ def latin_of_cyrillic(text: Column) -> Column:
     return F.translate(out, *_CYRILLIC_ONE)
 
 
+def latin_of_cyrillic_sql(name: str) -> str:
+    """The same of a small-letter value, in SQL."""
+    for a, b in _CYRILLIC_TWO:
+        name = f"replace({name}, '{a}', '{b}')"
+    return f"translate({name}, '{_CYRILLIC_ONE[0]}', '{_CYRILLIC_ONE[1]}')"
+
+
 def clock(seconds: Column) -> Column:
     """hh:mm:ss, cut to whole seconds."""
     s = F.floor(seconds).cast("long")

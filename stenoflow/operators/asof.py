@@ -41,9 +41,9 @@ def asof_backward(
         a, b = a.withColumn(f"__by_{k}", F.col(k)), b.withColumn(f"__by_{k}", F.col(k))
     keys = [f"__by_{k}" for k in by]
     both = a.select(*keys, "__t", "__k", "__tie", "__row", "__v").unionByName(b.select(*keys, "__t", "__k", "__tie", "__v"), allowMissingColumns=True)
-    cut = blocked(both, keys, "__t", hot_rows, piece_rows)
+    cut, hot = blocked(both, keys, "__t", hot_rows, piece_rows)
     hit = F.when(F.col("__k") == 0, F.struct("__t", "__v"))
-    out = running(cut, keys, [F.col("__t"), F.col("__k"), F.col("__tie")], hit, "__hit", "last").where("__k = 1")
+    out = running(cut, keys, [F.col("__t"), F.col("__k"), F.col("__tie")], hit, "__hit", "last", hot=hot).where("__k = 1")
     near: Column = F.col("__hit").isNotNull()
     for k in keys:
         near = near & F.col(k).isNotNull()
@@ -52,6 +52,6 @@ def asof_backward(
     return out.select("__row.*", *[F.when(near, F.col(f"__hit.__v.{v}")).alias(v) for v in value])
 
 
-def islands(df: DataFrame, by: Sequence[str], order: Sequence[Column], starts: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, by: Sequence[str], order: Sequence[Column], starts: Column, name: str = "island", hot: bool = True) -> DataFrame:
     """Number the runs of rows within `by` from 1: a new run begins where `starts` is true or null. df has block numbers (operators.blocks)."""
-    return running(df, by, order, F.coalesce(starts.cast("int"), F.lit(1)).cast("long"), name, "sum")
+    return running(df, by, order, F.coalesce(starts.cast("int"), F.lit(1)).cast("long"), name, "sum", hot=hot)

@@ -1,11 +1,12 @@
 """Ordered operators over groups that may hold a third of all rows.
 
 A window partitioned by a hot key sorts that whole key in one task. Here a hot key is first cut into blocks along the order column,
-with bounds found by one light aggregation; windows then run per (key, block), and only the block edges meet again in a second, small
-window. Keys that are not hot stay in block 0, so nothing changes for them; blocks of hot keys count from 1.
+with bounds found by one light aggregation; windows then run per (key, block), and what one block hands to the next is a small table of
+blocks that is joined back. Keys that are not hot stay in block 0; blocks of hot keys count from 1. Where no key is hot, hot_bounds gives
+None and all operators below are one plain window (hot=False).
 
-Which keys are hot is bounded by construction: at most 1/share keys can hold that share of the rows. Only those keys and their bounds
-come to the driver, never rows.
+A block holds about `piece_rows` rows, and more only where the table has more than piece_rows * MOST_BLOCKS rows: so there are at most
+MOST_BLOCKS blocks and half as many hot keys however large the table is, and that is all that comes to the driver or is broadcast.
 """
 
 from __future__ import annotations
@@ -16,88 +17,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A key is hot from this share of all rows on, if it also has more rows than one task should sort.
-HOT_SHARE = 1 / 256
+#: A key is hot if it has more rows than one task should sort.
 HOT_ROWS = 50_000
 PIECE_ROWS = 25_000
+#: Blocks of a table at most, all hot keys together; beyond piece_rows * MOST_BLOCKS rows the blocks grow instead.
+MOST_BLOCKS = 1 << 16
+#: Bounds are looked up in two steps, first among every FAN-th of them.
+FAN = 256
 BLOCK = "__block"
 
 
-def hot_bounds(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """Keys with more than hot_rows rows and HOT_SHARE of all, with ascending bounds of `order` that cut them into pieces.
+def hot_bounds(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame | None:
+    """Every key with more than hot_rows rows, with ascending bounds of `order` that cut it into pieces of about piece_rows; None if no key is hot.
 
-    At most 1/HOT_SHARE rows, each with at most 200 bounds. Null keys and null order values are ignored here.
+    Null keys and null order values are ignored here. Bounds come in groups of FAN, so that with_block finds a block in two short steps.
     """
     spark = df.sparkSession
-    counts = df.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = counts.where(F.col("__n") > hot_rows)
-    rows = large.orderBy(F.desc("__n")).limit(int(1 / HOT_SHARE)).collect()
+    counts = df.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    total = counts.agg(F.sum("__n")).first()[0]
+    if not total:
+        return None
+    piece_rows = max(piece_rows, -(-total // MOST_BLOCKS))
     fields = [df.schema[k] for k in keys]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("__bounds", T.ArrayType(T.DoubleType()))])
-    if not rows:
-        return spark.createDataFrame([], schema)
-    pieces = {tuple(r[k] for k in keys): min(200, -(-r["__n"] // piece_rows)) for r in rows}
-    named = spark.createDataFrame([(*k, int(n)) for k, n in pieces.items()], T.StructType([*schema.fields[:-1], T.StructField("__p", T.IntegerType())]))
-    most = max(pieces.values())
-    # one fine grid for all hot keys; each key's own number of pieces thins it
-    grid = [i / (most * 4) for i in range(1, most * 4)]
-    got = (
-        df.where(F.col(order).isNotNull())
-        .join(F.broadcast(named), list(keys))
-        .groupBy(*keys)
-        .agg(F.percentile_approx(F.col(order).cast("double"), grid, 5000).alias("__g"))
-        .collect()
-    )
+    # at most total / piece_rows keys have a whole piece or more, which is MOST_BLOCKS or less
+    pieces = {tuple(r[k] for k in keys): -(-r["__n"] // piece_rows) for r in counts.where(F.col("__n") > max(hot_rows, piece_rows)).collect()}
+    if not pieces:
+        return None
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     out = []
-    for r in got:
-        key = tuple(r[k] for k in keys)
-        step = max(1, len(grid) // max(1, pieces[key]))
-        out.append((*key, sorted(set(r["__g"][step - 1 :: step]))))
-    return spark.createDataFrame(out, schema)
-
-
-def with_block(df: DataFrame, bounds: DataFrame, keys: Sequence[str], order: str, name: str = BLOCK) -> DataFrame:
+    # keys with like numbers of pieces share one grid of quantiles
+    for step in sorted({n.bit_length() for n in pieces.values()}):
+        most = 1 << step
+        named = spark.createDataFrame([k for k, n in pieces.items() if n.bit_length() == step], schema)
+        grid = [i / most for i in range(1, most)]
+        of = df.where(F.col(order).isNotNull()).join(F.broadcast(named), list(keys))
+        got = of.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), grid, 8 * most).alias("__g")).collect()
+        for r in got:
+            bounds = sorted(set(r["__g"]))
+            out.append((*(r[k] for k in keys), [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)]))
+    return spark.createDataFrame(out, T.StructType([*schema.fields, T.StructField("__bounds", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+
+
+def with_block(df: DataFrame, bounds: DataFrame | None, keys: Sequence[str], order: str, name: str = BLOCK) -> DataFrame:
     """Add the block number: 1 and how many of the key's bounds lie below the order value for hot keys, 0 for all others."""
-    joined = df.join(F.broadcast(bounds), list(keys), "left")
+    if bounds is None:
+        return df.withColumn(name, F.lit(0))
     value = F.col(order).cast("double")
-    n = F.size(F.filter(F.col("__bounds"), lambda b: b < value))
-    return joined.withColumn(name, F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(n + 1).cast("int")).drop("__bounds")
+    group = F.size(F.filter("__bounds", lambda g: g[0] < value))
+    inside = F.size(F.filter(F.get("__bounds", group - 1), lambda b: b < value))
+    place = F.when(group > 0, (group - 1) * FAN + inside).otherwise(0) + 1
+    joined = df.join(F.broadcast(bounds), list(keys), "left")
+    return joined.withColumn(name, F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(F.coalesce(place, F.lit(1))).cast("int")).drop("__bounds")
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], lag: dict[str, str] | None = None, lead: dict[str, str] | None = None, block: str = BLOCK
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], lag: dict[str, str] | None = None, lead: dict[str, str] | None = None, block: str = BLOCK, hot: bool = True
 ) -> DataFrame:
     """lag/lead by one row over (keys, order) without gathering a hot key in one task.
 
-    lag and lead map a new column to the column it looks at. Within a block an ordinary window answers; the first and last rows of all
-    blocks of a key, at most two a block, are then ordered once more among themselves.
+    lag and lead map a new column to the column it looks at. Within a block an ordinary window answers; the first and last row of a block
+    look at what the block before or after hands over, by a table with one row for each block of a hot key.
     """
     lag, lead = lag or {}, lead or {}
-    inner = Window.partitionBy(*keys, block).orderBy(*order)
-    out = df.withColumn("__first", F.row_number().over(inner) == 1).withColumn("__last", F.lead(F.lit(1)).over(inner).isNull())
+    inner = Window.partitionBy(*keys, block).orderBy(*order) if hot else Window.partitionBy(*keys).orderBy(*order)
+    out = df
+    if hot:
+        at = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
+        edges = df.where(F.col(block) > 0).groupBy(*keys, block).agg(
+            F.max_by(F.struct(F.lit(1).alias("__one"), *[F.col(old).alias(f"__x_{new}") for new, old in lag.items()]), at).alias("__end"),
+            F.min_by(F.struct(F.lit(1).alias("__one"), *[F.col(old).alias(f"__x_{new}") for new, old in lead.items()]), at).alias("__begin"),
+        )
+        along = Window.partitionBy(*keys).orderBy(block)
+        edges = edges.select(*keys, block, F.lag("__end").over(along).alias("__from_before"), F.lead("__begin").over(along).alias("__from_after"))
+        out = out.withColumn("__first", F.row_number().over(inner) == 1).withColumn("__last", F.lead(F.lit(1)).over(inner).isNull())
     for new, old in lag.items():
-        out = out.withColumn(f"__in_{new}", F.lag(old).over(inner))
+        out = out.withColumn(f"__in_{new}" if hot else new, F.lag(old).over(inner))
     for new, old in lead.items():
-        out = out.withColumn(f"__in_{new}", F.lead(old).over(inner))
-    out = out.withColumn("__part", F.when(F.col("__first") | F.col("__last"), F.lit(-1)).otherwise(F.col(block)))
-    edge = Window.partitionBy(*keys, "__part").orderBy(F.col(block), *order)
-    for new, old in lag.items():
-        out = out.withColumn(f"__out_{new}", F.lag(old).over(edge))
-    for new, old in lead.items():
-        out = out.withColumn(f"__out_{new}", F.lead(old).over(edge))
+        out = out.withColumn(f"__in_{new}" if hot else new, F.lead(old).over(inner))
+    if not hot:
+        return out
+    out = out.join(F.broadcast(edges), [*keys, block], "left")
     for new in lag:
-        out = out.withColumn(new, F.when(F.col("__first"), F.col(f"__out_{new}")).otherwise(F.col(f"__in_{new}")))
+        out = out.withColumn(new, F.when(F.col("__first"), F.col(f"__from_before.__x_{new}")).otherwise(F.col(f"__in_{new}")))
     for new in lead:
-        out = out.withColumn(new, F.when(F.col("__last"), F.col(f"__out_{new}")).otherwise(F.col(f"__in_{new}")))
-    return out.drop("__first", "__last", "__part", *[f"__in_{n}" for n in (*lag, *lead)], *[f"__out_{n}" for n in (*lag, *lead)])
-
+        out = out.withColumn(new, F.when(F.col("__last"), F.col(f"__from_after.__x_{new}")).otherwise(F.col(f"__in_{new}")))
+    return out.drop("__first", "__last", "__from_before", "__from_after", *[f"__in_{n}" for n in (*lag, *lead)])
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, block: str = BLOCK) -> DataFrame:
-    """row_number from 1 over (keys, order), hot keys included: number within the block plus the rows of the blocks before.
 
-    The offsets table holds a row for each (key, block) of hot keys, so at most 200 rows for each of at most 1/HOT_SHARE hot
-    keys: small enough to broadcast whatever the size of the data.
-    """
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, block: str = BLOCK, hot: bool = True) -> DataFrame:
+    """row_number from 1 over (keys, order), hot keys included: number within the block plus the rows of the blocks before."""
+    if not hot:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     inner = Window.partitionBy(*keys, block).orderBy(*order)
     sizes = df.where(F.col(block) > 0).groupBy(*keys, block).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
@@ -110,10 +120,15 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], na
     )
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, how: str, current: bool = True, block: str = BLOCK) -> DataFrame:
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, how: str, current: bool = True, block: str = BLOCK, hot: bool = True
+) -> DataFrame:
     """Running 'sum', 'max' or 'last' (of non-null values) over (keys, order), hot keys included: within the block, joined with what the blocks
-    before give. `current` says whether a row sees itself. The table of blocks is as small as that of `ranked`."""
+    before give. `current` says whether a row sees itself."""
     aggregate = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    if not hot:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+        return df.withColumn(name, aggregate(value).over(plain))
     rows = df.withColumn("__value", value)
     inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
     whole = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]))) if how == "last" else aggregate("__value")
@@ -128,6 +143,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], v
     return out.withColumn(name, both).drop("__value", "__own", "__carried")
 
 
-def blocked(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """df with its block numbers, by bounds found in df itself."""
-    return with_block(df, hot_bounds(df.select(*keys, order), keys, order, hot_rows, piece_rows), keys, order)
+def blocked(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, bool]:
+    """df with its block numbers, by bounds found in df itself, and whether any key is hot."""
+    bounds = hot_bounds(df.select(*keys, order), keys, order, hot_rows, piece_rows)
+    return with_block(df, bounds, keys, order), bounds is not None

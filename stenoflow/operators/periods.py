@@ -32,8 +32,9 @@ def periods_and_gaps(
     rows = cut(df.where(ok).select(*keys, F.col(begin).cast("long").alias("__s"), F.col(end).cast("long").alias("__e")))
     bounds = hot_bounds(rows, keys, "__s", hot_rows, piece_rows)
     point = lambda c: with_block(rows.select(*keys, F.col(c).alias("__t")), bounds, keys, "__t")
-    starts = ranked(point("__s"), keys, [F.col("__t")], "__k")
-    ends = ranked(point("__e"), keys, [F.col("__t")], "__k")
+    hot = bounds is not None
+    starts = ranked(point("__s"), keys, [F.col("__t")], "__k", hot=hot)
+    ends = ranked(point("__e"), keys, [F.col("__t")], "__k", hot=hot)
     paired = (
         starts.select(*keys, (F.col("__k") - 1).alias("__k"), F.col("__t").alias("__next_s"), F.lit(None).cast("long").alias("__this_e"))
         .unionByName(ends.select(*keys, "__k", F.lit(None).cast("long").alias("__next_s"), F.col("__t").alias("__this_e")))
@@ -42,7 +43,7 @@ def periods_and_gaps(
     )
     cuts = paired.where("__this_e is null or __next_s is null or __next_s > __this_e")
     cuts = with_block(cuts.withColumn("__t", F.coalesce("__this_e", "__next_s")), bounds, keys, "__t")
-    near = neighbours(cuts, keys, [F.col("__k")], lead={"__period_e": "__this_e"})
+    near = neighbours(cuts, keys, [F.col("__k")], lead={"__period_e": "__this_e"}, hot=hot)
     both = F.filter(
         F.array(
             F.struct(F.lit("period").alias("kind"), F.col("__next_s").alias(begin), F.col("__period_e").alias(end)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -52,20 +52,28 @@ def q_languages_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lang"))), lambda x: x["lang"]), "/").alias("langs"))
 
 
-# fixed values: frequent function words by which Romanian in Cyrillic letters is told from Russian
-RO_WORDS = "де ла ку пе ши дин ын каре че ну да ам аре е а есте сунт".split()
-RU_WORDS = "и в не на что я он она с это как мы у нас по но вы его к за то так же бы уже".split()
+# fixed values: function words by which Romanian in Cyrillic letters is told from Russian
+RO_WORDS = """de la cu pe și si din în in care ce nu da am ai are e a este sunt el ea noi voi ei ele
+un o unui unei să sa mai deci acum dar sau pentru după dupa până pana ca că foarte fost face îi ii le lui ei
+dânsul dansul dânsa pacientul pacienta patul azi mâine maine bine așa asa tot toate""".split()
+RU_WORDS = """и в не на что я он она с это как а мы у нас есть по но вы его ее её к за то так же
+бы уже или да нет был была были мне тоже там здесь все всё только вот ну если когда""".split()
 
 
 @query(f"""with {SEG}, w as (select meeting_id, seg_idx, regexp_extract_all(lower(text), '[а-яё]+') as ws from seg where text is not null),
-c as (select *, len(list_filter(ws, lambda x: list_contains({RO_WORDS!r}, x))) as ro, len(list_filter(ws, lambda x: list_contains({RU_WORDS!r}, x))) as ru from w)
+c as (select *, len(list_filter(ws, lambda x: list_contains({RO_WORDS!r}, {X.latin_of_cyrillic_sql('x')}))) as ro, len(list_filter(ws, lambda x: list_contains({RU_WORDS!r}, x))) as ru from w)
 select meeting_id, seg_idx, case when len(ws) < 3 then 0.0 else round(ro / greatest(1, ro + ru), 6) end as ratio from c where len(ws) > 0""")
 def q_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of Romanian among the function words of Cyrillic texts; 0 under three words."""
-    ws = F.regexp_extract_all(F.lower("text"), F.lit("[а-яё]+"), 0)
-    rows = segments(spark, sf_dir, "text").where("text is not null").select("meeting_id", "seg_idx", ws.alias("ws")).where("size(ws) > 0")
-    ro, ru = F.size(F.filter("ws", lambda x: x.isin(*RO_WORDS))), F.size(F.filter("ws", lambda x: x.isin(*RU_WORDS)))
-    return rows.select("meeting_id", "seg_idx", F.when(F.size("ws") < 3, F.lit(0.0)).otherwise(F.round(ro / F.greatest(F.lit(1), ro + ru), 6)).alias("ratio"))
+    """Share of Romanian, read in Latin letters, among the function words of Cyrillic texts; 0 under three words."""
+    rows = segments(spark, sf_dir, "text").where("text is not null and lower(text) rlike '[а-яё]'")
+    return rows.select("meeting_id", "seg_idx", F.round(cyrillic_romanian(F.col("text")), 6).alias("ratio"))
+
+
+def cyrillic_romanian(text: Column) -> Column:
+    """Romanian function words as a share of the Romanian and Russian ones among a text's Cyrillic words; 0 under three words."""
+    ws = F.regexp_extract_all(F.lower(text), F.lit("[а-яё]+"), 0)
+    ro, ru = F.size(F.filter(ws, lambda x: X.latin_of_cyrillic(x).isin(*RO_WORDS))), F.size(F.filter(ws, lambda x: x.isin(*RU_WORDS)))
+    return F.when(F.size(ws) < 3, F.lit(0.0)).otherwise(ro / F.greatest(F.lit(1), ro + ru))
 
 
 @query("""select source, doc_kind, arg_min(doc_id, (-n_chars, doc_id)) as longest, max(n_chars) as n_chars from documents group by 1, 2""")
@@ -197,9 +205,14 @@ def q_numeric_speaker_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_sample_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five documents of each source, chosen by a seeded hash."""
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id"))).where("n <= 5")
+    """Five documents of 100 to 20,000 characters from each source, chosen by a seeded hash.
+
+    The five of each source and hash bucket are found first, so that no source meets in one task with more than five rows a bucket.
+    """
+    rows = table(spark, sf_dir, "documents").where("n_chars between 100 and 20000").select("source", "doc_id", F.xxhash64("doc_id", F.lit(42)).alias("h"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    few = rows.withColumn("n", first("source", F.pmod("h", F.lit(1024)))).where("n <= 5")
+    return few.withColumn("n", first("source")).where("n <= 5").select("source", "doc_id", "n")
 
 
 @query()

@@ -46,18 +46,31 @@ def q_job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "job").select("id", "status", "source_name", "meeting_type", "created").orderBy(F.desc("id"))
 
 
-# fixed values: share of the work that each stage stands for
-STAGE_WEIGHTS = {"audio": 5, "asr": 45, "diarize": 15, "llm": 30, "document": 5}
-_WEIGHTS = "map {" + ", ".join(f"'{k}': {v}" for k, v in STAGE_WEIGHTS.items()) + "}"
-
-
-@query(f"""with s as (select id, unnest(map_entries(stages)) as e from job) select id, count(*) as stages, count(*) filter (where e.value.status = 'done') as done, round(sum(coalesce(e.value.seconds, 0)), 2) as seconds, round(sum(coalesce({_WEIGHTS}[e.key], 0) * coalesce(case when e.value.status = 'done' then 1.0 else e.value.progress end, 0)), 4) as progress from s group by 1""")
+# fixed values: share of the work that each stage stands for, in the order of the stages
+STAGE_WEIGHTS = {"audio": 0.03, "asr": 0.45, "diarize": 0.04, "minutes": 0.44, "document": 0.02, "delivery": 0.02}
+_NAMES = list(STAGE_WEIGHTS)
+_PAST = "'done', 'skipped'"
+_WORK = " + ".join(
+    f"case when {' and '.join([f'coalesce(stages[{p!r}].status in ({_PAST}), false)' for p in _NAMES[:i]] or ['true'])} then case when stages[{n!r}].status in ({_PAST}) then {w} when stages[{n!r}].status in ('running', 'error') then {w} * coalesce(stages[{n!r}].progress, 0) else 0 end else 0 end"
+    for i, (n, w) in enumerate(STAGE_WEIGHTS.items())
+)
+
+
+@query(f"""with s as (select id, unnest(map_entries(stages)) as e from job), c as (select id, count(*) as stages, count(*) filter (where e.value.status = 'done') as done, round(sum(coalesce(e.value.seconds, 0)), 2) as seconds from s group by 1)
+select c.*, round({_WORK.replace("stages[", "j.stages[")}, 4) as progress from c join job j on c.id = j.id""")
 def q_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages done, seconds spent and weighted progress of each job."""
-    e = table(spark, sf_dir, "job").select("id", F.explode("stages").alias("name", "s"))
-    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGE_WEIGHTS.items() for x in kv]), F.col("name")), F.lit(0))
-    part = F.coalesce(F.when(F.col("s.status") == "done", F.lit(1.0)).otherwise(F.col("s.progress")), F.lit(0.0))
-    return e.groupBy("id").agg(F.count(F.lit(1)).alias("stages"), F.count_if(F.col("s.status") == "done").alias("done"), F.round(F.sum(F.coalesce("s.seconds", F.lit(0.0))), 2).alias("seconds"), F.round(F.sum(weight * part), 4).alias("progress"))
+    """Stages done, seconds spent, and progress: the weights of the stages up to the first unfinished one, of which its own share counts."""
+    job = table(spark, sf_dir, "job").select("id", "stages").where("size(stages) > 0")
+    progress, open_ = F.lit(0.0), F.lit(True)
+    for name, weight in STAGE_WEIGHTS.items():
+        status, share = F.col("stages")[name]["status"], F.coalesce(F.col("stages")[name]["progress"], F.lit(0.0))
+        past = F.coalesce(status.isin("done", "skipped"), F.lit(False))
+        progress = progress + F.when(open_ & past, weight).when(open_ & status.isin("running", "error"), share * weight).otherwise(0.0)
+        open_ = open_ & past
+    values = F.map_values("stages")
+    done = F.size(F.filter(values, lambda s: s["status"] == "done")).cast("long")
+    seconds = F.aggregate(values, F.lit(0.0), lambda a, s: a + F.coalesce(s["seconds"], F.lit(0.0)))
+    return job.select("id", F.size("stages").cast("long").alias("stages"), done.alias("done"), F.round(seconds, 2).alias("seconds"), F.round(progress, 4).alias("progress"))
 
 
 @query("""select id, case meeting_type when 'medical' then 'branch_medical' when 'executive' then 'branch_executive' when 'administrative' then 'branch_administrative' end as branch, case when meeting_type in ('medical', 'executive') then 'high' else 'normal' end as priority from job where meeting_type in ('medical', 'executive', 'administrative')""")

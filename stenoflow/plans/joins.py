@@ -243,22 +243,12 @@ def q_decisions_not_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.join(said, ["meeting_id", "part_idx", "item_idx"], "left_anti").select("meeting_id", "part_idx", "item_idx")
 
 
-@query("""
-with s as (select distinct meeting_id, seg_idx, "start" as s, "end" as e from segment where "end" > "start"), w as (select distinct id, unnest(generate_series(0, 20)) * 120.0 as ws from job)
-select w.id as meeting_id, cast(w.ws as double) as win, s.seg_idx, greatest(s.s, w.ws) as part_start, least(s.e, w.ws + 60) as part_end from w join s on s.meeting_id = w.id and s.s < w.ws + 60 and s.e > w.ws where least(s.e, w.ws + 60) - greatest(s.s, w.ws) > 0.3""")
-def q_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments within the evaluation windows of the first 41 minutes, cut to them, where more than 0.3 s is left."""
-    spans = _spans(spark, sf_dir)
-    windows = table(spark, sf_dir, "job").select(F.col("id").alias("meeting_id")).distinct().withColumn("last", F.lit(20))
-    return _within(_every_other_minute(windows), spans)
-
-
 @query("""
 with s as (select distinct meeting_id, seg_idx, "start" as s, "end" as e from segment where "end" > "start"), m as (select meeting_id, cast(floor(greatest(0, max(e)) / 120) as bigint) as last from s group by 1),
 w as (select id, unnest(generate_series(0, last)) * 120.0 as ws from (select distinct id from job) join m on id = m.meeting_id)
 select w.id as meeting_id, cast(w.ws as double) as win, s.seg_idx, greatest(s.s, w.ws) as part_start, least(s.e, w.ws + 60) as part_end from w join s on s.meeting_id = w.id and s.s < w.ws + 60 and s.e > w.ws where least(s.e, w.ws + 60) - greatest(s.s, w.ws) > 0.3""")
-def q_interval_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, with evaluation windows up to the last end of each meeting."""
+def q_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments within the evaluation windows, a minute in every two up to the last end of each meeting, cut to them, where more than 0.3 s is left."""
     spans = _spans(spark, sf_dir)
     last = spans.where("e > s").groupBy("meeting_id").agg(F.floor(F.greatest(F.lit(0.0), F.max("e")) / 120).cast("int").alias("last"))
     windows = table(spark, sf_dir, "job").select(F.col("id").alias("meeting_id")).distinct().join(last, "meeting_id")

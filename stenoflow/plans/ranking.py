@@ -88,21 +88,10 @@ def q_keep_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_edits(ref: list[str], hyp: list[str]) -> int:
-    """Insertions, deletions and substitutions between two word lists: what both begin and end with is set aside, the rest goes through one
-    row of the distance table at a time."""
-    while ref and hyp and ref[-1] == hyp[-1]:
-        ref, hyp = ref[:-1], hyp[:-1]
-    same = 0
-    while same < min(len(ref), len(hyp)) and ref[same] == hyp[same]:
-        same += 1
-    ref, hyp = ref[same:], hyp[same:]
-    row = list(range(len(hyp) + 1))
-    for i, word in enumerate(ref, 1):
-        left, diagonal, row[0] = i, row[0], i
-        for j, other in enumerate(hyp, 1):
-            diagonal, left = row[j], min(row[j] + 1, left + 1, diagonal + (word != other))
-            row[j] = left
-    return row[-1]
+    """Insertions, deletions and substitutions between two word lists: each word becomes one character, and the characters are compared."""
+    signs: dict[str, str] = {}
+    as_text = lambda words: "".join([signs.setdefault(w, chr(len(signs))) for w in words])
+    return char_edits(as_text(ref), as_text(hyp))
 
 
 def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,22 +147,13 @@ def _char_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(edits=[char_edits(a, b) for a, b in zip(pdf["a"], pdf["b"])], n=pdf["a"].str.len())[["lang", "edits", "n"]].astype({"edits": "int64", "n": "int64"})
 
 
-_ASCII = "regexp_replace(translate(lower({0}), 'ăâîșțşţáàäéèëêíïóöôúüûçñйё', 'aaiststaaaeeeeiiooouuucnие'), '[^a-z0-9 ]', '', 'g')"
+# one sign for each letter, so that SQL's distance, which counts bytes, counts characters
+_FOLDED = "translate(regexp_replace(translate(lower({0}), 'ăâîșțşţáàäéèëêíïóöôúüûçñйё', 'aaiststaaaeeeeiiooouuucnие'), '[^a-zа-я0-9 ]', '', 'g'), 'абвгдежзийклмнопрстуфхцчшщъыьэюя', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*')"
 
 
-@query(f"""with {SEG}, t as (select lang, {_ASCII.format('text')} as a, {_ASCII.format('raw_text')} as b from seg where lang in ('ro', 'en') and text is not null and raw_text is not null and length(text) < 400)
-select lang, cast(sum(levenshtein(a, b)) as bigint) as edits, cast(sum(length(a)) as bigint) as chars from t where length(a) < 400 and length(b) < 400 group by 1""")
+@query(f"""with {SEG}, t as (select lang, {_FOLDED.format('text')} as a, {_FOLDED.format('raw_text')} as b from seg where lang in ('ro', 'ru', 'en') and text is not null and raw_text is not null)
+select lang, cast(sum(levenshtein(a, b)) as bigint) as edits, cast(sum(length(a)) as bigint) as chars from t group by 1""")
 def q_character_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character edits on accent-folded text, for Romanian and English segments under 400 characters."""
-    from ..functions.text import without_diacritics
-
-    fold = lambda c: F.regexp_replace(without_diacritics(F.col(c)), "[^a-z0-9 ]", "")
-    rows = segments(spark, sf_dir, "text", "raw_text", "lang").where("lang in ('ro', 'en') and text is not null and raw_text is not null and length(text) < 400").select("lang", fold("text").alias("a"), fold("raw_text").alias("b"))
-    return rows.where("length(a) < 400 and length(b) < 400").groupBy("lang").agg(F.sum(F.levenshtein("a", "b").cast("long")).alias("edits"), F.sum(F.length("a").cast("long")).alias("chars"))
-
-
-@query()
-def q_character_edits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character edits on accent-folded text of any length, in Romanian, Russian and English."""
     from ..functions.text import without_diacritics
 
@@ -231,13 +211,16 @@ def q_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 k as (select * from (select *, row_number() over (partition by label, a order by w desc, b) as r from s) where r <= 3), u as (select label, a, b, w / 2 as w from k union all select label, b, a, w / 2 from k)
 select label, a, b, round(sum(w), 4) as w from u group by 1, 2, 3""")
 def q_knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: within each group the three strongest neighbours of every vector, made symmetric by halves."""
+    """M1: within each label the three strongest neighbours of every vector, made symmetric by halves; labels of any size go chunk by chunk."""
     return vectors.pruned_graph(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 3).withColumn("w", F.round("w", 4))
 
 
 @query()
 def q_spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectral clustering with the number of clusters from the eigenvalue gap, small clusters absorbed."""
+    """Spectral clustering with the number of clusters from the eigenvalue gap, small clusters absorbed.
+
+    The embeddings name no recording, so a hundred consecutive ids stand for one.
+    """
     rows = table(spark, sf_dir, "embeddings").withColumn("grp", F.floor(F.col("vec_id") / 100).cast("long"))
     return vectors.spectral(rows, "grp", "vec_id", "embedding")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import bed_number, seconds_of
 from ..operators import folds
 from ..operators.asof import asof_backward, islands
-from ..operators.blocks import blocked, neighbours, running
-from ..session import table
+from ..operators.blocks import blocked, neighbours, ranked, running
+from ..session import cut, table
 from .base import ACT, DEC, SEG, Registry, items, segments
 
 query = Registry()
@@ -60,8 +60,9 @@ select meeting_id, cast(turn as bigint) as turn, min(who) as speaker, min("start
 def q_turns_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 without a cap: runs of one raw speaker with pauses of at most two seconds."""
     rows = segments(spark, sf_dir, "start", "end", "speaker").where(F.col("end").isNotNull()).withColumn("who", F.coalesce("speaker", F.lit("S?")))
-    near = neighbours(blocked(rows, _BY, "start"), _BY, _ORDER, lag={"before": "who", "ended": "end"})
-    runs = islands(near, _BY, _ORDER, ~((F.col("before") == F.col("who")) & (F.col("start") - F.col("ended") <= 2.0)), "turn")
+    rows, hot = blocked(rows, _BY, "start")
+    near = neighbours(rows, _BY, _ORDER, lag={"before": "who", "ended": "end"}, hot=hot)
+    runs = islands(near, _BY, _ORDER, ~((F.col("before") == F.col("who")) & (F.col("start") - F.col("ended") <= 2.0)), "turn", hot)
     return runs.groupBy("meeting_id", "turn").agg(F.min("who").alias("speaker"), F.min("start").alias("turn_start"), F.max("end").alias("turn_end"), F.count(F.lit(1)).alias("segments"), F.min("seg_idx").alias("first_seg"))
 
 
@@ -83,9 +84,11 @@ def q_chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(rows, ["meeting_id"], [F.col("start"), F.col("seg_idx")], folds.Chunks, "meeting_id string, chunk long, seg_idx long, overlap boolean")
 
 
-def _beds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segments(spark, sf_dir, "start", "text").withColumn("spoken", bed_number(F.col("text")))
-    return running(blocked(rows, _BY, "start"), _BY, _ORDER, F.col("spoken"), "bed", "last")
+def _beds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Slim rows with the bed spoken of last, written once, as several windows read them."""
+    rows = segments(spark, sf_dir, "start", "text").select("meeting_id", "seg_idx", "start", F.length(F.coalesce("text", F.lit(""))).alias("chars"), bed_number(F.col("text")).alias("spoken"))
+    rows, hot = blocked(cut(rows), _BY, "start")
+    return running(rows, _BY, _ORDER, F.col("spoken"), "bed", "last", hot=hot), hot
 
 
 _BEDS = f"""{SEG},
@@ -95,15 +98,16 @@ i as (select *, cast(sum(c) over (partition by meeting_id order by "start", seg_
 
 
 def _bed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbours(_beds(spark, sf_dir), _BY, _ORDER, lag={"before": "bed", "earlier": "seg_idx"})
-    return islands(near, _BY, _ORDER, F.col("earlier").isNull() | ~F.col("bed").eqNullSafe(F.col("before")))
+    beds, hot = _beds(spark, sf_dir)
+    near = neighbours(beds, _BY, _ORDER, lag={"before": "bed", "earlier": "seg_idx"}, hot=hot)
+    return islands(near, _BY, _ORDER, F.col("earlier").isNull() | ~F.col("bed").eqNullSafe(F.col("before")), hot=hot)
 
 
 @query(f"with {_BEDS} select meeting_id, island, min(bed) as bed, count(*) as segments, cast(sum(length(coalesce(text, '')) + 30) as bigint) as size, min(seg_idx) as first_seg from i group by 1, 2")
 def q_topic_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3, first half: runs of segments about the same bed, where none is a value."""
     return _bed_islands(spark, sf_dir).groupBy("meeting_id", "island").agg(
-        F.min("bed").alias("bed"), F.count(F.lit(1)).alias("segments"), F.sum(F.length(F.coalesce("text", F.lit(""))) + 30).alias("size"), F.min("seg_idx").alias("first_seg")
+        F.min("bed").alias("bed"), F.count(F.lit(1)).alias("segments"), F.sum(F.col("chars") + 30).alias("size"), F.min("seg_idx").alias("first_seg")
     )
 
 
@@ -117,7 +121,8 @@ def q_topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_BEDS}, m as (select *, lag(bed) over (partition by meeting_id order by \"start\", seg_idx) as before from b) select meeting_id, seg_idx, bed from m where bed is not null and bed is distinct from before")
 def q_topic_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marker where the bed spoken of changes; the last marker holds across segments that name none."""
-    return neighbours(_beds(spark, sf_dir), _BY, _ORDER, lag={"before": "bed"}).where("bed is not null and not (bed <=> before)").select("meeting_id", "seg_idx", "bed")
+    beds, hot = _beds(spark, sf_dir)
+    return neighbours(beds, _BY, _ORDER, lag={"before": "bed"}, hot=hot).where("bed is not null and not (bed <=> before)").select("meeting_id", "seg_idx", "bed")
 
 
 @query("""
@@ -125,8 +130,9 @@ with r as (select user_id, event_id, event_type, lag(event_type) over w as a, le
 select event_id, case when a = event_type or c = event_type then event_type when a is not null and a = c then a else least(event_type, coalesce(a, event_type), coalesce(c, event_type)) end as smooth from r""")
 def q_mode_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent of three neighbouring labels; ties go to the smallest, the edges have two."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("b"), F.lag("event_type").over(w).alias("a"), F.lead("event_type").over(w).alias("c"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").alias("b"))
+    rows, hot = blocked(rows, ["user_id"], "t")
+    rows = neighbours(rows, ["user_id"], ["t", "event_id"], lag={"a": "b"}, lead={"c": "b"}, hot=hot)
     pick = F.when((F.col("a") == F.col("b")) | (F.col("c") == F.col("b")), F.col("b")).when(F.col("a") == F.col("c"), F.col("a")).otherwise(F.least("b", F.coalesce("a", "b"), F.coalesce("c", "b")))
     return rows.select("event_id", pick.alias("smooth"))
 
@@ -150,8 +156,9 @@ select meeting_id, part_idx, item_idx, t as seconds, 'D' || cast(row_number() ov
 def q_sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions in order of time, unknown times first, with sequential ids."""
     rows = items(spark, sf_dir, "decision").withColumn("seconds", F.coalesce(seconds_of(F.col("timestamp")), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("meeting_id").orderBy("seconds", "part_idx", "item_idx"))
-    return rows.select("meeting_id", "part_idx", "item_idx", "seconds", F.concat(F.lit("D"), n).alias("id"))
+    rows, hot = blocked(rows.select("meeting_id", "part_idx", "item_idx", "seconds"), _BY, "seconds")
+    rows = ranked(rows, _BY, ["seconds", "part_idx", "item_idx"], "n", hot=hot)
+    return rows.select("meeting_id", "part_idx", "item_idx", "seconds", F.concat(F.lit("D"), "n").alias("id"))
 
 
 @query(f"""
@@ -160,10 +167,15 @@ select meeting_id, part_idx, item_idx, cast(row_number() over (partition by meet
   cast(row_number() over (partition by meeting_id, s order by part_idx, item_idx) as int) as within from o""")
 def q_continuous_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks numbered through the groups of a meeting, the general group last, and within their group."""
-    rows = items(spark, sf_dir, "action_item").withColumn("s", F.coalesce("subject", F.lit("")))
-    through = Window.partitionBy("meeting_id").orderBy(F.when(F.col("s") == "", 1).otherwise(0), "s", "part_idx", "item_idx")
-    inside = Window.partitionBy("meeting_id", "s").orderBy("part_idx", "item_idx")
-    return rows.select("meeting_id", "part_idx", "item_idx", F.row_number().over(through).alias("number"), F.row_number().over(inside).alias("within"))
+    rows = items(spark, sf_dir, "action_item").select("meeting_id", "part_idx", "item_idx", F.coalesce("subject", F.lit("")).alias("s"))
+    rows, hot = blocked(rows, ["meeting_id", "s"], "part_idx")
+    rows = ranked(rows, ["meeting_id", "s"], ["part_idx", "item_idx"], "within", hot=hot).drop("__block")
+    # a group's numbers follow those of the groups before it: one row for each group, not for each task
+    groups = rows.groupBy("meeting_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("meeting_id").orderBy(F.when(F.col("s") == "", 1).otherwise(0), "s").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("meeting_id", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    rows = rows.join(groups, ["meeting_id", "s"])
+    return rows.select("meeting_id", "part_idx", "item_idx", (F.col("off") + F.col("within")).cast("int").alias("number"), F.col("within").cast("int").alias("within"))
 
 
 @query(f"""
@@ -186,16 +198,19 @@ def q_merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping or touching spans merged, by the running largest end."""
     rows = segments(spark, sf_dir, "start", "end").where(F.col("end") > F.col("start"))
     order = [F.col("start"), F.col("end"), F.col("seg_idx")]
-    reach = running(blocked(rows, _BY, "start"), _BY, order, F.col("end"), "reach", "max", current=False)
-    runs = islands(reach, _BY, order, F.col("start") > F.col("reach"), "span")
+    rows, hot = blocked(rows, _BY, "start")
+    reach = running(rows, _BY, order, F.col("end"), "reach", "max", current=False, hot=hot)
+    runs = islands(reach, _BY, order, F.col("start") > F.col("reach"), "span", hot)
     return runs.groupBy("meeting_id", "span").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.count(F.lit(1)).alias("members"))
 
 
 @query("select id, case when status = 'queued' then cast(row_number() over (partition by status order by created, id) as int) else 0 end as queue_position from job")
 def q_queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place in the queue by age, 0 for jobs that do not wait."""
-    place = F.row_number().over(Window.partitionBy("status").orderBy("created", "id"))
-    return table(spark, sf_dir, "job").select("id", F.when(F.col("status") == "queued", place).otherwise(0).alias("queue_position"))
+    jobs = table(spark, sf_dir, "job").select("id", "status", "created")
+    waiting, hot = blocked(jobs.where("status = 'queued'"), ["status"], "created")
+    waiting = ranked(waiting, ["status"], ["created", "id"], "queue_position", hot=hot).select("id", F.col("queue_position").cast("int").alias("queue_position"))
+    return waiting.unionByName(jobs.where("not (status <=> 'queued')").select("id", F.lit(0).alias("queue_position")))
 
 
 @query(f"""
@@ -204,7 +219,8 @@ def q_neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 160 characters before and the first 160 after each segment."""
     t = F.coalesce("text", F.lit(""))
     rows = segments(spark, sf_dir, "start", "text").select("meeting_id", "seg_idx", "start", F.right(t, F.lit(160)).alias("tail"), F.left(t, F.lit(160)).alias("head"))
-    near = neighbours(blocked(rows, _BY, "start"), _BY, _ORDER, lag={"before": "tail"}, lead={"after": "head"})
+    rows, hot = blocked(rows, _BY, "start")
+    near = neighbours(rows, _BY, _ORDER, lag={"before": "tail"}, lead={"after": "head"}, hot=hot)
     return near.select("meeting_id", "seg_idx", "before", "after")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerals, speech, text as X
@@ -36,12 +36,7 @@ def q_phonetic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(X.phonetic_key(F.col("word")).alias("sound")).agg(F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("canonical"), F.count(F.lit(1)).alias("forms"))
 
 
-_CYR = "lower(word)"
-for _a, _b in X._CYRILLIC_TWO:
-    _CYR = f"replace({_CYR}, '{_a}', '{_b}')"
-
-
-@query(f"select distinct word, translate({_CYR}, '{X._CYRILLIC_ONE[0]}', '{X._CYRILLIC_ONE[1]}') as latin from lexicon where lang = 'ru' and word is not null")
+@query(f"select distinct word, {X.latin_of_cyrillic_sql('lower(word)')} as latin from lexicon where lang = 'ru' and word is not null")
 def q_transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cyrillic words in Latin letters."""
     return table(spark, sf_dir, "lexicon").where("lang = 'ru' and word is not null").select("word", X.latin_of_cyrillic(F.col("word")).alias("latin")).distinct()
@@ -70,7 +65,7 @@ def q_repeats_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Romanian numerals in digits, where a text has any."""
-    has = F.lower("text").rlike(r"(?U)\b(?:" + numerals._NUMBER_WORD + r")\b")
+    has = F.lower("text").rlike(r"(?U)\b(?:" + "|".join(numerals.PROPER) + r")\b")
     return segments(spark, sf_dir, "text", "lang").where(has).select("meeting_id", "seg_idx", numerals.numerals_to_digits("text").alias("digits"))
 
 
@@ -89,16 +84,19 @@ def q_sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select a.word as a, b.word as b from (select distinct word from lexicon where lang = 'ro') a join (select distinct word from lexicon where lang = 'ro') b on left(a.word, 3) = left(b.word, 3) and a.word < b.word),
-n as (select a, b, unnest(generate_series(1, least(length(a), length(b)))) as i from p)
-select a, b, cast(max(case when left(a, i) = left(b, i) then i end) as int) as prefix from n group by a, b""")
+with w as (select distinct lang, word from lexicon where length(word) >= 3), p as (select a.lang, a.word, b.word as b from w a join w b on a.lang = b.lang and left(a.word, 3) = left(b.word, 3) and a.word != b.word),
+n as (select lang, word, b, unnest(generate_series(3, least(length(word), length(b)))) as i from p)
+select lang, word, cast(max(case when left(word, i) = left(b, i) then i end) as int) as prefix from n group by 1, 2""")
 def q_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: the longest common prefix of words that share three letters."""
-    words = table(spark, sf_dir, "lexicon").where("lang = 'ro'").select("word").distinct()
-    a, b = words.select(F.col("word").alias("a"), F.left("word", F.lit(3)).alias("k")), words.select(F.col("word").alias("b"), F.left("word", F.lit(3)).alias("k"))
-    pairs = a.join(b, "k").where("a < b")
-    same = F.filter(F.sequence(F.lit(1), F.least(F.length("a"), F.length("b"))), lambda i: F.col("a").substr(F.lit(1), i) == F.col("b").substr(F.lit(1), i))
-    return pairs.select("a", "b", F.array_max(same).alias("prefix"))
+    """F8: the longest prefix, of three letters or more, that each word shares with another word of its language.
+
+    In the order of the alphabet the word that shares most is a neighbour, so each word meets two others and not all of its group.
+    """
+    words = table(spark, sf_dir, "lexicon").where("length(word) >= 3").select("lang", "word", F.left("word", F.lit(3)).alias("k")).distinct()
+    near = Window.partitionBy("lang", "k").orderBy("word")
+    same = lambda other: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(3), F.least(F.length("word"), F.length(other))), lambda i: F.col("word").substr(F.lit(1), i) == F.col(other).substr(F.lit(1), i))), F.lit(0))
+    rows = words.where("lang is not null").withColumn("a", F.lag("word").over(near)).withColumn("b", F.lead("word").over(near))
+    return rows.where("a is not null or b is not null").select("lang", "word", F.greatest(same("a"), same("b")).cast("int").alias("prefix"))
 
 
 # fixed values: units and terms with their abbreviations, in the order they are tried

@@ -54,7 +54,7 @@ def test_rank_and_neighbours(spark):
     rows = [("hot" if i % 3 else "cold", rng.randrange(50), i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, t long, id long")
     bounds = hot_bounds(df, ["k"], "t", hot_rows=10, piece_rows=20)
-    assert bounds.count() == 2
+    assert bounds.count() == 2 and hot_bounds(df, ["k"], "t") is None
     cut = with_block(df, bounds, ["k"], "t")
     order = [F.col("t"), F.col("id")]
     got = neighbours(ranked(cut, ["k"], order, "n"), ["k"], order, lag={"before": "id"}, lead={"after": "id"}).collect()
@@ -83,3 +83,29 @@ def test_running(spark, current):
             known = [x for x in now if x is not None]
             assert got[i] == ((sum(known), max(known), known[-1]) if known else (None, None, None))
             seen = seen + [v]
+
+
+def test_many_hot_keys_with_many_pieces(spark):
+    """More hot keys, and more pieces of a key, than one group of bounds has."""
+    rows = [(k, t, t) for k in range(300) for t in range(12)] + [(1000, t // 2, t) for t in range(2500)] + [(1000, None, -1), (None, 3, 5)]
+    df = spark.createDataFrame(rows, "k int, t long, id long")
+    bounds = hot_bounds(df, ["k"], "t", hot_rows=10, piece_rows=3)
+    assert bounds.count() == 301
+    cut = with_block(df, bounds, ["k"], "t")
+    order = [F.col("t"), F.col("id")]
+    got = neighbours(ranked(cut, ["k"], order, "n"), ["k"], order, lag={"before": "id"}, lead={"after": "id"}).where("k is not null").collect()
+    assert max(r["__block"] for r in got) > 256
+    for key in (0, 299, 1000):
+        mine = sorted(((t is not None, t or 0, i) for k, t, i in rows if k == key))
+        want = {i: (n, mine[n - 2][2] if n > 1 else None, mine[n][2] if n < len(mine) else None) for n, (_, _, i) in enumerate(mine, 1)}
+        assert {r["id"]: (r["n"], r["before"], r["after"]) for r in got if r["k"] == key} == want
+
+
+def test_plain_windows_agree(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 3), ("a", 2, 4)], "k string, t long, id long")
+    assert hot_bounds(df, ["k"], "t") is None
+    rows = with_block(df, None, ["k"], "t")
+    order = [F.col("t"), F.col("id")]
+    for hot in (True, False):
+        out = neighbours(running(ranked(rows, ["k"], order, "n", hot=hot), ["k"], order, F.col("id"), "s", "sum", hot=hot), ["k"], order, lag={"b": "id"}, lead={"c": "id"}, hot=hot)
+        assert {r["id"]: (r["n"], r["s"], r["b"], r["c"]) for r in out.collect()} == {1: (1, 1, None, 2), 2: (2, 3, 1, 4), 4: (3, 7, 2, None), 3: (1, 3, None, None)}

@@ -79,7 +79,34 @@ def test_spectral_clusters_find_groups():
     centers = np.eye(8)[:3]
     e = np.vstack([centers[i % 3] + rng.normal(scale=0.05, size=8) for i in range(60)])
     e /= np.linalg.norm(e, axis=1, keepdims=True)
-    assert vectors.cluster(e, np.arange(60), fixed=3).tolist() == [i % 3 for i in range(60)]
-    free = vectors.cluster(e, np.arange(60))
+    assert vectors.cluster(e, fixed=3).tolist() == [i % 3 for i in range(60)]
+    free = vectors.cluster(e)
     assert all(len({i % 3 for i in np.flatnonzero(free == c)}) == 1 for c in set(free)), "no cluster mixes two groups"
-    assert vectors.cluster(e[:3], np.arange(3)).tolist() == [0, 0, 0]
+    assert vectors.cluster(e[:3]).tolist() == [0, 0, 0]
+
+
+@pytest.mark.parametrize("chunk", [2048, 7])
+def test_pruned_graph(spark, monkeypatch, chunk):
+    monkeypatch.setattr(vectors, "CHUNK", chunk)
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(50, 5))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    group = [None if i % 7 == 0 else i % 2 for i in range(50)]
+    rows = spark.createDataFrame([(g, i, [float(x) for x in v]) for i, (g, v) in enumerate(zip(group, e))] + [(0, 99, None)], "g int, id long, v array<double>")
+    got = {(r["a"], r["b"]): round(r["w"], 6) for r in vectors.pruned_graph(rows, "g", "id", "v", 2).collect()}
+    want = {}
+    for i in range(50):
+        mine = [j for j in range(50) if j != i and group[j] == group[i]]
+        sims = {j: min(1.0, max(0.0, round(float(e[i] @ e[j]), 9))) for j in mine}
+        for j in sorted(mine, key=lambda j: (-sims[j], j))[:2]:
+            for pair in ((i, j), (j, i)):
+                want[pair] = want.get(pair, 0) + sims[j] / 2
+    assert got == {k: round(w, 6) for k, w in want.items() if w > 0}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    centers = spark.createDataFrame([(i, [float(i == d) for d in range(5)]) for i in range(5)] + [(9, [1.0, 0.0, 0.0, 0.0, 0.0])], "label int, c array<double>")
+    rows = spark.createDataFrame([(i, [float(i == d) + 0.1 for d in range(5)]) for i in range(5)] + [(7, None)], "id long, v array<double>")
+    assert {r["id"]: r["label"] for r in vectors.nearest(rows, centers, "id", "v", "label", "c").collect()} == {i: i for i in range(5)}
+    assert {r["label"] for r in vectors.nearest(rows, centers.limit(0), "id", "v", "label", "c").collect()} == {None}

@@ -30,7 +30,7 @@ def rows(spark, name, folder):
 def test_windows_reach_the_end_of_the_meeting(spark, tables):
     spans = [segment(0, 50.0, 70.0), segment(1, 2530.0, 2600.0), segment(2, 9990.0, 10_030.0), segment(3, 2461.0, 2519.0), segment(4, 5.0, 20.0, meeting="n")]
     folder = tables(segment=(SEGMENT, spans), job=("id string, status string", [("m", "done"), ("n", "done"), ("o", "new")]))
-    got = rows(spark, "q_interval_overlap_whole", folder)
+    got = rows(spark, "q_interval_overlap", folder)
     assert got == [("m", 0.0, 0, 50.0, 60.0), ("m", 2520.0, 1, 2530.0, 2580.0), ("m", 9960.0, 2, 9990.0, 10_020.0), ("n", 0.0, 4, 5.0, 20.0)]
 
 
@@ -87,7 +87,7 @@ def test_character_edits():
 def test_character_edits_of_long_and_russian_texts(spark, tables):
     long, ru = "pacientul respiră greu " * 40, "больной дышит, ёлка"
     said = [segment(0, text=long, raw=long + "da da da "), segment(1, text="Șapte.", raw="sapta"), segment(2, text=ru, raw="больная дышит елка", lang="ru"), segment(3, text=None, raw="x"), segment(4, text="", raw="abc", lang="en")]
-    got = rows(spark, "q_character_edits_whole", tables(segment=(SEGMENT, said)))
+    got = rows(spark, "q_character_edits", tables(segment=(SEGMENT, said)))
     assert got == [("en", 3, 0), ("ro", 9 + 1, len(long) + 5), ("ru", 2, len(ru) - 1)]
 
 
