@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,23 +23,42 @@ a а -   c с -   e е -   i і -   j ј -   o о ο   p р -   s ѕ -   x х -
 A А Α   B В Β   C С -   E Е Ε   H Н Η   I І Ι   J Ј -   K К Κ   M М Μ   N - Ν   O О Ο   P Р Ρ   S Ѕ -   T Т Τ   X Х Χ   Y У Υ   Z - Ζ
 Ă Ӑ -   k к κ
 """
+# fixed values: letters of further scripts, and phonetic signs, that look like the Latin letter before them
+_FURTHER = """
+A Ꭺꓮ  B Ᏼꓐ  C Ꮯꓚ  D Ꭰꓓ  E Ꭼꓰ  G Ꮐꓖ  H Ꮋꓧ  I ꓲ  J Ꭻꓙ  K Ꮶꓗ  L Ꮮꓡ  M Ꮇꓟ  N ꓠ  O Օꓳ  P Ꮲꓑ  R Ꮢꓣ  S Ꮪꓢ  T Ꭲꓔ  U Սꓴ  V Ꮩꓦ  W Ꮃꓪ  X ꓫ  Y ꓬ  Z Ꮓꓜ
+a ɑ  g ɡց  h հ  n ո  o օ  q զ  u ս
+"""
 _ROWS = [_ALIKE.split()[i : i + 3] for i in range(0, len(_ALIKE.split()), 3)]
 # k, к and κ differ enough in small letters to be left out of the mapping from Latin, but a Greek kappa still goes to its neighbours' letter
 _LATIN = {x: la for la, cy, gr in _ROWS for x in (cy, gr) if x != "-" and la != "-" and la != "k"}
+_LATIN |= {x: la for la, xs in zip(_FURTHER.split()[::2], _FURTHER.split()[1::2]) for x in xs}
 _CYRILLIC = {x: cy for la, cy, gr in _ROWS for x in (la, gr) if x != "-" and cy != "-" and la not in "kiăĂIhdqw"}
 _CYRILLIC |= {"i": "і", "I": "І"}
 _SPACE = {c: " " for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x1680)}
-# fixed values: the default-ignorable code points that occur in running text
-_IGNORED = {c: None for c in (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0x1D173, 0x1D17B))}
+# fixed values: the default-ignorable code points of Unicode, as ranges
+_IGNORABLE = "AD 34F 61C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
+_IGNORED = {c: None for first, _, last in (r.partition("-") for r in _IGNORABLE.split()) for c in range(int(first, 16), int(last or first, 16) + 1)}
 _COMMA = {ord("ş"): "ș", ord("Ş"): "Ș", ord("ţ"): "ț", ord("Ţ"): "Ț"}
 
 
+#: Kinds of compatibility forms that always look like what they stand for: width, and the shapes a letter takes within a word.
+_SHAPES = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+
+
 def _compatible() -> dict[int, str]:
-    """Signs whose compatibility form looks the same: wide and narrow forms, Latin ligatures, Roman numerals."""
+    """Signs whose compatibility form looks the same, by rule over all of Unicode.
+
+    These are the forms of width and position, and Latin letters and Roman numerals that are several letters in one sign (ligatures, digraphs).
+    Other compatibility forms (fractions, raised and lowered, circled, squared or styled signs) look different and stay.
+    """
     out = {}
-    for c in (*range(0xFF01, 0xFFEF), *range(0xFB00, 0xFB07), *range(0x2160, 0x2180)):
-        plain = unicodedata.normalize("NFKC", chr(c))
-        if plain != chr(c) and c not in _IGNORED:
+    for c in range(0x80, 0x20000):
+        kind = unicodedata.decomposition(chr(c)).partition(" ")[0]
+        if not kind.startswith("<") or c in _IGNORED:
+            continue
+        plain, name = unicodedata.normalize("NFKC", chr(c)), unicodedata.name(chr(c), "")
+        letters = kind == "<compat>" and name.startswith(("LATIN", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL")) and plain.isalpha() and (len(plain) > 1 or "ROMAN" in name)
+        if letters or kind in _SHAPES and not plain.startswith(" "):
             out[c] = plain
     return out
 
@@ -48,7 +68,7 @@ _TABLE = {**_SPACE, **_IGNORED, **_COMMA, **_compatible()}
 _PLAIN = re.compile(r"[\x00-\x7fА-яЁёăâîșțĂÂÎȘȚ«»„”“’–—…№½²♪°€äöüßÄÖÜéèêëàçùûôïœіїєґІЇЄҐӂӁ]*\Z")
 _WORD = re.compile(r"[^\W\d_]+")
 _CYR, _GRE, _LAT = re.compile(r"[Ѐ-ԯ]"), re.compile(r"[Ͱ-Ͽ]"), re.compile(r"[A-Za-zÀ-ɏ]")
-_LATINS, _OTHERS = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[Ͱ-ԯ]")
+_LATINS, _OTHERS = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[ɐ-ʯͰ-֏Ꭰ-ᏽꓐ-꓿]")
 #: Doubles whose Cyrillic form Russian uses: only they may turn a whole word of doubles Cyrillic.
 _RUSSIAN = set("aceopxyABCEHKMOPTXY")
 
@@ -148,24 +168,18 @@ def comparison_key(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFC", consistent(text).casefold())
 
 
-def _batches(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+def _batches(parts: Iterator[pd.DataFrame], columns: list[str], form: Callable[[str | None], str | None] = consistent, suffix: str = "_clean") -> Iterator[pd.DataFrame]:
     for pdf in parts:
         for c in columns:
-            values = pdf[c].array
-            known: dict = {}
-            out = []
-            for v in values:
-                if v not in known:
-                    known[v] = consistent(v)
-                out.append(known[v])
-            pdf[f"{c}_clean"] = pd.Series(out, index=pdf.index, dtype=object)
+            place, values = pd.factorize(pdf[c].array)
+            forms = np.array([*map(form, values), None], dtype=object)  # place -1, a null, is the last
+            pdf[c + suffix] = pd.Series(forms[place], index=pdf.index, dtype=object)
         yield pdf
 
 
 def needs_look(col: Column) -> Column:
-    """A cheap test, run in the JVM, that is true for every text `consistent` may change (and for some others)."""
-    odd = col.rlike(r"[^\x00-\x7fА-яЁёăâîșțĂÂÎȘȚ«»„”“’–—…№½²♪°€]")
-    return odd | (col.rlike("[Ѐ-ԯ]") & col.rlike("[A-Za-zăâîșțĂÂÎȘȚ]"))
+    """A cheap test, run in the JVM: a text of ASCII only is in the consistent form. For all others the batch's own tests are faster."""
+    return F.octet_length(col) != F.length(col)
 
 
 def consistent_forms(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,3 +200,15 @@ def changed_fields(df: DataFrame, tab: str, rec_key: Column, columns: list[str])
     rows = rows.select("rec_key", "x.field", "x.value").where(F.col("value").isNotNull() & needs_look(F.col("value")))
     done = consistent_forms(rows, ["value"]).where("value != value_clean")
     return done.select(F.lit(tab).alias("tab"), "rec_key", "field").distinct()
+
+
+def equal_spellings(values: DataFrame) -> DataFrame:
+    """Rows (comparison_key, spellings, records): full case-folded keys of a column `value` that stand for more than one spelling.
+
+    Each distinct pair of key and spelling is counted before keys meet, by their hashes, so a value that a third of all rows hold is one row a
+    task. Null values are left out; an empty text is a key of its own.
+    """
+    rows = values.where("value is not null").select("value").mapInPandas(lambda parts: _batches(parts, ["value"], comparison_key, "_key"), "value string, value_key string")
+    pairs = rows.groupBy(F.xxhash64("value_key").alias("k"), F.xxhash64("value").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("value_key").alias("key"))
+    keys = pairs.groupBy("k").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("records"), F.min("key").alias("comparison_key"))
+    return keys.where("spellings > 1").select("comparison_key", "spellings", "records")

@@ -3,7 +3,8 @@
 Best-fit decreasing looks only at sizes, and there are at most `capacity` different sizes. So the plan is made from the histogram of sizes:
 a segment tree over remaining capacities finds the tightest open container for a whole run of equal items at once, which gives exactly the
 containers that the document-by-document algorithm gives. Containers are kept as intervals of numbers with the same remaining space. The
-plan has a few rows for each size and is broadcast; items are ranked within their size (hot sizes in blocks) and look up their container.
+plan has one row for each size, with its few intervals in order, and is broadcast; items are ranked within their size (hot sizes in blocks)
+and look up their container in that row, so that no item meets more than one row.
 """
 
 from __future__ import annotations
@@ -123,15 +124,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, hot_rows: int = HOT_ROWS, p
     # at most capacity + 1 rows come to the driver
     sizes = {r["tokens"]: r["n"] for r in rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     made = plan(sizes, capacity)
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("tokens", "__from", "__to", "__container", "__each")])
-    table = spark.createDataFrame(made, schema).withColumn("tokens", F.col("tokens").cast("int"))
+    by_size: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for size, *interval in made:
+        by_size[size].append(tuple(interval))
+    interval = T.StructType([T.StructField(n, T.LongType()) for n in ("from", "to", "container", "each")])
+    schema = T.StructType([T.StructField("tokens", T.IntegerType()), T.StructField("__plan", T.ArrayType(interval))])
+    table = spark.createDataFrame([(size, sorted(v)) for size, v in by_size.items()], schema)
     bounds = hot_bounds(rows.where("tokens > 0"), ["tokens"], "doc_id", hot_rows, piece_rows)
     placed = with_block(rows.where("tokens > 0"), bounds, ["tokens"], "doc_id")
-    placed = ranked(placed, ["tokens"], [F.col("doc_id"), F.col("part")], "__rank")
+    placed = ranked(placed, ["tokens"], [F.col("doc_id"), F.col("part")], "__rank", hot=bounds is not None)
     # ranks count from 1, the plan's from 0
-    hit = (F.col("__rank") - 1 >= F.col("__from")) & (F.col("__rank") - 1 < F.col("__to"))
-    full = placed.join(F.broadcast(table), "tokens").where(hit)
-    full = full.withColumn("container", F.col("__container") + F.floor((F.col("__rank") - 1 - F.col("__from")) / F.col("__each")))
+    rank = F.col("__rank") - 1
+    full = placed.join(F.broadcast(table), "tokens").withColumn("__in", F.get(F.filter("__plan", lambda x: (rank >= x["from"]) & (rank < x["to"])), F.lit(0)))
+    full = full.withColumn("container", F.col("__in.container") + F.floor((rank - F.col("__in.from")) / F.col("__in.each")))
     columns = ["doc_id", "part", "parts", "from_token", "to_token", "tokens", "container"]
     return full.select(*columns).unionByName(rows.where("tokens = 0").withColumn("container", F.lit(0).cast("long")).select(*columns))
 

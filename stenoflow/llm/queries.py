@@ -90,6 +90,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chars.changed_fields(segment, "segment", key, ["text", "raw_text"]).unionByName(chars.changed_fields(runs, "exp_asr", F.col("run_id").cast("string"), ["hyp"]))
 
 
+def p6_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of equal-looking texts that occur in more than one spelling, case included."""
+    segment = table(spark, sf_dir, "segment").select(F.explode(F.array("text", "raw_text")).alias("value"))
+    return chars.equal_spellings(segment.unionByName(table(spark, sf_dir, "exp_asr").select(F.col("hyp").alias("value"))))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -122,7 +128,7 @@ def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_turns, p3_found, p3_redacted, p3_disclosure, p4_found, p4_pieces, p6_found, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates, p9_limits)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_turns, p3_found, p3_redacted, p3_disclosure, p4_found, p4_pieces, p6_found, p6_spellings, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE: dict[str, str] = {

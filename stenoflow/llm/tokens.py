@@ -21,6 +21,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 HOT_WORDS = 10_000
 # fixed value: the split pattern of the tokenizer's vocabulary, with Unicode white space in Java's dialect
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words are split by the tokenizer's own pattern, so only a tokenizer whose pattern is known can be used.
+SPLITS = {"byte_bpe_50k": SPLIT}
 
 _loaded: dict[str, object] = {}
 
@@ -58,11 +60,14 @@ def encode(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer:
     """Rows (doc_id, ids): the token ids of each distinct (doc_id, text), without special tokens.
 
     Null and empty texts give an empty list; a repeated row counts once; a doc_id with two texts gives a row for each. Other columns are
-    ignored. Strings of special tokens inside a text are ordinary text.
+    ignored. Strings of special tokens inside a text are ordinary text. A tokenizer whose split pattern is not in SPLITS is refused. The files
+    in tokenizer_dir must be there on every machine.
 
     The texts are partitioned by document once. Words in the frequent part of the table get their ids by broadcast and are gathered where
     they are; only words in the rare part are shuffled, to their entry and back to their document.
     """
+    if tokenizer not in SPLITS:
+        raise ValueError(f"no split pattern for tokenizer {tokenizer!r}; known: {', '.join(SPLITS)}")
     path = f"{tokenizer_dir}/{tokenizer}.json"
     docs = documents.select("doc_id", "text")
     empty = docs.where("text is null or text = ''").select("doc_id").distinct().select("doc_id", F.array().cast("array<int>").alias("ids"))

@@ -10,9 +10,9 @@ corpus: how often the last words are followed by the end of a sentence, an item
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -30,13 +30,12 @@ AT_LIMIT, ELSEWHERE = 0.7, 0.25
 #: Occurrences in the corpus that a word sequence needs to be judged by.
 SUPPORT = 3
 ORDERS = (4, 3, 2, 1)
-#: Characters from the end within which the last words of a text are looked for.
+#: The last words are looked for in so many characters first, and in the whole text where these do not hold five words.
 TAIL = 400
+_FIVE_WORDS = r"(?:[\p{L}\p{N}][\p{L}\p{N}'’\-]*[^\p{L}\p{N}'’\-]+){5}"
 # fixed values: words that stand for a cut in brackets at the end of a text
-_MARK = r"(?iu)[\s]*[\[(<]\s*(?:\.{2,}|…|more|cut|truncated|trunchiat|trunc|continued|cont|snip|обрезано|обрыв|далее|продолжение|suite|tronqué|gekürzt)\.{0,3}\s*[\])>]\s*$"
-_DOTS = r"\s*(?:\.{2,}|…)\s*$"
-_WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
-_ENDS = re.compile(r"[.!?;…]+(?=[\s\"<]|$)|\n|<[^<>]{1,40}>|\"")
+_MARK = r"(?iu)^\s*(?:\.{2,}|…|more|cut|truncated|trunchiat|trunc|continued|cont|snip|обрезано|обрыв|далее|продолжение|suite|tronqué|gekürzt)\.{0,3}\s*[\])>]$"
+_SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _FOLD = str.maketrans("ăâîșțşţё", "aaiststе")
 _DIGITS = re.compile(r"\d+")
 #: Word sequences that end this share of a source's texts, at least CLOSINGS of them, are its closing words (signatures, version marks).
@@ -70,46 +69,89 @@ def length_hazards(documents: DataFrame, near: int = NEAR, fdr: float = FDR) ->
     return out.drop("__n", "__r", "__k", "__m")
 
 
-def _parts(text: str) -> list[list[str]]:
-    """Words of the parts between ends of sentences, items, lines and tags, folded so that spellings of one sentence agree.
+_TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[.!?;…]+(?=[\s\"<]|$)|\n|<[^<>]{1,40}>|\"")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Stands after the last word of a text; hashes of words are odd.
+TEXT_END = np.uint64(2)
+
+
+def _tokens(text: str) -> list[str]:
+    """Words, folded so that spellings of one sentence agree, and the ends between them: of sentences, items, lines and tags."""
+    return _TOKEN.findall(_DIGITS.sub("0", text.lower().translate(_FOLD)))
+
+
+class _Hashes(dict):
+    """The hash of each word, 0 for an end, remembered; the memory is emptied when it is full."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[token] = (xxhash.xxh3_64_intdigest(token) | 1) if token[0].isalnum() else 0
+        return got
 
-    The last part is what stands after the last end.
-    """
-    low = _DIGITS.sub("0", text.lower().translate(_FOLD))
-    return [_WORD.findall(p) for p in _ENDS.split(low)]
 
+def _runs(words: np.ndarray, k: int, before: np.ndarray | None) -> np.ndarray:
+    """Hashes of the runs of k words that begin at each place, from those of k-1 words; 0 where an end is among them."""
+    if before is None:
+        return words
+    out = np.zeros_like(words)
+    n = len(words) - k + 1
+    if n > 0:
+        mixed = (before[:n] ^ (before[:n] >> np.uint64(29))) * _MIX + words[k - 1 :]
+        out[:n] = np.where((before[:n] != 0) & (words[k - 1 :] != 0), mixed | np.uint64(1), np.uint64(0))
+    return out
 
-def _hash(run: tuple[str, ...]) -> int:
-    n = xxhash.xxh3_64_intdigest(" ".join(run))
-    return n - (1 << 64) if n >= 1 << 63 else n
 
+def _count(asked: np.ndarray):
+    """Counts of the asked runs of a batch of texts; asked: a bit for each slot of a hash, so that only runs that may be asked for are kept."""
+    mask = np.uint64(len(asked) * 64 - 1)
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of all runs of a batch of texts, so that a run is shuffled once a batch."""
-    for pdf in batches:
-        times: Counter = Counter()
-        ends: Counter = Counter()
-        for text in pdf["text"]:
-            parts = _parts(text)
-            for words in parts[:-1]:
-                n = len(words)
-                for k in ORDERS:
-                    times.update(zip(*(words[i:] for i in range(k))))
-                    if n >= k:
-                        ends[tuple(words[n - k :])] += 1
-            for k in ORDERS:  # what ends the text is followed by nothing
-                times.update(zip(*(parts[-1][i:-1] for i in range(k - 1)), parts[-1][k - 1 : -1]))
-        yield pd.DataFrame({"h": [_hash(r) for r in times], "n": list(times.values()), "ends": [ends.get(r, 0) for r in times]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
+        for pdf in batches:
+            flat: list[int] = []
+            for text in pdf["text"]:
+                flat += map(known.__getitem__, _tokens(text))
+                flat.append(TEXT_END)
+            follows = np.array(flat, dtype=np.uint64)
+            words = np.where(follows == TEXT_END, np.uint64(0), follows)
+            before, seen = None, []
+            for k in sorted(ORDERS):
+                before = _runs(words, k, before)
+                follower = np.concatenate((follows[k:], np.full(min(k, len(words)), TEXT_END)))
+                slot = before & mask
+                hit = (before != 0) & (follower != TEXT_END) & ((asked[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                seen.append(pd.DataFrame({"h": before[hit].view(np.int64), "ends": (follower[hit] == 0).astype(np.int64)}))
+            counts = pd.concat(seen).groupby("h")["ends"].agg(["size", "sum"])
+            yield pd.DataFrame({"h": counts.index, "n": counts["size"].to_numpy(np.int64), "ends": counts["sum"].to_numpy(np.int64)})
 
+    return run
 
-def _followers(documents: DataFrame) -> DataFrame:
-    """Rows (h, n, ends): for each run of 1 to 4 words of the corpus, how often it occurs followed by something, and by an end.
 
-    The end of a text is no follower: a cut text would vouch for itself. Runs do not cross ends.
+#: Slots of the filter over asked runs: about 16 for each, within these bounds (8 MB at most, whatever the data).
+LEAST_BITS, MOST_BITS = 12, 26
+
+
+def _slots(asked: DataFrame, name: str = "h") -> np.ndarray:
+    """One bit for each slot of a hash that a row of `asked` has. Its size is bounded; what shares a slot by chance is told apart later, by a join."""
+    wanted = asked.agg(F.approx_count_distinct(name)).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted).bit_length()))
+    slot = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
+    words = asked.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for r in words:
+        out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def _followers(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (h, n, ends) for runs of 1 to 4 words: how often each occurs in the corpus followed by something, and by an end.
+
+    asked has the runs, in a column h, that must be among them; others may be. The end of a text is no follower: a cut text would vouch for
+    itself. Runs do not cross ends.
     """
     texts = documents.where("text is not null and text != ''").select("text")
-    each = texts.mapInPandas(_count, "h long, n long, ends long")
-    return each.groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return texts.mapInPandas(_count(_slots(asked)), "h long, n long, ends long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
 _RUNS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("letters", T.IntegerType())]))
@@ -117,11 +159,21 @@ _RUNS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructF
 
 @F.pandas_udf(_RUNS)
 def _last_runs(texts: pd.Series) -> pd.Series:
-    """The runs of 1 to 4 words that end each text; none where it ends with an end or a sign."""
-    out = []
+    """The runs of 1 to 4 words that end each text; none where it ends with an end or a sign, or is null."""
+    out, known = [], _Hashes()
     for text in texts:
-        words = _parts(text)[-1][-max(ORDERS) :]
-        out.append([{"k": k, "h": _hash(tuple(words[-k:])), "letters": len(words[-1])} for k in ORDERS if len(words) >= k])
+        tokens = _tokens(text) if text else []
+        n = 0
+        while n < min(len(tokens), max(ORDERS)) and known[tokens[-1 - n]]:
+            n += 1
+        words, got, before = np.array([known[t] for t in tokens[len(tokens) - n :]], dtype=np.uint64), [], None
+        hashes = []
+        for k in range(1, n + 1):
+            before = _runs(words, k, before)
+            hashes.append(int(before[n - k : n - k + 1].view(np.int64)[0]))
+        for k in sorted(range(1, n + 1), reverse=True):
+            got.append({"k": k, "h": hashes[k - 1], "letters": len(tokens[-1])})
+        out.append(got)
     return pd.Series(out)
 
 
@@ -132,21 +184,36 @@ def read_endings(documents: DataFrame) -> DataFrame:
     is), 'stop' (sentence or item end), 'open' (comma, colon, dash), 'plain' (ends in a word; runs are its last words, none if it has only
     signs). Dots that a cut may have left are taken off first.
     """
-    text = F.regexp_replace("text", r"(?U)\s+$", "")
-    bare = F.regexp_replace(text, _DOTS, "")
-    base = documents.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), (bare != text).alias("__dots"), bare.alias("__t"))
+    # all of this looks at the very end of the whole text, however long what stands there is
+    spaces, dots = F.lit(_SPACES), F.lit(_SPACES + ".…")
+    text = F.rtrim("text", spaces)
+    bare = F.rtrim(text, dots)
+    tail = F.substring(text, F.length(bare) + 1, F.length(text))
+    base = documents.where(F.length(F.trim("text", spaces)) > 0).select(
+        "doc_id", "source", "text", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), text.alias("__s"), bare.alias("__bare"), (F.contains(tail, F.lit("..")) | F.contains(tail, F.lit("…"))).alias("__dots")
+    )
+    base = base.withColumn("__t", F.when(F.col("__dots"), F.col("__bare")).otherwise(F.col("__s")))
+    last = F.right("__s", F.lit(1))
+    inner = F.substring_index(F.translate("__s", "(<", "[["), "[", -1)
+    mark = last.isin("]", ")", ">") & (F.length(inner) < F.length("__s")) & inner.rlike(_MARK)
+    broken = F.contains("__t", F.lit("\ufffd")) & F.col("__t").rlike("\ufffd\\W*$")
     json_like = F.col("text").rlike(r"^\s*[{\[]\s*[\"{\[]")
     html_like = F.col("text").rlike(r"^\s*<[A-Za-z][A-Za-z0-9]*[\s>]")
+    tag = F.lower(F.regexp_extract("text", r"^\s*<([A-Za-z][A-Za-z0-9]*)[\s>]", 1))
+    closed = F.endswith(F.lower(F.regexp_replace(F.right("__t", F.length(tag) + 64), r"\s+>$", ">")), F.concat(F.lit("</"), tag, F.lit(">")))
+    stop = F.right(F.rtrim("__t", F.lit("\"'»”)]*_")), F.lit(1)).isin(".", "!", "?", ";")
     kind = (
-        F.when(F.right("text", F.lit(60)).rlike(_MARK) | F.right("__t", F.lit(60)).rlike("\ufffd\\W*$"), "mark")
+        F.when(mark | broken, "mark")
         .when(json_like, F.when(F.try_parse_json("text").isNotNull(), "closed").otherwise("structure"))
-        .when(html_like, F.when(F.col("__t").rlike(r"(?s)^\s*<([A-Za-z][A-Za-z0-9]*)[\s>].*</\1\s*>$"), "closed").otherwise("structure"))
-        .when(~F.col("__dots") & F.right("__t", F.lit(60)).rlike(r"[.!?;][\"'»”)\]*_]*$"), "stop")
-        .when(F.right("__t", F.lit(60)).rlike(r"(?U)[,:\-–—/(«„\[]$"), "open")
+        .when(html_like, F.when(closed, "closed").otherwise("structure"))
+        .when(~F.col("__dots") & stop, "stop")
+        .when(F.right("__t", F.lit(1)).rlike(r"[,:\-–—/(«„\[]"), "open")
         .otherwise("plain")
     )
     base = base.withColumn("kind", kind)
-    runs = _last_runs(F.when(F.col("kind") == "plain", F.right("__t", F.lit(TAIL))).otherwise(""))
+    near = F.right("__t", F.lit(TAIL))
+    enough = (F.length("__t") <= TAIL) | near.rlike(_FIVE_WORDS)
+    runs = _last_runs(F.when(F.col("kind") == "plain", F.when(enough, near).otherwise(F.col("__t"))))
     return base.select("doc_id", "source", "text_hash", "chars", "bytes", "kind", runs.alias("runs")).distinct()
 
 
@@ -184,9 +251,11 @@ def endings(read: DataFrame, followers: DataFrame) -> DataFrame:
 
 
 def truncated(documents: DataFrame, near: int = NEAR, fdr: float = FDR) -> DataFrame:
-    """Rows (doc_id, source, at_limit, kind, score, order, cut), one for each document with a text (null and blank texts are not cut and left out).
+    """Rows (doc_id, source, at_limit, kind, score, order, cut, found_by), one for each document with a text (null and blank texts are not cut and
+    left out).
 
-    at_limit: its length is a significant length of its source. Repeated rows count once; columns other than doc_id, source and text are
+    at_limit: its length is a significant length of its source. found_by: 'length' for texts cut there, which is the method; 'transfer' for
+    texts of other lengths whose ending alone shows the cut; null for whole ones. Repeated rows count once; columns other than doc_id, source and text are
     ignored. An empty table gives no rows.
     """
     docs = documents.select("doc_id", "source", "text")
@@ -195,12 +264,14 @@ def truncated(documents: DataFrame, near: int = NEAR, fdr: float = FDR) -> DataF
     same = lambda unit, n: F.col("x.source").eqNullSafe(F.col("l.source")) & (F.col("l.unit") == unit) & (F.col(f"x.{n}") == F.col("l.length"))
     read = read.alias("x").join(limits.alias("l"), same("chars", "chars"), "left").select("x.*", F.col("l.length").isNotNull().alias("__at"))
     read = read.alias("x").join(limits.alias("l"), same("bytes", "bytes"), "left").select("x.*", (F.col("__at") | F.col("l.length").isNotNull()).alias("at_limit"))
-    out = endings(cut(read.drop("__at")), cut(_followers(docs)))
+    read = cut(read.drop("__at"))
+    asked = read.where("kind = 'plain'").select(F.explode("runs.h").alias("h")).distinct()
+    out = endings(read, _followers(docs, asked))
     least = F.when(F.col("at_limit"), F.lit(AT_LIMIT)).otherwise(F.lit(ELSEWHERE))
     # words known only one by one are weak evidence of an end
     score = F.when(F.col("order") == 1, F.col("score") / 2).otherwise(F.col("score"))
     open_end = F.col("kind").isin("mark", "structure", "open") | ((F.col("kind") == "plain") & F.coalesce(score < least, F.col("at_limit")))
-    return out.withColumn("cut", open_end)
+    return out.withColumn("cut", open_end).withColumn("found_by", F.when(F.col("cut"), F.when(F.col("at_limit"), "length").otherwise("transfer")))
 
 
 def truncation_rates(flagged: DataFrame) -> DataFrame:

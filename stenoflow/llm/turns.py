@@ -88,7 +88,7 @@ def speaker_turns(segments: DataFrame, participants: DataFrame, hot_rows: int =
     return turns.select("meeting_id", "first_seg", "last_seg", "speaker", "start", "end", "segments", "text", BLOCK)
 
 
-def filled(turns: DataFrame) -> DataFrame:
-    """Add speaker_filled. Two turns with no known speaker are never neighbours, so the turn before is enough."""
-    near = neighbours(turns, ["meeting_id"], [F.col("start"), F.col("first_seg")], lag={"__before": "speaker"})
+def filled(turns: DataFrame, hot: bool = True) -> DataFrame:
+    """Add speaker_filled; hot=False where no meeting was cut into blocks. Two turns with no known speaker are never neighbours, so the turn before is enough."""
+    near = neighbours(turns, ["meeting_id"], [F.col("start"), F.col("first_seg")], lag={"__before": "speaker"}, hot=hot)
     return near.withColumn("speaker_filled", F.when(F.col("speaker") != "S?", F.col("speaker")).otherwise(F.col("__before"))).drop("__before", BLOCK)
