@@ -1,9 +1,11 @@
 """Problem 1: the language of each text and of each stretch of a text that mixes languages, with a confidence.
 
-Hierarchical discrimination: linear classifiers first tell the language family (Romance, Slavic, Germanic), then, within the family, a
-one-versus-one linear support vector machine separates the two close languages. All are trained here, on a bounded sample of labelled rows
-whose labels are first made consistent with each other. Features are letter n-grams within words, so a text's margin is the sum of its
-words' margins, and each distinct word is scored once per worker; stretches are found by the best path through the words.
+Hierarchical discrimination: linear classifiers first tell the language family of a stretch (Romance, Slavic, Germanic), and nothing but the
+family's own one-versus-one linear support vector machine then tells its two close languages apart. All are trained here, on a bounded sample
+of labelled rows; labels that a first set of machines contradicts are corrected before the final ones are trained. Features are letter n-grams
+within words, so a text's margin is the sum of its words' margins, and each distinct word is scored once per worker; stretches are found by
+the best path through the words. Language probabilities that a row brings along (lang_probs) keep rows at odds with them from teaching, and
+are weak evidence for a text's own language.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,12 +37,19 @@ _NAMES = {
 }
 CODES = {name: lang for lang, names in _NAMES.items() for name in names.split()}
 
-#: Bound of the training sample: labelled rows for each label and table, and windows of words for each language.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 6000
+#: Bounds of the training sample, and of nothing else: labelled rows for each label and table, characters of such a row, windows of words for
+#: each language.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WINDOWS = 3000, 600, 6000
 WINDOW = 7
 DIMENSION = 1 << 17
 EPOCHS = 10
 BATCH = 64
+#: Rounds of correcting labels, and the epochs of the machines that do.
+CLEANING, CLEANING_EPOCHS = 2, 3
+#: Weight of a row's own language probabilities against the words' margins.
+EVIDENCE = 0.3
+#: A word's margin between the languages of a family, in units of its margin between families.
+WITHIN = 0.6
 #: Weight of a language's share of the table's words against the words' margins.
 PRIOR = 0.5
 #: Words in a row that a stretch needs: up to three borrowed words do not make a text mixed.
@@ -137,43 +146,9 @@ def _windows(text: str) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW) if len(words[i : i + WINDOW]) >= 3]
 
 
-def _agree(windows: list[tuple[tuple[str, ...], str]], rounds: int = 5, weights: np.ndarray | None = None) -> list[tuple[tuple[str, ...], str]]:
-    """Windows with labels made consistent: each goes to the language whose words it has, by word counts that are then taken again.
-
-    A wrong label or a text in two languages gives its words to a language where they are rare against their own. weights: how much of all
-    rows each window stands for; the languages' shares need them, the words within a language do not.
-    """
-    if not windows:
-        return windows
-    place: dict[str, int] = {}
-    known: dict[str, int] = {}  # words as they stand, so that each is stripped once
-    ids = []
-    for words, _ in windows:
-        for w in words:
-            if w not in known:
-                known[w] = place.setdefault(_bare(w), len(place))
-            ids.append(known[w])
-    index = np.array(ids)
-    lengths = np.array([len(words) for words, _ in windows])
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    labels = np.array([LANGS.index(lang) for _, lang in windows])
-    for _ in range(rounds):
-        counts = np.zeros((len(place), len(LANGS)))
-        np.add.at(counts, (index, np.repeat(labels, lengths)), 1)
-        score = np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * len(place)))
-        # the share of windows counts: else a rare label that is mostly wrong would keep words of a common language
-        share = np.bincount(labels, weights, minlength=len(LANGS)) / (len(labels) if weights is None else weights.sum())
-        with np.errstate(divide="ignore"):
-            moved = (np.add.reduceat(score[index], starts) + np.log(share)).argmax(axis=1)
-        if (moved == labels).all():
-            break
-        labels = moved
-    return [(words, LANGS[i]) for (words, _), i in zip(windows, labels)]
-
-
 def _svm(rows: list[np.ndarray], signs: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS, strength: float = 1e-5) -> np.ndarray:
     """A linear support vector machine by stochastic subgradients of the hinge loss over small batches, averaged over epochs."""
-    w, total = np.zeros(DIMENSION), np.zeros(DIMENSION)
+    w, total, size = np.zeros(DIMENSION), np.zeros(DIMENSION), 1.0  # the weights are size * w
     lengths = np.array([len(x) for x in rows])
     weight = np.where(signs > 0, len(signs) / (2 * max(1, (signs > 0).sum())), len(signs) / (2 * max(1, (signs < 0).sum())))
     weight = np.minimum(weight, 4.0)
@@ -185,20 +160,39 @@ def _svm(rows: list[np.ndarray], signs: np.ndarray, rng: np.random.Generator, ep
             n = lengths[batch]
             index = np.concatenate([rows[j] for j in batch])
             scale = 1 / np.sqrt(n)
-            margin = np.add.reduceat(w[index], np.concatenate(([0], np.cumsum(n)[:-1]))) * scale
+            margin = np.add.reduceat(w[index], np.concatenate(([0], np.cumsum(n)[:-1]))) * scale * size
             step = np.where(signs[batch] * margin < 1, signs[batch] * weight[batch] * scale * rate, 0.0)
-            w *= (1 - rate * strength) ** len(batch)
-            np.add.at(w, index, np.repeat(step, n))
-        total += w
+            size *= (1 - rate * strength) ** len(batch)
+            np.add.at(w, index, np.repeat(step / size, n))
+        total += size * w
     return total / epochs
 
 
+def _machines(rows: list[np.ndarray], langs: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights of the three family classifiers, and of each family's machine for its two languages. langs: places in LANGS."""
+    out = np.zeros((6, DIMENSION))
+    for f in range(3):
+        out[f] = _svm(rows, np.where(langs // 2 == f, 1.0, -1.0), rng, epochs)
+        own = np.flatnonzero(langs // 2 == f)
+        first = langs[own] % 2 == 0
+        if first.any() and not first.all():
+            out[3 + f] = _svm([rows[i] for i in own], np.where(first, 1.0, -1.0), rng, epochs)
+        elif len(own):  # the sample knows only one language of this family
+            out[3 + f] = 0.05 if first.all() else -0.05
+    return out
+
+
+def _margins(weights: np.ndarray, grams: list[int]) -> np.ndarray:
+    """A word's margin by each of the machines, within [-1.5, 1.5]."""
+    return np.clip(weights[:, grams].sum(axis=1) / len(grams) ** 0.5, -1.5, 1.5)
+
+
 class Model:
-    """Weights of three family classifiers and three one-versus-one machines."""
+    """Weights of three family classifiers and three one-versus-one machines, and the languages' priors."""
 
     def __init__(self, weights: np.ndarray, prior: tuple[float, ...] = (0.0,) * 6, by_table: dict[str, tuple[float, ...]] | None = None):
         self.weights, self.prior, self.by_table = weights, prior, by_table or {}
-        self.seen: dict[str, tuple[tuple[float, ...], int]] = {}
+        self.seen: dict[str, tuple[float, ...]] = {}
 
     def __getstate__(self):
         return self.weights, self.prior, self.by_table
@@ -206,83 +200,105 @@ class Model:
     def __setstate__(self, state):
         (self.weights, self.prior, self.by_table), self.seen = state, {}
 
-    def word(self, word: str) -> tuple[tuple[float, ...], int]:
-        """The word's score for each of LANGS, and the best of them: the family's margin, then that within it, each within [-1.5, 1.5]."""
+    def word(self, word: str) -> tuple[float, ...]:
+        """The word's margins: three for the families, three within them."""
         got = self.seen.get(word)
         if got is None:
-            x = _grams(word)
-            m = np.clip(self.weights[:, x].sum(axis=1) / len(x) ** 0.5, -1.5, 1.5)
-            scores = tuple(float(m[f] + half * m[3 + f]) for f in range(3) for half in (0.6, -0.6))
-            got = scores, scores.index(max(scores))
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            self.seen[word] = got
+            got = self.seen[word] = tuple(_margins(self.weights, _grams(word)).tolist())
         return got
 
 
-def _prior(langs: list[str], weights: np.ndarray) -> tuple[float, ...]:
+def _prior(langs: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
     """The log share of each of LANGS by weight; one more window each, so that a language without any keeps a small share."""
-    share = np.bincount([LANGS.index(x) for x in langs], weights, minlength=len(LANGS)) * (len(langs) / weights.sum())
+    share = np.bincount(langs, weights, minlength=len(LANGS)) * (len(langs) / weights.sum())
     return tuple(PRIOR * math.log((n + 1) / (len(langs) + len(LANGS))) for n in share.tolist())
 
 
+def _families(prior: tuple[float, ...]) -> list[float]:
+    """The prior of each family from those of its languages."""
+    return [PRIOR * math.log(math.exp(prior[2 * f] / PRIOR) + math.exp(prior[2 * f + 1] / PRIOR)) for f in range(3)]
+
+
+def _corrected(windows: list[tuple[str, ...]], langs: np.ndarray, tabs: np.ndarray, weights: np.ndarray, known: dict[str, list[int]], rng: np.random.Generator) -> np.ndarray:
+    """The windows' languages as machines see them that were trained on the given ones, family first, and again on what these say; each table's
+    languages have its own priors."""
+    rows = [np.array(sorted({g for w in words for g in known[w]}), dtype=np.int64) for words in windows]
+    index, lengths = np.concatenate(rows), np.array([len(x) for x in rows])
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    for _ in range(CLEANING):
+        machines = _machines(rows, langs, rng, CLEANING_EPOCHS)
+        # whole windows are judged, as the machines were trained on them; a window weighs as the root of its words against the priors
+        sums = np.stack([np.add.reduceat(w[index], starts) for w in machines], axis=1) * (WINDOW / lengths)[:, None] ** 0.5
+        moved = langs.copy()
+        for tab in set(tabs.tolist()):
+            here = tabs == tab
+            prior, own = _prior(langs[here], weights[here]), sums[here]
+            family = (own[:, :3] + _families(prior)).argmax(axis=1)
+            pair = np.array(prior).reshape(3, 2)
+            second = own[np.arange(len(own)), 3 + family] + pair[family, 0] - pair[family, 1] < 0
+            moved[here] = 2 * family + second
+        if (moved == langs).all():
+            break
+        langs = moved
+    return langs
+
+
 def train(labelled: list[tuple[str, str, str]], seed: int = 7, totals: dict[tuple[str, str], int] | None = None) -> Model:
-    """The model from rows (tab, lang, text). Only documents teach uk, fr and de: segments are spoken in the other three.
+    """The model from rows (tab, lang, text).
 
     totals: the words of all rows of each (tab, lang). The sample holds a small label whole and little of a large one, so each window stands
     for as many as its table and label have more; the priors are shares of all rows, for each table its own.
     """
     rng = np.random.default_rng(seed)
-    windows: list[tuple[tuple[str, ...], str]] = []
-    strata: list[tuple[str, str]] = []
-    sampled: Counter = Counter()
-    for tab, lang, text in labelled:
-        if tab == "documents" or lang in ("ro", "ru", "en"):
-            sampled[tab, lang] += text.count(" ") + 1
-            got = _windows(text)
-            windows += [(w, lang) for w in got]
-            strata += [(tab, lang)] * len(got)
-    weights = np.array([(totals or sampled)[x] / sampled[x] for x in strata])
-    windows = _agree(windows, weights=weights)
-    tabs = np.array([tab for tab, _ in strata])
-    langs = np.array([lang for _, lang in windows])
-    by_table = {tab: _prior(langs[tabs == tab].tolist(), weights[tabs == tab]) for tab in sorted(set(tabs.tolist()))}
-    prior = _prior(langs.tolist(), weights) if windows else (PRIOR * math.log(1 / len(LANGS)),) * len(LANGS)
     by: dict[str, list] = defaultdict(list)
-    for words, lang in sorted(set(windows)):
-        by[lang].append(words)
-    chosen: list[tuple[tuple[str, ...], str]] = []
-    for lang, rows in by.items():
-        for i in rng.permutation(len(rows))[:SAMPLE_WINDOWS]:
-            words = rows[i]
-            chosen.append((words, lang))
+    counted: Counter = Counter()
+    for tab, lang, text in labelled:
+        counted[tab, lang] += text.count(" ") + 1
+        by[lang] += [(tab, words) for words in _windows(text)]
+    chosen = [(tab, lang, words) for lang in LANGS if lang in by for tab, words in (by[lang][i] for i in rng.permutation(len(by[lang]))[: 2 * SAMPLE_WINDOWS])]
+    if not chosen:
+        return Model(np.zeros((6, DIMENSION), dtype=np.float32), (PRIOR * math.log(1 / len(LANGS)),) * len(LANGS))
+    sampled: Counter = Counter()
+    for tab, lang, words in chosen:
+        sampled[tab, lang] += len(words)
+    weights = np.array([(totals or counted)[tab, lang] / sampled[tab, lang] for tab, lang, _ in chosen])
+    known = {w: _grams(w) for w in sorted({w for _, _, words in chosen for w in words})}
+    given = np.array([LANGS.index(lang) for _, lang, _ in chosen])
+    tabs = np.array([tab for tab, _, _ in chosen])
+    langs = _corrected([words for _, _, words in chosen], given, tabs, weights, known, rng)
+    by_table = {tab: _prior(langs[tabs == tab], weights[tabs == tab]) for tab in sorted(set(tabs.tolist()))}
+    examples: list[tuple[tuple[str, ...], int]] = []
+    for x, lang in enumerate(LANGS):
+        own = sorted({words for (_, _, words), y in zip(chosen, langs.tolist()) if y == x})
+        for i in rng.permutation(len(own))[:SAMPLE_WINDOWS]:
+            words = own[i]
+            examples.append((words, x))
             k = int(rng.integers(0, len(words)))
-            chosen.append((words[k : k + int(rng.integers(1, 3))], lang))
+            examples.append((words[k : k + int(rng.integers(1, 3))], x))
             if lang == "ro":
-                chosen.append((tuple(w.translate(_BARE) for w in words), lang))
+                examples.append((tuple(w.translate(_BARE) for w in words), x))
                 if rng.random() < 0.5:
-                    chosen.append((tuple(_to_cyrillic(w) for w in words), lang))
+                    examples.append((tuple(_to_cyrillic(w) for w in words), x))
             elif lang == "ru":
-                chosen.append((tuple(_to_latin(w) for w in words), lang))
-    known: dict[str, list[int]] = {}
+                examples.append((tuple(_to_latin(w) for w in words), x))
     rows = []
-    for words, _ in chosen:
+    for words, _ in examples:
         for w in words:
             if w not in known:
                 known[w] = _grams(w)
         rows.append(np.array(sorted({g for w in words for g in known[w]}), dtype=np.int64))
-    langs = [lang for _, lang in chosen]
-    family = {lang: f for f, pair in enumerate(FAMILIES.values()) for lang in pair}
-    machines = np.zeros((6, DIMENSION))
-    for f in range(3):
-        machines[f] = _svm(rows, np.array([1.0 if family[x] == f else -1.0 for x in langs]), rng)
-    for f, (a, b) in enumerate(FAMILIES.values()):
-        own = [i for i, x in enumerate(langs) if x in (a, b)]
-        if {langs[i] for i in own} == {a, b}:
-            machines[3 + f] = _svm([rows[i] for i in own], np.array([1.0 if langs[i] == a else -1.0 for i in own]), rng)
-        elif own:  # the sample knows only one language of this family
-            machines[3 + f, :] = 0.05 if langs[own[0]] == a else -0.05
-    return Model(machines.astype(np.float32), prior, by_table)
+    machines = _machines(rows, np.array([x for _, x in examples]), rng)
+    return Model(machines.astype(np.float32), _prior(langs, weights), by_table)
+
+
+def _at_odds(rows: DataFrame) -> Column:
+    """Whether a row's language probabilities, where it has any, find another language most probable than its label names."""
+    if "lang_probs" not in rows.columns:
+        return F.lit(False)
+    top = F.array_max(F.transform(F.map_entries("lang_probs"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("x"))))["x"]
+    return F.coalesce(top != F.col("lang"), F.lit(False))
 
 
 def sample(rows: DataFrame, bound: int = SAMPLE_ROWS) -> list[tuple[str, str, str]]:
@@ -295,49 +311,37 @@ def sample_and_totals(rows: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[list[t
     named = rows.withColumn("lang", label_language(F.col("lang"))).where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull())
     # words as train counts them in the sample: one more than the spaces
     words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    every = named.groupBy("tab", "lang").agg(F.count_if(F.length("text") >= 20).alias("n"), F.sum(words.cast("long")).alias("words")).collect()
-    named = named.where(F.length("text") >= 20)
+    named = named.withColumn("__teaches", (F.length("text") >= 20) & ~_at_odds(named))
+    every = named.groupBy("tab", "lang").agg(F.count_if("__teaches").alias("n"), F.sum(words.cast("long")).alias("words")).collect()
     totals = {(r["tab"], r["lang"]): r["words"] for r in every}
     counts = {(r["tab"], r["lang"]): r["n"] for r in every if r["n"]}
     if not counts:
         return [], totals
     part = F.create_map(*[F.lit(x) for (tab, lang), n in counts.items() for x in (f"{tab}|{lang}", min(1.0, bound / n))])
     # a sample row is text to learn from: of very long ones a part is enough, here and only here
-    chosen = named.where(F.pmod(F.xxhash64("rec_key"), F.lit(1_000_000)) < F.element_at(part, F.concat_ws("|", "tab", "lang")) * 1_000_000)
-    got = chosen.select("tab", "lang", F.substring("text", 1, 600).alias("text")).collect()
+    chosen = named.where(F.col("__teaches") & (F.pmod(F.xxhash64("rec_key"), F.lit(1_000_000)) < F.element_at(part, F.concat_ws("|", "tab", "lang")) * 1_000_000))
+    got = chosen.select("tab", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     return sorted((r["tab"], r["lang"], r["text"]) for r in got), totals
 
 
 # ---- stretches
 
 
-def stretches(model: Model, text: str | None, tab: str | None = None) -> tuple[int, list[tuple[int, int, str, float]]]:
-    """The number of spoken words of a text, and its stretches as (first word, end word, language, confidence); tab: the table whose prior counts.
+def _runs(scores: list[tuple[float, ...]], prior: Sequence[float], start: Sequence[float]) -> list[list[int]]:
+    """Runs [first, end, choice] of the best path through the scores, less SWITCH for each change of choice.
 
-    The path through the words with the highest score, less SWITCH for each change, gives the stretches; those too short for a clause, or
-    with too little evidence, go to their neighbours. A text with no words has no stretches.
+    prior is the handicap of a choice where it takes over, start its lead at the beginning. A run other than the main one stands only if it is
+    long enough for a clause and clearly ahead; else it goes to a neighbour.
     """
-    if not text:
-        return 0, []
-    clean = spoken_text(text)
-    words = _words_of(clean)
-    spoken = len(words)
-    if spoken < LEAST_WORDS:  # numbers are spoken too
-        spoken = sum(not _UH.fullmatch(w) for w in _SPOKEN.findall(clean))
-    if not words:
-        return spoken, []
-    prior = model.by_table.get(tab, model.prior)
-    known = [model.word(w) for w in words]
-    scores = [k[0] for k in known]
-    totals = [p + sum(x) for p, x in zip(prior, zip(*scores))]
-    main = totals.index(max(totals))
-    # a stretch in another language needs words that are best in it
-    votes = Counter(k[1] for k in known)
-    if all(x == main or n < LEAST_STRETCH for x, n in votes.items()):
-        return spoken, [(0, len(words), LANGS[main], _confidence(totals, main, len(words)))]
-    at_best = {x for x, n in votes.items() if n >= LEAST_STRETCH} | {main}
-    langs = sorted(at_best)
-    best = {x: prior[x] for x in langs}
+    n, every = len(scores), range(len(prior))
+    totals = [p + sum(x) for p, x in zip(start, zip(*scores))]
+    only = max(every, key=totals.__getitem__)
+    votes = Counter(max(every, key=x.__getitem__) for x in scores)
+    # a stretch of another choice needs words that are best in it
+    langs = sorted({x for x, k in votes.items() if k >= LEAST_STRETCH} | {only})
+    if len(langs) == 1:
+        return [[0, n, only]]
+    best = {x: start[x] for x in langs}
     back: list[dict[int, int]] = []
     for s in scores:
         top = max(langs, key=best.__getitem__)
@@ -369,12 +373,11 @@ def stretches(model: Model, text: str | None, tab: str | None = None) -> tuple[i
     while len(runs) > 1:
         weak = [r for r in runs if not holds(r)]
         if not weak:
-            break
+            return runs
         run = min(weak, key=lambda r: r[1] - r[0])
         i = runs.index(run)
         sides = [r for r in (runs[i - 1] if i else None, runs[i + 1] if i + 1 < len(runs) else None) if r]
-        to = max(sides, key=lambda r: (r[2] == main, r[1] - r[0]))
-        run[2] = to[2]
+        run[2] = max(sides, key=lambda r: (r[2] == main, r[1] - r[0]))[2]
         merged: list[list[int]] = []
         for r in runs:
             if merged and merged[-1][2] == r[2]:
@@ -382,16 +385,49 @@ def stretches(model: Model, text: str | None, tab: str | None = None) -> tuple[i
             else:
                 merged.append(list(r))
         runs = merged
-    if len(runs) == 1:  # one language: the one with the best total, as the path's may have come from a weak stretch
-        only = max(range(6), key=totals.__getitem__)
-        return spoken, [(0, len(words), LANGS[only], _confidence(totals, only, len(words)))]
-    return spoken, [(b, e, LANGS[x], _confidence([sum(c) for c in zip(*scores[b:e])], x, e - b)) for b, e, x in runs]
+    # one choice: the one with the best total, as the path's may have come from a weak stretch
+    return [[0, n, only]]
+
+
+def stretches(model: Model, text: str | None, tab: str | None = None, probs: dict[str, float] | None = None) -> tuple[int, list[tuple[int, int, str, float]]]:
+    """The number of spoken words of a text, and its stretches as (first word, end word, language, confidence).
+
+    tab is the table whose prior counts, probs the row's own language probabilities, if any. The families' stretches are found first; within
+    each, the machine of that family alone finds the stretches of its two languages. A text with no words has no stretches.
+    """
+    if not text:
+        return 0, []
+    clean = spoken_text(text)
+    words = _words_of(clean)
+    spoken = len(words)
+    if spoken < LEAST_WORDS:  # numbers are spoken too
+        spoken = sum(not _UH.fullmatch(w) for w in _SPOKEN.findall(clean))
+    if not words:
+        return spoken, []
+    prior = model.by_table.get(tab, model.prior)
+    start = list(prior)
+    for x, p in (probs or {}).items():
+        if x in LANGS and p is not None:
+            start[LANGS.index(x)] += EVIDENCE * math.log(min(1.0, max(p, 0.05)))
+    margins = [model.word(w) for w in words]
+    by_family = [m[:3] for m in margins]
+    family_prior, family_start = _families(prior), _families(tuple(start))
+    out: list[tuple[int, int, str, float]] = []
+    for b, e, f in _runs(by_family, family_prior, family_start):
+        sure = _confidence([p + sum(x) for p, x in zip(family_start, zip(*by_family[b:e]))], f, e - b)
+        within = [(WITHIN * m[3 + f], -WITHIN * m[3 + f]) for m in margins[b:e]]
+        pair = [p - family_prior[f] for p in prior[2 * f : 2 * f + 2]]
+        pair_start = [p - family_start[f] for p in start[2 * f : 2 * f + 2]]
+        for b2, e2, x in _runs(within, pair, pair_start):
+            close = _confidence([p + sum(s) for p, s in zip(pair_start, zip(*within[b2:e2]))], x, e2 - b2)
+            out.append((b + b2, b + e2, LANGS[2 * f + x], round(sure * close, 4)))
+    return spoken, out
 
 
 def _confidence(totals: list[float], x: int, n: int) -> float:
     """Logistic of the mean margin over the best rival, sharper for longer stretches."""
     ahead = totals[x] - max(t for i, t in enumerate(totals) if i != x)
-    return round(1 / (1 + math.exp(-max(-30.0, min(30.0, ahead / n**0.5)))), 4)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, ahead / n**0.5))))
 
 
 def _identify(model: Model):
@@ -399,11 +435,12 @@ def _identify(model: Model):
         for pdf in batches:
             known: dict = {}
             spoken, found = [], []
-            for tab, text in zip(pdf["tab"], pdf["text"]):
-                got = known.get((tab, text))
+            for tab, text, probs in zip(pdf["tab"], pdf["text"], pdf["lang_probs"]):
+                given = tuple((x["key"], x["value"]) for x in probs) if probs is not None else ()
+                got = known.get((tab, text, given))
                 if got is None:
-                    n, parts = stretches(model, text, tab)
-                    got = known[tab, text] = n, [{"first_word": b, "end_word": e, "lang": x, "confidence": c} for b, e, x, c in parts]
+                    n, parts = stretches(model, text, tab, dict(given))
+                    got = known[tab, text, given] = n, [{"first_word": b, "end_word": e, "lang": x, "confidence": c} for b, e, x, c in parts]
                 spoken.append(got[0])
                 found.append(got[1])
             yield pd.DataFrame({"tab": pdf["tab"], "rec_key": pdf["rec_key"], "label": pdf["label"], "spoken_words": spoken, "stretches": found})
@@ -417,9 +454,12 @@ SCHEMA = "tab string, rec_key string, label string, spoken_words int, stretches
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """Rows (tab, rec_key, label, spoken_words, stretches) for rows (tab, rec_key, lang, text); label is the language the label names.
 
-    Null, empty and blank texts have no stretches. A row delivered twice comes out twice.
+    rows may have lang_probs, a map of probabilities by language. Null, empty and blank texts have no stretches. A row delivered twice comes
+    out twice.
     """
-    return rows.select("tab", "rec_key", label_language(F.col("lang")).alias("label"), "text").mapInPandas(_identify(model), SCHEMA)
+    if "lang_probs" not in rows.columns:
+        rows = rows.withColumn("lang_probs", F.lit(None).cast("map<string,double>"))
+    return rows.select("tab", "rec_key", label_language(F.col("lang")).alias("label"), "text", F.array_sort(F.map_entries("lang_probs")).alias("lang_probs")).mapInPandas(_identify(model), SCHEMA)
 
 
 def cases(identified: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
 """Problem 3: personal information inside free text, found and replaced by typed placeholders.
 
-E-mail addresses, phone numbers, identity numbers and street addresses have notations, which patterns describe. Names have none: they are
-found by information-theoretic sanitisation. The names of the participants are the protected entities; for every term of the corpus the
-share of its occurrences next to a protected entity (or after a form of address) measures how strongly it discloses one. Terms above the
-thresholds are names as well, and every occurrence of a name, in any case or alphabet, is generalised to its placeholder.
+Patterns of notations propose e-mail addresses, phone numbers, identity numbers and street addresses; every word proposes a name. What of it is
+generalised is decided by information-theoretic sanitisation, from co-occurrence in the whole corpus. For words the names of the participants
+are the protected entities: the share of a word's occurrences next to one (or after a form of address) measures how strongly it discloses one.
+For the values of the other kinds the protected entity is what the text is about (a meeting, a record): the share of entities whose texts hold
+a value is what the value tells about one, in bits; a value that everybody's texts hold, such as an emergency number, discloses nobody. Terms
+above the thresholds are generalised wherever they stand, a name in any case or alphabet.
+
+Protected entities, names and values may be any number: tasks get a bit filter of bounded size that only spares them hopeless words, and joins
+decide. No result depends on how the texts are partitioned.
 """
 
 from __future__ import annotations
@@ -11,21 +16,23 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from . import chars
+from . import bits, chars
 
 #: A term is a name if this share of its occurrences is next to a protected entity, it tells more bits about one than an average term, it
 #: occurs so often at least, and within sentences it is capitalised this often.
 DISCLOSURE, BITS, SUPPORT, CAPITAL = 0.5, 2.0, 2, 0.3
-#: Names sent to every executor at most; rarer ones beyond that are joined by a shuffle.
-SENT_NAMES = 200_000
+#: A value is known to disclose nobody only if so many entities share it.
+SHARED = 8
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # fixed values: sounds that may interrupt a number or an address
@@ -69,8 +76,8 @@ ADDRESS_AFTER = re.compile(rf"(?<![\d\w.])\d{{1,4}}[A-Za-z]?{_GAP}{_NAME1}(?:\s+
 _NEED_STREET = ("str.", "strad", "bulevard", "bd.", "bd-", "b-dul", "bul.", "aleea", "calea", "oseaua", "piața", "страда", "стр.", "булевард", "ул.", "улиц", "переул", "пер.", "проспект", "пр-т", "бульвар", "шоссе", "набереж", "площадь", "ul.", "ulits", "pereul")
 _NEED_FLAT = ("ap.", "apartament", "кв.", "квартир", "ап.", "апартамент")
 _NEED_AFTER = (" street", " road", " rd", " avenue", " ave", " lane", " drive", " boulevard", " blvd", " square")
-_NEED_SPOKEN = (" arond", " rond ", " собак", " собач", "аронд", " sobaka", " dot ")
-_NEED_BRACKET = ("[at", "(at", "{at", "[ at", "( at", "[arond", "(arond", "[собака", "(собака")
+_NEED_SPOKEN = (" arond", " rond ", " собак", " собач", "аронд", " sobaka", " dot ", " punct ", " точка ", " пункт ", " tochka ")
+_NEED_BRACKET = re.compile(r"[\[({]\s*(?:at|arond|собака|@)\s*[\])}]")
 # fixed values: forms of address before a name
 _TITLE = re.compile(r"(?:dr|dna|dl|doamna|domnul|mrs|mr|ms|miss|prof|доктор|госпожа|господин|д-р|г-жа|г-н|доамна|домнул)\Z", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -103,7 +110,7 @@ def structured(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if "@" in low:
         add_all("email", EMAIL_SIGN)
-    if any(x in low for x in _NEED_BRACKET):
+    if _NEED_BRACKET.search(low):
         add_all("email", EMAIL_BRACKET)
     if any(x in low for x in _NEED_SPOKEN):
         add_all("email", EMAIL_SPOKEN)
@@ -150,21 +157,28 @@ def name_spans(text: str, is_name: Callable[[str], bool]) -> list[tuple[int, int
     return spans
 
 
-class Names:
-    """Word test with a memory: the same words come again and again."""
+class Terms:
+    """The folded form of each word that a filter lets pass, '' for others, remembered; the memory is emptied when it is full."""
 
-    def __init__(self, known: frozenset[str]):
-        self.known, self.seen = known, {}
+    def __init__(self, filter_: np.ndarray):
+        self.filter, self.seen = filter_, {}
 
-    def __call__(self, word: str) -> bool:
+    def __call__(self, word: str) -> str:
         got = self.seen.get(word)
         if got is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            got = self.seen[word] = len(word) > 1 and fold(word) in self.known
+            term = fold(word)
+            # the same hash as Spark's xxhash64
+            got = self.seen[word] = term if len(word) > 1 and bits.hit(self.filter, xxhash.xxh64_intdigest(term, seed=42)) else ""
         return got
 
 
+def value_of(kind: str, text: str) -> str:
+    """What all notations of one find of this kind have in common: its letters and digits, folded."""
+    return f"{kind}|" + "".join(filter(str.isalnum, fold(text)))
+
+
 def find(text: str, is_name: Callable[[str], bool]) -> list[tuple[int, int, str]]:
     """All spans of a text in consistent form."""
     spans = structured(text)
@@ -188,17 +202,21 @@ def with_origins(text: str) -> tuple[str, list[int]]:
     return chars._alike(flat), [*origin, len(text)]
 
 
-def redact(text: str, is_name: Callable[[str], bool]) -> tuple[str, list[str]]:
-    """The text with a placeholder for each find and nothing else changed, and the kinds found, in order."""
+def redact(text: str, terms: Container[str]) -> tuple[str, list[str]]:
+    """The text with a placeholder for each find and nothing else changed, and the kinds found, in order.
+
+    terms: the folded names, and the values (value_of) that disclose somebody.
+    """
     if text.isascii():
         clean, origin = text, range(len(text) + 1)
     else:
         clean, origin = with_origins(text)
     out, at, kinds = [], 0, []
-    for s, e, kind in find(clean, is_name):
-        out += [text[at : origin[s]], PLACEHOLDER[kind]]
-        at = origin[e]
-        kinds.append(kind)
+    for s, e, kind in find(clean, lambda w: len(w) > 1 and fold(w) in terms):
+        if kind == "name" or value_of(kind, clean[s:e]) in terms:
+            out += [text[at : origin[s]], PLACEHOLDER[kind]]
+            at = origin[e]
+            kinds.append(kind)
     return "".join([*out, text[at:]]), kinds
 
 
@@ -220,39 +238,46 @@ def seed_names(participants: DataFrame) -> DataFrame:
     return words.where("length(term) > 2 and term not in ('dr', 'dna', 'doamna', 'domnul', 'mrs', 'doctor', 'prof')")
 
 
-def _cooccurrence(seeds: frozenset[str]):
-    """Counts of a batch of texts: (term, n, near, capital, small) by folded term."""
+_NEXT = re.compile(r"\.?\s|,\s")
+#: What before a word says nothing about its capital.
+_OPENS = ".!?:>])}*~♪-"
+_COUNTS = "term string, before string, after string, titled boolean, n long, near long, capital long, small long"
+
+
+def _cooccurrence(filter_: np.ndarray):
+    """Counts of a batch of texts by folded term: n of all its occurrences; near, capital and small of those beside a word that the filter lets
+    pass (before or after it) or after a form of address."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        is_seed = Names(seeds)
+        seed = Terms(filter_)
         for pdf in batches:
-            n: Counter = Counter()
+            words: Counter = Counter()
             near: Counter = Counter()
-            capital: Counter = Counter()
-            small: Counter = Counter()
-            for text in pdf["text"]:
-                words = _WORD.findall(text)
-                n.update(words)
-                marks = [i for i, w in enumerate(words) if is_seed(w) or _TITLE.match(w)]
-                if not marks:
+            for text in map(chars.consistent, pdf["text"]):
+                said = _WORD.findall(text)
+                words.update(said)
+                if not any(seed(w) or _TITLE.match(w) for w in said):
                     continue
-                clean = chars.consistent(text)
-                clean = _masked(clean, structured(clean))
+                clean = _masked(text, structured(text))
                 found = list(_WORD.finditer(clean))
                 cased = any(m.group()[0].isupper() for m in found)
                 for i, m in enumerate(found):
-                    w = m.group()
-                    beside = False
-                    if i and re.fullmatch(r"\.?\s|,\s", between := clean[found[i - 1].end() : m.start()]):
-                        before = found[i - 1].group()
-                        beside = is_seed(before) and between != ", " or bool(_TITLE.match(before))
+                    before, after, titled = "", "", False
+                    if i and _NEXT.fullmatch(between := clean[found[i - 1].end() : m.start()]):
+                        left = found[i - 1].group()
+                        before, titled = (seed(left) if between != ", " else ""), bool(_TITLE.match(left))
                     if i + 1 < len(found) and clean[m.end() : found[i + 1].start()] == " ":
-                        beside = beside or is_seed(found[i + 1].group())
-                    if beside:
-                        near[w] += 1
-                        if cased and i and clean[m.start() - 1 : m.start()] == " " and clean[m.start() - 2 : m.start() - 1] not in ".!?:>])}*~♪-":
-                            (capital if w[0].isupper() else small)[w] += 1
-            yield pd.DataFrame({"word": list(n), "n": list(n.values()), "near": [near.get(w, 0) for w in n], "capital": [capital.get(w, 0) for w in n], "small": [small.get(w, 0) for w in n]})
+                        after = seed(found[i + 1].group())
+                    if before or after or titled:
+                        w = m.group()
+                        inside = cased and i and clean[m.start() - 1 : m.start()] == " " and clean[m.start() - 2 : m.start() - 1] not in _OPENS
+                        near[fold(w), before or None, after or None, titled, inside and w[0].isupper(), inside and not w[0].isupper()] += 1
+            n: Counter = Counter()
+            for w, k in words.items():
+                n[fold(w)] += k
+            rows = [(t, None, None, False, k, 0, 0, 0) for t, k in n.items()]
+            rows += [(t, b, a, d, 0, k, k * bool(up), k * bool(low)) for (t, b, a, d, up, low), k in near.items()]
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _COUNTS.split(", ")])
 
     return run
 
@@ -266,13 +291,18 @@ def disclosing_terms(texts: DataFrame, seeds: DataFrame, common: DataFrame | Non
     """Rows (term, n, near, share, bits, capital): every term of the corpus that occurs next to a protected entity.
 
     share = near / n is the chance that an occurrence of the term points at a protected entity; bits = log2 of that chance over the chance
-    of an average word. texts has one column, text. common (a column word) names words that are no names whatever their neighbours.
+    of an average word. texts has one column, text; seeds one, term. common (a column word) names words that are no names whatever their
+    neighbours.
     """
-    spark = texts.sparkSession
-    sent = frozenset(r["term"] for r in seeds.limit(SENT_NAMES).collect())
-    counts = texts.where("text is not null and text != ''").mapInPandas(_cooccurrence(sent), "word string, n long, near long, capital long, small long")
-    by_word = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "near", "capital", "small")])
-    terms = cut(by_word.withColumn("term", _folded("word")).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "near", "capital", "small")]))
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    counts = texts.where("text is not null and text != ''").mapInPandas(_cooccurrence(_filter(seeds)), _COUNTS)
+    counts = counts.groupBy("term", "before", "after", "titled").agg(*sums("n", "near", "capital", "small"))
+    for side in ("before", "after"):
+        known = seeds.select(F.col("term").alias(side), F.lit(True).alias(f"{side}_is")).distinct()
+        counts = counts.join(known, side, "left")
+    beside = F.col("titled") | F.col("before_is").isNotNull() | F.col("after_is").isNotNull()
+    counts = counts.select("term", "n", *[F.when(beside, F.col(c)).otherwise(0).alias(c) for c in ("near", "capital", "small")])
+    terms = cut(counts.groupBy("term").agg(*sums("n", "near", "capital", "small")))
     total = terms.agg(F.sum("n"), F.sum("near")).first()
     average = (total[1] or 0) / max(1, total[0] or 0)
     titles = sorted({fold(w) for w in re.findall(r"[^\W\d_]+", _TITLE.pattern.removesuffix(r"\Z"))})
@@ -283,9 +313,13 @@ def disclosing_terms(texts: DataFrame, seeds: DataFrame, common: DataFrame | Non
     return out.drop("small")
 
 
+def _filter(terms: DataFrame) -> np.ndarray:
+    return bits.slots(terms.select(F.xxhash64("term").alias("h")))
+
+
 def names(texts: DataFrame, participants: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """Rows (term): the protected entities and the terms that disclose one beyond the thresholds."""
-    seeds = seed_names(participants)
+    seeds = cut(seed_names(participants))
     found = disclosing_terms(texts, seeds, common).where((F.col("share") >= DISCLOSURE) & (F.col("bits") >= BITS) & (F.col("n") >= SUPPORT) & (F.col("capital") >= CAPITAL))
     return cut(seeds.unionByName(found.select("term")).distinct())
 
@@ -293,73 +327,70 @@ def names(texts: DataFrame, participants: DataFrame, common: DataFrame | None =
 # ---- the operator
 
 
-def _kinds(known: frozenset[str]):
+def _proposed(filter_: np.ndarray):
+    """Distinct (rec_key, entity, h, kind, value) that a batch of texts may disclose: values of notations, and words that the filter lets pass."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        is_name = Names(known)
+        term = Terms(filter_)
         for pdf in batches:
-            key, kind = [], []
-            for k, text in zip(pdf["rec_key"], pdf["text"]):
-                for x in {s[2] for s in find(chars.consistent(text), is_name)}:
-                    key.append(k)
-                    kind.append(x)
-            yield pd.DataFrame({"rec_key": key, "kind": kind}, dtype=object)
+            rows = []
+            for key, entity, h, text in pdf.itertuples(index=False, name=None):
+                clean = chars.consistent(text)
+                spans = structured(clean)
+                got = {(kind, value_of(kind, clean[s:e])) for s, e, kind in spans}
+                if any(map(term, _WORD.findall(clean))):
+                    got |= {("name", t) for t in map(term, _WORD.findall(_masked(clean, spans))) if t}
+                rows += [(key, entity, h, *g) for g in got]
+            yield pd.DataFrame(rows, columns=["rec_key", "entity", "h", "kind", "value"])
 
     return run
 
 
-def _redacted(known: frozenset[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        is_name = Names(known)
-        for pdf in batches:
-            done = [redact(t, is_name) if t else (t, []) for t in pdf["text"]]
-            pdf["clean_text"] = pd.Series([d[0] for d in done], index=pdf.index, dtype=object)
-            pdf["kinds"] = pd.Series([d[1] for d in done], index=pdf.index, dtype=object)
-            yield pdf
-
-    return run
+def values_by_bits(proposed: DataFrame, entities: int) -> DataFrame:
+    """Rows (kind, value, entities, bits) for proposed values other than names: how many entities' texts hold a value, and what it tells about one."""
+    spread = proposed.where("kind != 'name'").select("kind", "value", "entity").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entities"))
+    return spread.withColumn("bits", F.log2(F.greatest(F.lit(entities), "entities") / F.col("entities")))
 
 
-def _split_names(known: DataFrame) -> tuple[frozenset[str], DataFrame | None]:
-    """The names to send, and the rest, if there are more than may be sent."""
-    if known.count() <= SENT_NAMES:
-        return frozenset(r["term"] for r in known.collect()), None
-    first = known.orderBy("term").limit(SENT_NAMES)
-    return frozenset(r["term"] for r in first.collect()), known.join(first, "term", "left_anti")
+def disclosed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (rec_key, h, kind, value): what each text discloses. rows: (rec_key, text) and, where it is known what a text is about, entity, which
+    is the rec_key otherwise; h is the text's hash. known has a column term: the names. Null and empty texts give none."""
+    if "entity" not in rows.columns:
+        rows = rows.withColumn("entity", F.col("rec_key"))
+    texts = rows.where("text is not null and text != ''").select("rec_key", "entity", F.xxhash64("text").alias("h"), "text")
+    proposed = cut(texts.mapInPandas(_proposed(_filter(known)), "rec_key string, entity string, h long, kind string, value string").distinct())
+    named = proposed.where("kind = 'name'").join(known.select(F.col("term").alias("value")).distinct(), "value", "left_semi")
+    values = values_by_bits(proposed, rows.select("entity").distinct().count())
+    shared = values.where((F.col("bits") < BITS) & (F.col("entities") >= SHARED)).select("value")
+    valued = proposed.where("kind != 'name'").join(shared, "value", "left_anti")
+    columns = ["rec_key", "h", "kind", "value"]
+    return named.select(*columns).unionByName(valued.select(*columns))
 
 
 def found_kinds(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct rows (rec_key, kind) for rows (rec_key, text); null and empty texts give none. known has a column term: the names."""
-    sent, rest = _split_names(known)
-    texts = rows.where("text is not null and text != ''").select("rec_key", "text")
-    out = texts.mapInPandas(_kinds(sent), "rec_key string, kind string")
-    if rest is not None:
-        words = texts.select("rec_key", F.explode(_name_words("text")).alias("term")).distinct()
-        out = out.unionByName(words.join(rest, "term").select("rec_key", F.lit("name").alias("kind")))
-    return out.distinct()
+    """Distinct rows (rec_key, kind) of what the texts of rows disclose, with arguments as for `disclosed`."""
+    return disclosed(rows, known).select("rec_key", "kind").distinct()
 
 
-def redacted(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (rec_key, text, clean_text, kinds): each text with placeholders in place of its finds, nothing else changed.
+def _redacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        done = [redact(t, frozenset(own)) if t and own is not None else (t, []) for t, own in zip(pdf["text"], pdf["own"])]
+        pdf["clean_text"] = pd.Series([d[0] for d in done], index=pdf.index, dtype=object)
+        pdf["kinds"] = pd.Series([d[1] for d in done], index=pdf.index, dtype=object)
+        yield pdf[["rec_key", "text", "clean_text", "kinds"]]
 
-    Null stays null and empty empty, with no kinds. Names beyond what may be sent to every executor are found by a join first and handed
-    to the rows that hold them.
-    """
-    sent, rest = _split_names(known)
-    texts = rows.select("rec_key", "text")
-    schema = "rec_key string, text string, clean_text string, kinds array<string>"
-    if rest is None:
-        return texts.mapInPandas(_redacted(sent), schema)
-    words = texts.select("rec_key", F.explode(_name_words("text")).alias("term")).distinct().join(rest, "term").groupBy("rec_key").agg(F.collect_set("term").alias("own"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [redact(t, Names(sent | frozenset(own if own is not None else ()))) if t else (t, []) for t, own in zip(pdf["text"], pdf["own"])]
-            pdf["clean_text"] = pd.Series([d[0] for d in done], index=pdf.index, dtype=object)
-            pdf["kinds"] = pd.Series([d[1] for d in done], index=pdf.index, dtype=object)
-            yield pdf.drop(columns="own")
+def redacted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct rows (rec_key, text, clean_text, kinds): each text with placeholders in place of what it discloses, nothing else changed.
 
-    return texts.join(words, "rec_key", "left").mapInPandas(run, schema)
+    Null stays null and empty empty, with no kinds. Each text meets the terms it discloses by a join on its key and hash.
+    """
+    own = disclosed(rows, known).groupBy("rec_key", "h").agg(F.collect_set("value").alias("own"))
+    texts = rows.select("rec_key", "text", F.xxhash64("text").alias("h")).dropDuplicates(["rec_key", "h"])
+    return texts.join(own, ["rec_key", "h"], "left").select("rec_key", "text", "own").mapInPandas(_redacted, "rec_key string, text string, clean_text string, kinds array<string>")
 
 
-def keyed(df: DataFrame, tab: str, key: Column, text: str) -> DataFrame:
-    return df.select(F.concat(F.lit(tab + "|"), key).alias("rec_key"), F.col(text).alias("text"))
+def keyed(df: DataFrame, tab: str, key: Column, text: str, entity: str | None = None) -> DataFrame:
+    """Rows (rec_key, text, entity) with the table's name before the key."""
+    named = F.concat(F.lit(tab + "|"), key)
+    return df.select(named.alias("rec_key"), F.col(text).alias("text"), (F.col(entity) if entity else named).alias("entity"))

@@ -12,9 +12,10 @@ from . import chars, language, packing, personal, splitting, tokens, truncation,
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (tab, rec_key, lang, text) of segments and documents."""
-    segments = table(spark, sf_dir, "segment").select(F.lit("segment").alias("tab"), F.concat_ws("/", "meeting_id", "seg_idx").alias("rec_key"), "lang", "text")
-    return segments.unionByName(table(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("rec_key"), "lang", "text"))
+    """Rows (tab, rec_key, lang, text, lang_probs) of segments and documents."""
+    segments = table(spark, sf_dir, "segment").select(F.lit("segment").alias("tab"), F.concat_ws("/", "meeting_id", "seg_idx").alias("rec_key"), "lang", "text", "lang_probs")
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("rec_key"), "lang", "text")
+    return segments.unionByName(documents, allowMissingColumns=True)
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +36,9 @@ def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat_ws("/", "meeting_id", "part_idx", "item_idx")
     return (
-        personal.keyed(table(spark, sf_dir, "segment"), "segment", F.concat_ws("/", "meeting_id", "seg_idx"), "text")
-        .unionByName(personal.keyed(table(spark, sf_dir, "decision"), "decision", item, "evidence_quote"))
-        .unionByName(personal.keyed(table(spark, sf_dir, "action_item"), "action_item", item, "owner"))
+        personal.keyed(table(spark, sf_dir, "segment"), "segment", F.concat_ws("/", "meeting_id", "seg_idx"), "text", "meeting_id")
+        .unionByName(personal.keyed(table(spark, sf_dir, "decision"), "decision", item, "evidence_quote", "meeting_id"))
+        .unionByName(personal.keyed(table(spark, sf_dir, "action_item"), "action_item", item, "owner", "meeting_id"))
     )
 
 
@@ -56,7 +57,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with placeholders, one row for each distinct (record, text)."""
     rows = _private_texts(spark, sf_dir)
-    done = personal.redacted(rows, _names(spark, sf_dir, rows)).distinct()
+    done = personal.redacted(rows, _names(spark, sf_dir, rows))
     return done.select(F.substring_index("rec_key", "|", 1).alias("tab"), F.substring_index("rec_key", "|", -1).alias("rec_key"), "clean_text", "kinds")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from . import bits
 
 #: Lengths on either side whose hazard a length is compared with.
 NEAR = 25
@@ -104,7 +105,6 @@ def _runs(words: np.ndarray, k: int, before: np.ndarray | None) -> np.ndarray:
 
 def _count(asked: np.ndarray):
     """Counts of the asked runs of a batch of texts; asked: a bit for each slot of a hash, so that only runs that may be asked for are kept."""
-    mask = np.uint64(len(asked) * 64 - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
@@ -119,8 +119,7 @@ def _count(asked: np.ndarray):
             for k in sorted(ORDERS):
                 before = _runs(words, k, before)
                 follower = np.concatenate((follows[k:], np.full(min(k, len(words)), TEXT_END)))
-                slot = before & mask
-                hit = (before != 0) & (follower != TEXT_END) & ((asked[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                hit = (before != 0) & (follower != TEXT_END) & bits.hits(asked, before)
                 seen.append(pd.DataFrame({"h": before[hit].view(np.int64), "ends": (follower[hit] == 0).astype(np.int64)}))
             counts = pd.concat(seen).groupby("h")["ends"].agg(["size", "sum"])
             yield pd.DataFrame({"h": counts.index, "n": counts["size"].to_numpy(np.int64), "ends": counts["sum"].to_numpy(np.int64)})
@@ -128,22 +127,6 @@ def _count(asked: np.ndarray):
     return run
 
 
-#: Slots of the filter over asked runs: about 16 for each, within these bounds (8 MB at most, whatever the data).
-LEAST_BITS, MOST_BITS = 12, 26
-
-
-def _slots(asked: DataFrame, name: str = "h") -> np.ndarray:
-    """One bit for each slot of a hash that a row of `asked` has. Its size is bounded; what shares a slot by chance is told apart later, by a join."""
-    wanted = asked.agg(F.approx_count_distinct(name)).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted).bit_length()))
-    slot = F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
-    words = asked.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for r in words:
-        out[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
-    return out
-
-
 def _followers(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows (h, n, ends) for runs of 1 to 4 words: how often each occurs in the corpus followed by something, and by an end.
 
@@ -151,7 +134,7 @@ def _followers(documents: DataFrame, asked: DataFrame) -> DataFrame:
     itself. Runs do not cross ends.
     """
     texts = documents.where("text is not null and text != ''").select("text")
-    return texts.mapInPandas(_count(_slots(asked)), "h long, n long, ends long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return texts.mapInPandas(_count(bits.slots(asked)), "h long, n long, ends long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
 _RUNS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("letters", T.IntegerType())]))

@@ -38,3 +38,16 @@ def test_stretches_use_the_prior_of_their_table(spark):
     model = language.train(labelled, totals=totals)
     model.weights[:] = 0  # words that tell nothing: the prior alone decides
     assert [language.stretches(model, RO, tab)[1][0][2] for tab in ("documents", "segment", None)] == ["ro", "en", "ro"]
+
+
+def test_language_probabilities(spark):
+    """They are weak evidence for a row, and rows at odds with them do not teach."""
+    rows = rows_of(spark)
+    model = language.train(language.sample(rows, 60))
+    model.weights[:] = 0
+    assert language.stretches(model, RO, "segment", {"ro": 0.98, "en": 0.01, "ru": None})[1][0][2] == "ro"
+    probs = [("segment", "a", "ro", RO, {"en": 0.9, "ro": 0.1}), ("segment", "b", "ro", RO, {"en": 0.1, "ro": 0.9}), ("segment", "c", "ro", RO, None), ("segment", "d", "ro", RO, {})]
+    df = spark.createDataFrame(probs, "tab string, rec_key string, lang string, text string, lang_probs map<string,double>")
+    assert len(language.sample(df)) == 3
+    found = {r["rec_key"]: r["stretches"][0]["lang"] for r in language.identify(df.drop("lang").selectExpr("*", "'ro' as lang"), language.train(language.sample(rows, 60))).collect()}
+    assert found == {"a": "ro", "b": "ro", "c": "ro", "d": "ro"}

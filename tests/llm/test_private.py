@@ -10,6 +10,13 @@ from stenoflow.llm import language, personal
 KNOWN = frozenset({"olga", "brunoret", "gruvanici", "peltalschi", "helen"})
 
 
+class Everything:
+    """The known names, and every value."""
+
+    def __contains__(self, term):
+        return "|" in term or term in KNOWN
+
+
 @pytest.mark.parametrize(
     "text, kinds",
     [
@@ -22,14 +29,14 @@ KNOWN = frozenset({"olga", "brunoret", "gruvanici", "peltalschi", "helen"})
     ],
 )
 def test_kinds(text, kinds):
-    clean, found = personal.redact(text, personal.Names(KNOWN))
+    clean, found = personal.redact(text, Everything())
     assert found == kinds
     assert sum(clean.count(p) for p in personal.PLACEHOLDER.values()) == len(kinds)
 
 
 def test_nothing_else_changes():
     text = "Ăă, Сonsult cu doamna Olga Brunoreț, tel. ０59-84-58-89;  și a​tât №5"
-    clean, _ = personal.redact(text, personal.Names(KNOWN))
+    clean, _ = personal.redact(text, Everything())
     assert clean == "Ăă, Сonsult cu doamna [NAME], tel. [PHONE];  și a​tât №5"
 
 
@@ -49,12 +56,38 @@ def test_corpus_names(spark):
     assert personal.found_kinds(rows.limit(0), known).collect() == []
 
 
-def test_more_names_than_are_sent(spark, monkeypatch):
-    monkeypatch.setattr(personal, "SENT_NAMES", 1)
-    known = spark.createDataFrame([("olga",), ("zoltan",)], "term string")
-    rows = spark.createDataFrame([("1", "Olga"), ("2", "ZOLTAN vine"), ("3", "nimeni"), ("4", None)], "rec_key string, text string")
-    assert sorted(map(tuple, personal.found_kinds(rows, known).collect())) == [("1", "name"), ("2", "name")]
-    assert {r["rec_key"]: r["clean_text"] for r in personal.redacted(rows, known).collect()} == {"1": "[NAME]", "2": "[NAME] vine", "3": "nimeni", "4": None}
+def test_any_number_of_names(spark, monkeypatch):
+    """Names far beyond what the filter can tell apart give the rows that few names in a wide filter give."""
+    words = spark.range(20_000).select(F.concat(F.lit("zx"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("term"))
+    known = words.unionByName(spark.createDataFrame([("olga",), ("zoltan",)], "term string"))
+    rows = spark.createDataFrame([("1", "Olga olga@a.test"), ("2", "ZOLTAN vine"), ("3", "nimeni"), ("4", None), ("5", "olga@zoltan.test"), ("6", "Zxbc și ОLGA"), ("7", "")], "rec_key string, text string")
+    want = [("1", "email"), ("1", "name"), ("2", "name"), ("5", "email"), ("6", "name")]
+    for most in (12, 26):
+        monkeypatch.setattr(personal.bits, "MOST_BITS", most)
+        assert sorted(map(tuple, personal.found_kinds(rows, known).collect())) == want
+        clean = {r["rec_key"]: r["clean_text"] for r in personal.redacted(rows, known).collect()}
+        assert clean == {"1": "[NAME] [EMAIL]", "2": "[NAME] vine", "3": "nimeni", "4": None, "5": "[EMAIL]", "6": "[NAME] și [NAME]", "7": ""}
+
+
+def test_partitions_do_not_matter(spark):
+    """Spellings of one word count together, wherever their texts lie."""
+    said = ["doamna Zоltin vine", "Zoltin a plecat"] * 10 + ["domnul Zoltin, azi", "nici o sondă"] * 5 + ["doamna Brel"] * 3
+    people = spark.createDataFrame([("Olga Brunoreț",)], "name string")
+    got = []
+    for n in (1, 20):
+        texts = spark.createDataFrame([(s,) for s in said], "text string").repartition(n)
+        got.append(sorted(map(tuple, personal.disclosing_terms(texts, personal.seed_names(people)).collect())))
+    assert got[0] == got[1] and [(r[0], r[1], r[2]) for r in got[0]] == [("brel", 3, 3), ("zoltin", 25, 15)]
+
+
+def test_values_that_everybody_shares(spark):
+    rows = [(str(i), f"m{i % 20}", "Sunați la +373 59 429 823") for i in range(40)] + [("x", "m1", "Sunați la +373 59 111 222")]
+    df = spark.createDataFrame(rows, "rec_key string, entity string, text string")
+    none = spark.createDataFrame([], "term string")
+    assert sorted(map(tuple, personal.found_kinds(df, none).collect())) == [("x", "phone")]
+    assert {r["clean_text"] for r in personal.redacted(df, none).collect()} == {"Sunați la +373 59 429 823", "Sunați la [PHONE]"}
+    few = df.where("entity in ('m1', 'm2')")
+    assert personal.found_kinds(few, none).count() == few.count(), "too few entities to call a value common"
 
 
 SAID = {
