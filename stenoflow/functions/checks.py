@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: pressures from which a reading is an alert (systolic high and low, diastolic high)
-SYSTOLIC_HIGH, SYSTOLIC_LOW, DIASTOLIC_HIGH = 180, 90, 110
+from .clinic import DIASTOLIC, SYSTOLIC
+
+
+
 PRESSURE = r"(?<![\d/])(\d{2,3})/(\d{2,3})(?![\d/])"
 
 
@@ -50,6 +52,6 @@ def pressure_alerts(text: Column) -> Column:
 
     def beyond(r: Column) -> Column:
         high, low = F.split(r, "/")[0].cast("int"), F.split(r, "/")[1].cast("int")
-        return (high >= SYSTOLIC_HIGH) | (high < SYSTOLIC_LOW) | (low >= DIASTOLIC_HIGH)
+        return ~high.between(*SYSTOLIC) | ~low.between(*DIASTOLIC)
 
     return F.filter(readings, beyond)

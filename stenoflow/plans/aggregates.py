@@ -1,4 +1,4 @@
-"""Aggregates and set queries: A1-A11, A14-A18, A22, A24, A25, A28, A30-A32, U1-U7, O4, O7, O9-O13, P7, P11-P14."""
+"""Aggregates and set queries; each names its inventory ids."""
 
 from __future__ import annotations
 
@@ -146,6 +146,33 @@ def q_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+with c as (select lang, lower(word) as form, sum(count) as n from lexicon where length(word) >= 5 group by 1, 2 union all select lang, lower(word), 1000 from (select distinct lang, word from lexicon where length(word) >= 9)),
+s as (select lang, form, cast(sum(n) as bigint) as n from c group by 1, 2)
+select lang, translate(form, 'ăâîșțşţáàäéèëêíïóöôúüûçñйё', 'aaiststaaaeeeeiiooouuucnие') as key, arg_max(form, (n, form)) as form, cast(max(n) as bigint) as n from s where lang is not null group by 1, 2""")
+def q_weighted_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two lists added up, each entry of the preferred one (words of nine letters or more) for a thousand, and the heaviest form of each key."""
+    words = table(spark, sf_dir, "lexicon").where("lang is not null")
+    counts = words.where("length(word) >= 5").select("lang", F.lower("word").alias("form"), F.col("count").alias("n"))
+    preferred = words.where("length(word) >= 9").select("lang", "word").distinct().select("lang", F.lower("word").alias("form"), F.lit(1000).cast("long").alias("n"))
+    sums = counts.unionByName(preferred).groupBy("lang", "form").agg(F.sum("n").alias("n"))
+    return sums.groupBy("lang", X.without_diacritics(F.col("form")).alias("key")).agg(F.max_by("form", F.struct("n", "form")).alias("form"), F.max("n").alias("n"))
+
+
+@query("""
+with t as (select distinct unnest(missing) as term from exp_asr), h as (select run_id, ' ' || trim(regexp_replace(translate(lower(hyp), 'şţ', 'șț'), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ' as h from exp_asr where hyp is not null),
+f as (select h.run_id, t.term, contains(h.h, ' ' || trim(regexp_replace(translate(lower(t.term), 'şţ', 'șț'), '[^\p{L}\p{N}_]+', ' ', 'g'))) as hit from h join t on t.term != '')
+select run_id, round(avg(case when hit then 1 else 0 end), 6) as recall, coalesce(string_agg(term, ', ' order by term) filter (where not hit), '') as missed from f group by 1""")
+def q_term_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all terms that each hypothesis has, and those it has not; the terms, one row's list, are a vocabulary of bounded size."""
+    plain = lambda c: F.trim(F.regexp_replace(X.comma_forms(c), r"[^\p{L}\p{N}_]+", " "))
+    runs = table(spark, sf_dir, "exp_asr")
+    terms = runs.select(F.explode("missing").alias("term")).where("term != ''").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    rows = runs.where("hyp is not null").select("run_id", F.concat(F.lit(" "), plain(F.col("hyp")), F.lit(" ")).alias("h")).join(F.broadcast(terms)).where("size(terms) > 0")
+    missed = F.filter("terms", lambda t: ~F.contains(F.col("h"), F.concat(F.lit(" "), plain(t))))
+    return rows.select("run_id", F.round(1 - F.size(missed) / F.size("terms"), 6).alias("recall"), F.array_join(missed, ", ").alias("missed"))
+
+
 @query("""with f as (select event_type, date_trunc('hour', ts) as h, sqrt(avg(value * value) + 1e-12) as rms from events group by 1, 2) select event_type, round(20 * log10(quantile_cont(rms, 0.1)), 6) as floor_db from f group by 1""")
 def q_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tenth percentile of the root mean square by frame, in decibels."""
@@ -243,15 +270,21 @@ def q_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("meeting_id", "seg_idx", F.array_join(marks, ",").alias("marks"))
 
 
+# fixed value: wordings of a deadline that nobody named
+INVENTED = "implicit|standard|nu s-a (specificat|precizat|stabilit)|nespecificat|probabil|continuu|în continuare|la nevoie|dacă e necesar|not specified|не указан"
+
+
 @query(f"""
-with {ACT}, j as (select distinct on (id) id, meeting_date from job order by id), d as (select a.*, j.meeting_date, case when regexp_matches(left(deadline_date, 10), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then cast(try_strptime(left(deadline_date, 10), '%Y-%m-%d') as date) end as day from act a left join j on a.meeting_id = j.id)
-select meeting_id, part_idx, item_idx, case when day between meeting_date and meeting_date + 730 then day end as deadline from d""")
+with {ACT}, j as (select distinct on (id) id, meeting_date from job order by id), d as (select a.*, j.meeting_date, coalesce(regexp_matches(deadline_text, '{INVENTED}', 'i'), false) as invented, case when regexp_matches(left(deadline_date, 10), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then cast(try_strptime(left(deadline_date, 10), '%Y-%m-%d') as date) end as day from act a left join j on a.meeting_id = j.id)
+select meeting_id, part_idx, item_idx, case when not invented then deadline_text end as deadline_text, case when not invented and day between meeting_date and meeting_date + 730 then day end as deadline from d""")
 def q_valid_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deadlines that are dates within two years of the meeting, else null."""
+    """Deadlines that are dates within two years of the meeting, else null; wordings that nobody named void text and date."""
     jobs = table(spark, sf_dir, "job").dropDuplicates(["id"]).select(F.col("id").alias("meeting_id"), "meeting_date")
     day = F.when(F.substring("deadline_date", 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(F.substring("deadline_date", 1, 10), "yyyy-MM-dd"))
+    named = ~F.coalesce(F.col("deadline_text").rlike(f"(?iu){INVENTED}"), F.lit(False))
     rows = items(spark, sf_dir, "action_item").join(jobs, "meeting_id", "left").withColumn("day", day)
-    return rows.select("meeting_id", "part_idx", "item_idx", F.when(F.col("day").between(F.col("meeting_date"), F.date_add("meeting_date", 730)), F.col("day")).alias("deadline"))
+    valid = F.when(named & F.col("day").between(F.col("meeting_date"), F.date_add("meeting_date", 730)), F.col("day"))
+    return rows.select("meeting_id", "part_idx", "item_idx", F.when(named, F.col("deadline_text")).alias("deadline_text"), valid.alias("deadline"))
 
 
 @query(f"with {ACT}, p as (select distinct meeting_id, speaker from participant) select a.meeting_id, a.part_idx, a.item_idx, p.speaker as owner_speaker from act a left join p on a.meeting_id = p.meeting_id and a.owner_speaker = p.speaker")

@@ -1,4 +1,4 @@
-"""Corpus queries: P18, P22, P24, F9, F17, F18, O6, S3, T6."""
+"""Corpus queries: P18, P22, P24, F9, F17, O6."""
 
 from __future__ import annotations
 
@@ -111,9 +111,9 @@ def q_variants_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {SEG}, r as (select meeting_id, seg_idx, unnest(regexp_extract_all(' ' || regexp_replace(text, '[ ,.;?!()]', '  ', 'g') || ' ', ' [0-9]{{2,3}}/[0-9]{{2,3}} ')) as r from seg where text is not null)
-select meeting_id, count(*) as alerts from (select meeting_id, cast(string_split(trim(r), '/')[1] as int) as hi, cast(string_split(trim(r), '/')[2] as int) as lo from r) where hi >= 180 or hi < 90 or lo >= 110 group by 1""")
+select meeting_id, count(*) as alerts from (select meeting_id, cast(string_split(trim(r), '/')[1] as int) as hi, cast(string_split(trim(r), '/')[2] as int) as lo from r) where hi >= 160 or hi < 90 or lo >= 100 or lo < 60 group by 1""")
 def q_pressure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pressure readings beyond the limits, counted by meeting."""
+    """F17, pressures only: readings beyond the limits, counted by meeting."""
     spaced = F.concat(F.lit(" "), F.regexp_replace("text", r"[ ,.;?!()]", "  "), F.lit(" "))
     readings = F.regexp_extract_all(spaced, F.lit(r" [0-9]{2,3}/[0-9]{2,3} "), 0)
     rows = segments(spark, sf_dir, "text").where("text is not null").select("meeting_id", F.explode(F.transform(readings, lambda r: pressure_alerts(F.trim(r)))).alias("x"))

@@ -1,4 +1,4 @@
-"""Document, job and routing queries: K2, K3, K5, P1, P15, P23, U7, W15, O5, O8, T3, T5, F12, F18, F40 and the routing graph."""
+"""Document, job and routing queries; each names its inventory ids."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Join queries: J3-J20, P8-P11, A6, A12, A13, F21-F26, S8."""
+"""Join queries; each names its inventory ids."""
 
 from __future__ import annotations
 

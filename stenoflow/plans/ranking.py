@@ -1,4 +1,4 @@
-"""Ranking, evaluation and vector queries: P2-P5, P19, F33-F35, F37, F38, M1-M5, A19-A21, A23, A26, A27, A29, J18, J19, O8."""
+"""Ranking, evaluation and vector queries; each names its inventory ids."""
 
 from __future__ import annotations
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, corpus, documents, intervals, joins, ranking, sequences, texts
+from . import aggregates, corpus, display, documents, intervals, joins, ranking, sequences, texts
 
-_MODULES = (intervals, sequences, texts, aggregates, joins, ranking, documents, corpus)
+_MODULES = (intervals, sequences, texts, aggregates, joins, ranking, documents, corpus, display)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Sequence and as-of queries: J1, J2, J21, W1-W4, W6, W8-W11, W13, W14, O1-O3, S13."""
+"""Sequence and as-of queries; each names its inventory ids."""
 
 from __future__ import annotations
 
@@ -70,14 +70,26 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir, "start", "end", "speaker", "text", "lang").where(F.col("end").isNotNull())
 
 
-@query()
+@query(f"""
+with recursive {SEG}, o as (select *, row_number() over (partition by meeting_id order by "start", seg_idx) as n from seg where "end" is not null),
+f as (select meeting_id, n, 0 as turn, coalesce(nullif(speaker, ''), 'S?') as who, "start" as s, "end" as e, seg_idx as first_seg, seg_idx as last_seg, 1 as segments, length(coalesce(text, '')) as chars, [lang] as langs from o where n = 1
+  union all select o.meeting_id, o.n, case when k then f.turn else f.turn + 1 end, case when k then f.who else me end, case when k then f.s else o."start" end, o."end", case when k then f.first_seg else o.seg_idx end, o.seg_idx,
+    case when k then f.segments + 1 else 1 end, case when k then f.chars + 1 else 0 end + length(coalesce(o.text, '')), case when not k then [o.lang] when len(list_filter(f.langs, lambda x: x is not distinct from o.lang)) > 0 then f.langs else list_append(f.langs, o.lang) end
+    from f join (select *, coalesce(nullif(speaker, ''), 'S?') as me from o) o on f.meeting_id = o.meeting_id and o.n = f.n + 1, lateral (select coalesce(f.who = me and o."start" - f.e <= 2.0 and f.e - f.s < 90.0, false) as k))
+select meeting_id, cast(turn as bigint) as turn, arg_max(who, n) as speaker, arg_max(s, n) as turn_start, arg_max(e, n) as turn_end, arg_max(first_seg, n) as first_seg, arg_max(last_seg, n) as last_seg, cast(max(segments) as bigint) as segments, cast(arg_max(chars, n) as bigint) as chars,
+  arg_max(array_to_string(list_transform(langs, lambda x: coalesce(x, '')), '/'), n) as langs from f group by 1, 2""")
 def q_turns_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that stop growing after 90 seconds. The cap depends on where the turn began, so rows are folded in order."""
     schema = "meeting_id string, turn long, speaker string, turn_start double, turn_end double, first_seg long, last_seg long, segments long, chars long, langs string"
     return folds.fold(_timed(spark, sf_dir), ["meeting_id"], [F.col("start"), F.col("seg_idx")], folds.CappedTurns, schema)
 
 
-@query()
+@query(f"""
+with recursive {SEG}, o as (select meeting_id, seg_idx, length(coalesce(text, '')) + 30 as size, row_number() over (partition by meeting_id order by "start", seg_idx) as n from seg),
+f as (select meeting_id, n, seg_idx, size as last, size as total, 0 as chunk, false as fresh, seg_idx as before from o where n = 1
+  union all select o.meeting_id, o.n, o.seg_idx, o.size, case when k then f.last + o.size else f.total + o.size end, case when k then f.chunk + 1 else f.chunk end, k, f.seg_idx
+    from f join o on f.meeting_id = o.meeting_id and o.n = f.n + 1, lateral (select f.total + o.size > 15000 as k))
+select meeting_id, cast(chunk as bigint) as chunk, seg_idx, false as overlap from f union all select meeting_id, cast(chunk as bigint), before, true from f where fresh""")
 def q_chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments packed into chunks of 15,000 characters with one row of overlap."""
     rows = segments(spark, sf_dir, "start", "text").select("meeting_id", "seg_idx", "start", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
@@ -111,7 +123,12 @@ def q_topic_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+with recursive {_BEDS}, r as (select meeting_id, island, min(bed) as bed, sum(length(coalesce(text, '')) + 30) as size, row_number() over (partition by meeting_id order by island) as n from i group by 1, 2),
+f as (select meeting_id, n, island, bed, size, size as total, 0 as grp, false as merged from r where n = 1
+  union all select r.meeting_id, r.n, r.island, r.bed, r.size, case when k then f.total + r.size else r.size end, case when k then f.grp else f.grp + 1 end, k
+    from f join r on f.meeting_id = r.meeting_id and r.n = f.n + 1, lateral (select f.total + r.size <= 7500 as k))
+select meeting_id, cast(grp as bigint) as grp, island, bed, cast(size as bigint) as size, merged from f""")
 def q_topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3, second half: neighbouring runs merged while they fit half a chunk."""
     runs = q_topic_islands(spark, sf_dir)
@@ -239,4 +256,55 @@ def q_voice_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("meeting_id", "seg_idx", "b", F.explode(F.concat(steps, tail)).alias("from_cs")).select("meeting_id", "seg_idx", "from_cs", F.least(F.col("b"), F.col("from_cs") + 150).alias("to_cs"))
 
 
+_VOICE = """v as (select meeting_id, seg_idx, cast(floor("start" * 100) as bigint) as a, cast(floor("end" * 100) as bigint) as z from seg where "end" > "start"),
+r as (select *, unnest(generate_series(a, greatest(a, z - 150), 75)) as k from v where z - a >= 50),
+l as (select meeting_id, seg_idx, a, z, max(k) as last from r group by 1, 2, 3, 4),
+u as (select meeting_id, seg_idx, a, z, k from r union all select meeting_id, seg_idx, a, z, greatest(a, z - 150) from l where z - (last + 150) > 37),
+w as (select meeting_id, seg_idx, a, z, k as b, least(z, k + 150) as e, (k // 400) % 2 as label from u)"""
+
+
+@query(f"""
+with {SEG}, {_VOICE},
+c as (select *, case when label is distinct from lag(label) over o then 1 else 0 end as new from w window o as (partition by meeting_id, seg_idx order by b)),
+p as (select meeting_id, seg_idx, a, z, run, min(b) as b, max(e) as e, min(label) as label from (select *, sum(new) over (partition by meeting_id, seg_idx order by b rows unbounded preceding) as run from c) group by 1, 2, 3, 4, 5),
+s as (select *, run = 1 or e - b >= 200 as long from p),
+g as (select *, case when long and (lag(case when long then label end ignore nulls) over o) is distinct from label then 1 else 0 end as new from s window o as (partition by meeting_id, seg_idx order by run)),
+h as (select meeting_id, seg_idx, a, z, part, min(b) as b, max(e) as e, arg_min(label, run) as label from (select *, sum(new) over (partition by meeting_id, seg_idx order by run rows unbounded preceding) as part from g) group by 1, 2, 3, 4, 5),
+n as (select *, count(*) over (partition by meeting_id, seg_idx) as parts, first_value(e - b) over (partition by meeting_id, seg_idx order by part) < 200 as short from h),
+m as (select meeting_id, seg_idx, a, z, case when part = 1 and parts > 1 and short then 2 else part end as part, min(b) as b, max(e) as e, arg_max(label, part) as label from n group by 1, 2, 3, 4, 5),
+x as (select *, case when e > lead(b) over o then (e + lead(b) over o) / 2.0 else lead(b) over o end as edge from m window o as (partition by meeting_id, seg_idx order by part))
+select meeting_id, seg_idx, cast(row_number() over o as int) as piece, cast(coalesce(lag(edge) over o, a) as double) as from_cs, cast(coalesce(edge, z) as double) as to_cs, cast(label as bigint) as label from x window o as (partition by meeting_id, seg_idx order by part)
+union all select meeting_id, seg_idx, 1, cast(a as double), cast(z as double), -1 from v where z - a < 50""")
+def q_speaker_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span's voice windows, by label, in pieces: runs of one label, runs under two seconds glued to the piece before (the first one to the
+    piece after it), the outer ends those of the span and the inner ones midway where pieces overlap; spans too short for a window are one piece
+    without a label.
+
+    The tables hold no labels of windows; every other four seconds of a recording stand for a second voice. Windows of one span meet in a task.
+    """
+    spans = segments(spark, sf_dir, "start", "end").where(F.col("end") > F.col("start"))
+    spans = spans.select("meeting_id", "seg_idx", F.floor(F.col("start") * 100).cast("long").alias("a"), F.floor(F.col("end") * 100).cast("long").alias("z"))
+    steps = F.sequence(F.col("a"), F.greatest(F.col("a"), F.col("z") - 150), F.lit(75).cast("long"))
+    tail = F.when(F.col("z") - (F.element_at(steps, -1) + 150) > 37, F.array(F.greatest(F.col("a"), F.col("z") - 150))).otherwise(F.array().cast("array<bigint>"))
+    key = ["meeting_id", "seg_idx", "a", "z"]
+    by = lambda c: Window.partitionBy("meeting_id", "seg_idx").orderBy(c)
+    so_far = lambda c: by(c).rowsBetween(Window.unboundedPreceding, 0)
+    w = spans.where("z - a >= 50").select(*key, F.explode(F.concat(steps, tail)).alias("b")).withColumn("e", F.least(F.col("z"), F.col("b") + 150)).withColumn("label", F.floor(F.col("b") / 400) % 2)
+    w = w.withColumn("new", (~F.lag("label").over(by("b")).eqNullSafe(F.col("label"))).cast("int")).withColumn("run", F.sum("new").over(so_far("b")))
+    runs = w.groupBy(*key, "run").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.min("label").alias("label"))
+    # a piece begins where a run that is long enough has another label than the last such run
+    runs = runs.withColumn("own", F.when((F.col("run") == 1) | (F.col("e") - F.col("b") >= 200), F.col("label")))
+    before = F.last("own", ignorenulls=True).over(by("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", (F.col("own").isNotNull() & ~before.eqNullSafe(F.col("own"))).cast("int")).withColumn("part", F.sum("new").over(so_far("run")))
+    parts = runs.groupBy(*key, "part").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.min_by("label", "run").alias("label"))
+    whole = Window.partitionBy("meeting_id", "seg_idx")
+    short = (F.col("part") == 1) & (F.max("part").over(whole) > 1) & (F.col("e") - F.col("b") < 200)
+    parts = parts.withColumn("to", F.when(short, 2).otherwise(F.col("part")))
+    parts = parts.groupBy(*key, "to").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.max_by("label", "part").alias("label"))
+    after = F.lead("b").over(by("to"))
+    parts = parts.withColumn("edge", F.when(F.col("e") > after, (F.col("e") + after) / 2).otherwise(after.cast("double")))
+    out = parts.select("meeting_id", "seg_idx", F.row_number().over(by("to")).alias("piece"), F.coalesce(F.lag("edge").over(by("to")), F.col("a").cast("double")).alias("from_cs"), F.coalesce("edge", F.col("z").cast("double")).alias("to_cs"), "label")
+    return out.unionByName(spans.where("z - a < 50").select("meeting_id", "seg_idx", F.lit(1).alias("piece"), F.col("a").cast("double").alias("from_cs"), F.col("z").cast("double").alias("to_cs"), F.lit(-1).cast("long").alias("label")))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

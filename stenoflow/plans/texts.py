@@ -1,4 +1,4 @@
-"""Text function queries: F1-F10, F12, F13, F15, F16, F19, F20, F27, F29-F32, F36, F41-F43, F45, F47, P6, P15, W12, F6, F10, F24."""
+"""Text function queries; each names its inventory ids."""
 
 from __future__ import annotations
 
@@ -99,27 +99,6 @@ def q_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("a is not null or b is not null").select("lang", "word", F.greatest(same("a"), same("b")).cast("int").alias("prefix"))
 
 
-# fixed values: units and terms with their abbreviations, in the order they are tried
-ABBREVIATIONS = {
-    "ro": (("hemoglobin(?:a|ă|ei)", "Hb"), ("terapi(?:e|a) intensiv[ăa]", "ATI"), ("noradrenalin(?:ă|a|ei)", "NA"), ("saturați(?:a|e|ei)", "SpO2"), ("tomografi(?:a|e|ei)", "CT")),
-    "en": (("ha?emoglobin", "Hb"), ("intensive care unit|intensive care", "ICU"), ("noradrenaline", "NE"), ("saturation", "SpO2"), ("heart rate", "HR")),
-    "ru": (("гемоглобин\\w*", "Hb"), ("норадреналин\\w*", "НА"), ("сатураци\\w*", "SpO2"), ("томографи\\w*", "КТ"), ("реанимаци\\w*", "ОРИТ")),
-}
-
-
-@query()
-def q_abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ordered rewriting rules per language, on whole words, in any case."""
-    rows = segments(spark, sf_dir, "text", "lang").where("text is not null and lang in ('ro', 'en', 'ru')")
-    short = F.col("text")
-    for lang, rules in ABBREVIATIONS.items():
-        own = F.col("text")
-        for pattern, short_form in rules:
-            own = F.regexp_replace(own, rf"(?iuU)\b(?:{pattern})\b", short_form)
-        short = F.when(F.col("lang") == lang, own).otherwise(short)
-    return rows.select("meeting_id", "seg_idx", short.alias("short"), "text").where("short != text").drop("text")
-
-
 @query(f"with {SEG}, b as (select meeting_id, seg_idx, try_cast(nullif(regexp_extract(text, '(?i)(?:patul|paturile|bed|койк[аеиу])\\s+([0-9]{{1,3}})', 1), '') as int) as bed from seg) select * from b where bed is not null")
 def q_bed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the first bed each segment speaks of."""
