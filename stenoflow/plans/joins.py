@@ -343,14 +343,44 @@ def q_subject_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(both, ["meeting_id"], [F.col("item")], lambda: folds.Leaders(fuzzy.token_set_ratio), "meeting_id string, item long, subject_no long, leads boolean")
 
 
+@query(f"""
+with {SEG}, l as (select distinct lang, lower(word) as word from lexicon where word is not null),
+h as (select meeting_id, seg_idx, lang, unnest(regexp_extract_all(translate(lower(text), 'şţ', 'șț'), '\\p{{L}}+(?:-\\p{{L}}+)*')) as w from seg where lang in ('ro', 'ru') and text is not null),
+s as (select meeting_id, seg_idx, count(*) as suspicious from h where length(w) >= 4 and not exists (select 1 from l where l.lang = h.lang and (l.word = h.w or l.word = replace(h.w, '-', ''))) and not exists (select 1 from l where l.lang = 'en' and l.word = h.w) group by 1, 2),
+t as (select meeting_id, seg_idx, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from seg where lang in ('ro', 'ru') and text is not null),
+r as (select meeting_id, seg_idx, count(*) as n, count(*) filter (where exists (select 1 from l where l.lang in (t.lang, 'en') and l.word = t.w)) as known from t group by 1, 2)
+select seg.meeting_id, seg.seg_idx, coalesce(suspicious, 0) as suspicious, coalesce(coalesce(suspicious, 0) > 0 or n >= 3 and known / n < 0.85 or coalesce(confidence, 1) < 0.55, false) as needed
+from seg left join s using (meeting_id, seg_idx) left join r using (meeting_id, seg_idx) where lang in ('ro', 'ru') and text is not null""")
+def q_needs_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments worth a correction: with words that no lexicon knows, hyphens or not, with under 85 % known words of three or more, or unsure."""
+    rows = segments(spark, sf_dir, "text", "lang", "confidence").where("lang in ('ro', 'ru') and text is not null")
+    lexicon = table(spark, sf_dir, "lexicon").where("word is not null").select("lang", F.lower("word").alias("w")).distinct()
+    english = lexicon.where("lang = 'en'").select("w", F.lit(True).alias("en"))
+    hyphened = rows.select("meeting_id", "seg_idx", "lang", F.explode(F.regexp_extract_all(X.comma_forms(F.col("text")), F.lit(r"\p{L}+(?:-\p{L}+)*"), 0)).alias("w")).where("length(w) >= 4")
+    hyphened = hyphened.join(lexicon.withColumn("own", F.lit(True)), ["lang", "w"], "left").join(english, "w", "left").where("own is null and en is null")
+    joined = lexicon.select("lang", F.col("w").alias("j"), F.lit(True).alias("joined"))
+    hyphened = hyphened.withColumn("j", F.replace("w", F.lit("-"), F.lit(""))).join(joined, ["lang", "j"], "left").where("joined is null")
+    suspicious = hyphened.groupBy("meeting_id", "seg_idx").agg(F.count(F.lit(1)).alias("suspicious"))
+    rate = _known_words(spark, sf_dir).groupBy("meeting_id", "seg_idx").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
+    out = rows.join(suspicious, ["meeting_id", "seg_idx"], "left").join(rate, ["meeting_id", "seg_idx"], "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(0)))
+    needed = (F.col("suspicious") > 0) | ((F.col("n") >= 3) & (F.col("k") / F.col("n") < 0.85)) | (F.coalesce("confidence", F.lit(1.0)) < 0.55)
+    return out.select("meeting_id", "seg_idx", "suspicious", F.coalesce(needed, F.lit(False)).alias("needed"))
+
+
 @query()
 def q_edit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which recorded corrections pass: changed, contained, short, digits kept, and alike in sound."""
-    rows = segments(spark, sf_dir, "raw_text", "corrections").select("meeting_id", "seg_idx", "raw_text", F.explode("corrections").alias("c")).select("meeting_id", "seg_idx", "raw_text", F.col("c.from").alias("a"), F.col("c.to").alias("b"))
-    rows = rows.where("a is not null and b is not null").withColumn("alike", fuzzy.column(fuzzy.ratio)(X.phonetic_key(F.col("a")), X.phonetic_key(F.col("b"))))
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    ok = (F.col("b") != "") & (F.col("a") != F.col("b")) & F.coalesce(F.lower("raw_text").contains(F.lower("a")), F.lit(False)) & (F.size(F.split("a", " ")) <= 4) & (F.size(F.split("b", " ")) <= 5) & (digits("a") == digits("b"))
-    return rows.groupBy("meeting_id", "seg_idx", "a", "b").agg(F.max("alike").alias("alike"), F.max(ok & (F.col("alike") >= 70)).alias("passes"))
+    """Which recorded corrections pass: changed, contained, short, digits kept, and alike (in sound, in Romanian) by 70, or by 55 if the
+    lexicon of the language has a word of the new text."""
+    rows = segments(spark, sf_dir, "raw_text", "corrections", "lang").select("meeting_id", "seg_idx", "raw_text", "lang", F.explode("corrections").alias("c"))
+    rows = rows.select("meeting_id", "seg_idx", "raw_text", "lang", F.col("c.from").alias("a"), F.col("c.to").alias("b")).where("a is not null and b is not null")
+    lexicon = table(spark, sf_dir, "lexicon").where("word is not null").select("lang", F.lower("word").alias("w")).distinct()
+    real = rows.select("lang", "b", F.explode(X.words(F.col("b"))).alias("w")).distinct().join(lexicon, ["lang", "w"], "left_semi").select("lang", "b").distinct().withColumn("real", F.lit(True))
+    rows = rows.join(real, ["lang", "b"], "left").withColumn("alike", fuzzy.column(fuzzy.ratio)(_key(F.col("lang"), F.col("a")), _key(F.col("lang"), F.col("b"))))
+    digits = lambda c: F.regexp_replace(c, r"[^0-9]", "")
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    ok = (F.col("a") != "") & (F.col("b") != "") & (F.col("a") != F.col("b")) & F.coalesce(F.contains("raw_text", F.col("a")), F.lit(False)) & (words("a") <= 4) & (words("b") <= 5) & (digits("a") == digits("b"))
+    alike = (F.col("alike") >= 70) | ((F.col("alike") >= 55) & F.col("real").isNotNull())
+    return rows.groupBy("meeting_id", "seg_idx", "a", "b").agg(F.max("alike").alias("alike"), F.max(ok & alike).alias("passes"))
 
 
 QUERIES, ORACLE = query.queries, query.oracle

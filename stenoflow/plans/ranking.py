@@ -2,61 +2,152 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.speech import compression_ratio
+from ..functions.text import latin_of_cyrillic_sql
 from ..operators import vectors
 from ..session import table
+from . import aggregates as A
 from .base import SEG, Registry, segments
 
 query = Registry()
 
-# fixed values: thresholds of acceptance and weights of the score
+# fixed values: thresholds of acceptance, weights and penalties of the score
 ACCEPT_LEXICAL, ACCEPT_LOGPROB, COMPRESSION, SECOND_PASS = 0.72, -0.8, 2.2, 0.08
+# fixed values: what recognition makes up of silence, within a text and as a whole text
+MADE_UP = r"mul[țţ]umi\w* pentru vizionare|abona[țţ]i-v[ăa]|subtitr\w*|nu uita[țţ]i s[ăa] v[ăa] abona[țţ]i|продолжение следует|субтитры|спасибо за просмотр|подписывайтесь|редактор субтитров|thanks? (you )?for watching|please subscribe|subtitles by|amara\.org"
+PHANTOM = r"^\W*(и т\.? ?д\.?|и прочее\.?|и так далее\.?|and so on\.?|i'?m just kidding\.?|s[ăa] v[ăa] mul[țţ]umim!?|v[ăa] mul[țţ]umim!?|спасибо\.?|thank you\.?|(ha)+h?|(mm-?)?hmm+|mh-hm)\W*$"
+_PLAIN = {r"\w": r"[\p{L}\p{N}_]", r"\W": r"[^\p{L}\p{N}_]"}
+for _short, _long in _PLAIN.items():
+    MADE_UP, PHANTOM = MADE_UP.replace(_short, _long), PHANTOM.replace(_short, _long)
+_hall = lambda text: f"regexp_matches({text}, '{MADE_UP}', 'i')"
+_TOKENS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+'))"
 
-_HYP = f"""{SEG},
-h as (select meeting_id, seg_idx, "end" - "start" as dur, text, lang, confidence, kv.key as hyp_lang, kv.value as p, ln(kv.value + 0.001) as logprob, case when regexp_matches(lower(text), '[а-яё]') then 'ru' else 'ro' end as script
-  from (select *, unnest(map_entries(lang_probs)) as kv from seg where text is not null and "end" > "start")),
-s as (select *, logprob + case when hyp_lang = 'ro' then 0.3 else 0.0 end + 2 * least(1, len(regexp_extract_all(lower(text), '\\p{{L}}+')) / 4.0) * confidence
-  - case when hyp_lang != 'ru' and script = 'ru' then 1.0 else 0.0 end - case when hyp_lang = 'ru' and script != 'ru' then 1.0 else 0.0 end as score from h)"""
+# what the lexicon says about the words of a text: n words, of which ro, ru and en are in the lexicon of that language or the English one
+_LEX = """known as (select word, max(lang in ('ro', 'en')) as ro, max(lang in ('ru', 'en')) as ru, max(lang = 'en') as en from (select distinct lang, lower(word) as word from lexicon where word is not null) where lang in ('ro', 'ru', 'en') group by 1),
+tok as (select meeting_id, seg_idx, which, unnest(regexp_extract_all(lower(t), '\\p{L}+')) as word from (select meeting_id, seg_idx, 'text' as which, text as t from seg union all select meeting_id, seg_idx, 'raw', coalesce(raw_text, text) from seg) where t is not null),
+lex as (select meeting_id, seg_idx, which, count(*) as n, count(*) filter (where ro) as ro, count(*) filter (where ru) as ru, count(*) filter (where en) as en from tok left join known on tok.word = known.word group by 1, 2, 3)"""
+_SHRUNK = "(least(1.0, coalesce(n, 0) / 4.0) * coalesce({0} / n, 0) + (1 - least(1.0, coalesce(n, 0) / 4.0)) * 0.5)"
+
+
+def lexical_counts(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
+    """For rows (meeting_id, seg_idx, which, t): n words of each text, and how many of them the lexicon of ro, ru or en, or the English one, has."""
+    entries = table(spark, sf_dir, "lexicon").where("word is not null and lang in ('ro', 'ru', 'en')").select("lang", F.lower("word").alias("word")).distinct()
+    flag = lambda *langs: F.bool_or(F.col("lang").isin(*langs)).alias(langs[0])
+    known = entries.groupBy("word").agg(flag("ro", "en"), flag("ru", "en"), flag("en"))
+    tokens = texts.where("t is not null").select("meeting_id", "seg_idx", "which", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), 0)).alias("word"))
+    return tokens.join(known, "word", "left").groupBy("meeting_id", "seg_idx", "which").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(x) for x in ("ro", "ru", "en")])
+
+
+def shrunk(known: Column) -> Column:
+    """the known share of a text's words, drawn to one half where there are fewer than four."""
+    k = F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 4.0)
+    return k * F.coalesce(known / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)) + (1 - k) * 0.5
+
+
+def made_up(text: Column) -> Column:
+    return F.coalesce(text.rlike(f"(?iu){MADE_UP}"), F.lit(False))
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """The words of each language's prompt: three texts of 380 characters at most."""
+    from .aggregates import q_budgeted_prompt
+
+    return {r["lang"]: sorted(set(re.findall(r"\w+", r["prompt"].lower()))) for r in q_budgeted_prompt(spark, sf_dir).collect()}
+
+
+def _leaks(text: Column, prompt: list[str]) -> Column:
+    """P6 for a known prompt: two distinct words or more, of which over 70 % are the prompt's."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0))
+    hits = F.size(F.filter(words, lambda w: w.isin(*prompt) if prompt else F.lit(False)))
+    return F.coalesce((F.size(words) >= 2) & (hits / F.size(words) > 0.7), F.lit(False))
+
+
+_HYP = f"""{SEG}, {_LEX},
+h as (select seg.meeting_id, seg.seg_idx, kv.key as hyp_lang, ln(kv.value + 0.001) as logprob, case when kv.key = seg.lang then 'text' else 'raw' end as which, case when kv.key = seg.lang then text else coalesce(raw_text, text) end as t
+  from (select *, unnest(map_entries(lang_probs)) as kv from seg where text is not null) seg),
+c as (select h.*, lex.n, case hyp_lang when 'ro' then lex.ro when 'ru' then lex.ru else lex.en end as known, {_TOKENS.format('t')} as words, len(list_filter(ws, lambda x: list_contains({A.RO_WORDS!r}, {latin_of_cyrillic_sql('x')}))) as ro_words, len(list_filter(ws, lambda x: list_contains({A.RU_WORDS!r}, x))) as ru_words, len(ws) as cyr
+  from (select *, regexp_extract_all(lower(t), '[а-яё]+') as ws from h) h left join lex using (meeting_id, seg_idx, which)),
+m as (select *, max(words) over (partition by meeting_id, seg_idx) as most from c)"""
 
 
 def _hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hypothesis for each language a segment may be in, with the arithmetic of the score: log probability, a prior, lexical evidence that
-    shrinks for short texts, and penalties for the wrong script."""
-    rows = segments(spark, sf_dir, "start", "end", "text", "lang", "confidence", "lang_probs").where((F.col("end") > F.col("start")) & F.col("text").isNotNull())
-    h = rows.select("meeting_id", "seg_idx", (F.col("end") - F.col("start")).alias("dur"), "text", "lang", "confidence", F.explode("lang_probs").alias("hyp_lang", "p"))
-    script = F.when(F.lower("text").rlike("[а-яё]"), "ru").otherwise("ro")
-    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
+    """One hypothesis for each language a segment may be in: its text if it is the label's language, else the raw text, with the score of F33 but
+    for compression: log probability, prior, twice the lexical evidence, penalties for made-up texts, for Romanian in Cyrillic letters and Cyrillic
+    letters elsewhere, and for covering under half of the longest hypothesis."""
+    rows = segments(spark, sf_dir, "text", "raw_text", "lang", "lang_probs").where(F.col("text").isNotNull())
+    sides = F.array(F.struct(F.lit("text").alias("which"), F.col("text").alias("t")), F.struct(F.lit("raw").alias("which"), F.coalesce("raw_text", "text").alias("t")))
+    counts = lexical_counts(spark, sf_dir, rows.select("meeting_id", "seg_idx", F.explode(sides).alias("x")).select("meeting_id", "seg_idx", "x.*"))
+    own = F.col("hyp_lang").eqNullSafe(F.col("lang"))
+    h = rows.select("meeting_id", "seg_idx", "text", "raw_text", "lang", F.explode("lang_probs").alias("hyp_lang", "p"))
+    h = h.select("meeting_id", "seg_idx", "hyp_lang", F.log(F.col("p") + 0.001).alias("logprob"), F.when(own, "text").otherwise("raw").alias("which"), F.when(own, F.col("text")).otherwise(F.coalesce("raw_text", "text")).alias("t"))
+    h = h.join(counts, ["meeting_id", "seg_idx", "which"], "left").withColumn("words", F.size(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]+"), 0)))
+    h = h.withColumn("most", F.max("words").over(Window.partitionBy("meeting_id", "seg_idx")))
+    known = F.when(F.col("hyp_lang") == "ro", F.col("ro")).when(F.col("hyp_lang") == "ru", F.col("ru")).otherwise(F.col("en"))
+    russian = F.col("hyp_lang") == "ru"
     score = (
-        F.log(F.col("p") + 0.001)
-        + F.when(F.col("hyp_lang") == "ro", 0.3).otherwise(0.0)
-        + 2 * F.least(F.lit(1.0), n / 4.0) * F.col("confidence")
-        - F.when((F.col("hyp_lang") != "ru") & (script == "ru"), 1.0).otherwise(0.0)
-        - F.when((F.col("hyp_lang") == "ru") & (script != "ru"), 1.0).otherwise(0.0)
-    )
-    return h.withColumn("score", score).withColumn("n", n)
+        F.col("logprob") + F.when(F.col("hyp_lang") == "ro", 0.3).otherwise(0.0) + 2 * shrunk(known) - F.when(made_up(F.col("t")), 2.0).otherwise(0.0)
+        - F.when(russian & (A.cyrillic_romanian(F.col("t")) > 0.5), 1.0).otherwise(0.0) - F.when(~russian & F.lower("t").rlike("[а-яё]"), 1.0).otherwise(0.0)
+        - F.when((F.col("most") >= 4) & (F.col("words") < 0.5 * F.col("most")), 1.5).otherwise(0.0)
+    )
+    return h.withColumn("score", score)
+
 
+@query(f"""with {_HYP} select meeting_id, seg_idx, hyp_lang, round(logprob + case when hyp_lang = 'ro' then 0.3 else 0 end + 2 * {_SHRUNK.format('known')} - case when {_hall('t')} then 2 else 0 end
+  - case when hyp_lang = 'ru' and cyr >= 3 and ro_words / greatest(1, ro_words + ru_words) > 0.5 then 1 else 0 end - case when hyp_lang != 'ru' and regexp_matches(lower(t), '[а-яё]') then 1 else 0 end - case when most >= 4 and words < 0.5 * most then 1.5 else 0 end, 6) as score from m""")
+def q_hypothesis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the score of every hypothesis, all terms but that for compression."""
+    return _hypotheses(spark, sf_dir).select("meeting_id", "seg_idx", "hyp_lang", F.round("score", 6).alias("score"))
 
-@query(f"with {_HYP}, r as (select *, row_number() over (partition by meeting_id, seg_idx order by round(score, 9) desc, hyp_lang) as rn from s where score is not null) select meeting_id, seg_idx, hyp_lang, round(score, 6) as score from r where rn = 1")
+
+@query()
 def q_best_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hypothesis with the best score, ties by language."""
-    rows = _hypotheses(spark, sf_dir).where("score is not null")
-    w = Window.partitionBy("meeting_id", "seg_idx").orderBy(F.desc(F.round("score", 9)), "hyp_lang")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("meeting_id", "seg_idx", "hyp_lang", F.round("score", 6).alias("score"))
+    """the hypothesis with the best score, all terms, ties by language. Texts that compress too well lose two points."""
+    rows = _hypotheses(spark, sf_dir).withColumn("score", F.col("score") - F.when(compression_ratio("t") > COMPRESSION, 2.0).otherwise(0.0))
+    best = rows.groupBy("meeting_id", "seg_idx").agg(F.min_by(F.struct("hyp_lang", "score"), F.struct(-F.round("score", 9), "hyp_lang")).alias("b"))
+    return best.select("meeting_id", "seg_idx", "b.hyp_lang", F.round("b.score", 6).alias("score"))
 
 
-@query(f"""with {SEG} select meeting_id, seg_idx, coalesce(confidence >= 0.72 and not regexp_matches(lower(text), '[а-яё]') and not ("end" - "start" >= 2.5 and len(regexp_extract_all(lower(text), '\\p{{L}}+')) / ("end" - "start") < 1.0), false) as accepted from seg where text is not null and "end" > "start" """)
-def q_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first decode is taken as it is if confident, in the expected script and not cut short."""
+@query()
+def q_fallback_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: of the runs of one model and audio, in order, the first; if it loops or is made up, the first later one that does neither, else it stays."""
+    rows = table(spark, sf_dir, "exp_asr").where("hyp is not null")
+    bad = made_up(F.col("hyp")) | (compression_ratio("hyp") > COMPRESSION)
+    rows = rows.select("model", "audio", "run_id", bad.alias("bad"))
+    first = rows.groupBy("model", "audio").agg(F.min("run_id").alias("first"), F.min_by("bad", "run_id").alias("looped"), F.min(F.when(~F.col("bad"), F.col("run_id"))).alias("good"))
+    return first.select("model", "audio", F.when(F.col("looped"), F.coalesce("good", "first")).otherwise(F.col("first")).alias("run_id"), F.col("looped").alias("fell_back"))
+
+
+_PROMPT_SQL = "prompt as (with u as (select distinct lang, word, sum(count) over (partition by lang, word) as n from lexicon where word is not null), r as (select *, sum(length(word) + 2) over (partition by lang order by n desc, word rows unbounded preceding) as used from u) select lang, list_distinct(flatten(list(regexp_extract_all(lower(word), '[\\p{L}\\p{N}_]+')))) as ws from r where used <= 380 group by 1)"
+_LEAK = "coalesce(len(ws) >= 2 and len(list_intersect(ws, {0})) / len(ws) > 0.7, false)"
+
+
+@query(f"""with {SEG}, {_LEX}, {_PROMPT_SQL}, t as (select seg.*, lex.n, lex.ro, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as ws, (select p.ws from prompt p where p.lang = 'ro') as pw from seg left join lex on seg.meeting_id = lex.meeting_id and seg.seg_idx = lex.seg_idx and which = 'text' where text is not null and "end" > "start")
+select meeting_id, seg_idx, {_SHRUNK.format('ro')} >= 0.72 as lexical, coalesce(ln(confidence) >= -0.8, false) as sure, {_hall('text')} as made_up, {_LEAK.format('pw')} as leak, regexp_matches(lower(text), '[а-яё]') as cyrillic, "end" - "start" >= 2.5 and {_TOKENS.format('text')} / ("end" - "start") < 1.0 as cut_short from t""")
+def q_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for and against taking the first decode, in Romanian, as it is: all conditions but compression."""
     rows = segments(spark, sf_dir, "start", "end", "text", "confidence").where((F.col("end") > F.col("start")) & F.col("text").isNotNull())
-    dur = F.col("end") - F.col("start")
-    short = (dur >= 2.5) & (F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)) / dur < 1.0)
-    ok = (F.col("confidence") >= ACCEPT_LEXICAL) & ~F.lower("text").rlike("[а-яё]") & ~short
-    return rows.select("meeting_id", "seg_idx", F.coalesce(ok, F.lit(False)).alias("accepted"))
+    counts = lexical_counts(spark, sf_dir, rows.select("meeting_id", "seg_idx", F.lit("text").alias("which"), F.col("text").alias("t"))).drop("which")
+    dur, text = F.col("end") - F.col("start"), F.col("text")
+    short = (dur >= 2.5) & (F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0)) / dur < 1.0)
+    return rows.join(counts, ["meeting_id", "seg_idx"], "left").select(
+        "meeting_id", "seg_idx", (shrunk(F.col("ro")) >= ACCEPT_LEXICAL).alias("lexical"), F.coalesce(F.log("confidence") >= ACCEPT_LOGPROB, F.lit(False)).alias("sure"),
+        made_up(text).alias("made_up"), _leaks(text, _prompts(spark, sf_dir).get("ro", [])).alias("leak"), F.lower(text).rlike("[а-яё]").alias("cyrillic"), short.alias("cut_short"),
+    )
+
+
+@query()
+def q_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first decode is taken as it is: all seven conditions."""
+    loops = segments(spark, sf_dir, "text").where("text is not null").select("meeting_id", "seg_idx", (compression_ratio("text") > COMPRESSION).alias("loops"))
+    rows = q_acceptance(spark, sf_dir).join(loops, ["meeting_id", "seg_idx"])
+    return rows.select("meeting_id", "seg_idx", F.expr("lexical and sure and not loops and not made_up and not leak and not cyrillic and not cut_short").alias("accepted"))
 
 
 @query(f"with {SEG}, e as (select meeting_id, seg_idx, unnest(map_entries(lang_probs)) as kv from seg) select meeting_id, seg_idx, kv.key as lang from e where kv.key != 'ro' and kv.value >= 0.08")
@@ -65,13 +156,25 @@ def q_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir, "lang_probs").select("meeting_id", "seg_idx", F.explode("lang_probs").alias("lang", "p")).where((F.col("lang") != "ro") & (F.col("p") >= SECOND_PASS)).select("meeting_id", "seg_idx", "lang")
 
 
-@query(f"""with {SEG} select meeting_id, seg_idx, case when trim(coalesce(text, '')) = '' then 'empty' when regexp_matches(lower(text), '(thanks? (you )?for watching|субтитры|продолжение следует|abonați-vă)') and len(regexp_extract_all(text, '\\p{{L}}+')) <= 8 then 'phantom' when lang not in ('ro') and len(regexp_extract_all(text, '\\p{{L}}+')) <= 3 and confidence < 0.45 then 'weak' else 'kept' end as verdict from seg""")
+@query(f"""with {SEG}, {_PROMPT_SQL}, t as (select seg.*, trim(text) as t, len(list_filter(string_split_regex(trim(text), '[ \\t\\n\\r]+'), lambda w: w != '')) as n, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as ws, p.ws as pw, list_max(map_values(lang_probs)) as top from seg left join prompt p on seg.lang = p.lang)
+select meeting_id, seg_idx, case when coalesce(t, '') = '' then 'empty' when {_hall('t')} and n <= 8 or regexp_matches(t, '{PHANTOM.replace("'", "''")}', 'i') then 'phantom' when lang != 'ro' and n <= 3 and ln(confidence) < -0.75 then 'weak' when {_LEAK.format('pw')} then 'leak' when 1 - top > 0.6 and ln(confidence) < -1 then 'silence' else 'kept' end as verdict from t""")
 def q_drop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5: ordered rules by which segments are dropped; the first that holds is named."""
-    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), 0))
-    phantom = F.lower("text").rlike("(thanks? (you )?for watching|субтитры|продолжение следует|abonați-vă)") & (n <= 8)
-    verdict = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").when(phantom, "phantom").when((F.col("lang") != "ro") & (n <= 3) & (F.col("confidence") < 0.45), "weak").otherwise("kept")
-    return segments(spark, sf_dir, "text", "lang", "confidence").select("meeting_id", "seg_idx", verdict.alias("verdict"))
+    """P5: ordered rules by which segments are dropped; the first that holds is named. That no language is likely stands for the chance of no speech."""
+    text = F.trim("text")
+    n = F.size(F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != ""))
+    log = F.log("confidence")
+    leak = F.lit(False)
+    for lang, words in _prompts(spark, sf_dir).items():
+        leak = leak | ((F.col("lang") == lang) & _leaks(F.col("text"), words))
+    verdict = (
+        F.when(F.coalesce(text, F.lit("")) == "", "empty")
+        .when(made_up(text) & (n <= 8) | text.rlike(f"(?iu){PHANTOM}"), "phantom")
+        .when((F.col("lang") != "ro") & (n <= 3) & (log < -0.75), "weak")
+        .when(leak, "leak")
+        .when((1 - F.array_max(F.map_values("lang_probs")) > 0.6) & (log < -1), "silence")
+        .otherwise("kept")
+    )
+    return segments(spark, sf_dir, "text", "lang", "confidence", "lang_probs").select("meeting_id", "seg_idx", verdict.alias("verdict"))
 
 
 @query(f"""with {SEG} select meeting_id, bool_and(length(coalesce(text, '')) / ("end" - "start") between 5 and 30) as keep, round(exp(avg(ln(confidence + 0.001))), 6) as confidence, cast(least(224, max(cast(floor(9 * ("end" - "start")) as int) + 12)) as int) as token_cap from seg where "end" > "start" group by 1""")

@@ -110,3 +110,44 @@ def test_word_edits(a, b):
         return max(i, j) if not i or not j else min(far(i - 1, j) + 1, far(i, j - 1) + 1, far(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
 
     assert word_edits(a, b) == far(len(a), len(b))
+
+
+def test_alert_spans_and_runs():
+    from stenoflow.functions import clinic
+
+    said = "TA 80/40 mmHg, Hb 75 g/L, puls 72 și NA 0,08 mcg/kg/min, K 4,0"
+    assert [said[b:e] for b, e in clinic.alert_spans(said)] == ["TA 80/40 mmHg", "Hb 75 ", "NA 0,08 mcg/kg/min"]
+    runs = clinic.text_runs(said)
+    assert "".join(r for r, _ in runs) == said and ("Hb 75", True) in runs
+    for text, n in (("INR 1,2; pH 7,2", 1), ("bloc AV 2, temperatura 37,9", 0), ("temperatura 38", 1), ("Hb 12, Hb 10, Hb 120, Hb 105", 2), ("glicemia 5, glicemia 45", 1), ("120/80 mmHg", 0), ("", 0), ("fără cifre", 0), ("5 mg 3 ml", 2)):
+        assert len(clinic.alert_spans(text)) == n, text
+    assert clinic.text_runs("") == []
+
+
+def test_abbreviations_and_units(spark):
+    from stenoflow.functions import clinic
+
+    rows = spark.createDataFrame([("Tensiunea de 120 și hemoglobina",), ("infarctul miocardic acut",), (None,), ("preahemoglobina",)], "t string")
+    assert [r[0] for r in rows.select(clinic.abbreviated(F.col("t"), "ro")).collect()] == ["TA de 120 și Hb", "infarctul miocardic acut".replace("infarctul miocardic acut", "IMA"), None, "preahemoglobina"]
+    mg = spark.createDataFrame([("5 mg, 3 mg/dL",)], "t string")
+    assert mg.select(F.regexp_replace("t", clinic.unit_pattern("mg"), "")).first()[0] == "5, 3 mg/dL"
+
+
+def test_word_and_character_edits():
+    import random
+
+    from stenoflow.plans.ranking import char_edits, word_edits
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(500):
+        a, b = (["".join(rng.choice("ab") for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 9))] for _ in "xy")
+        assert word_edits(a, b) == plain(a, b) and char_edits("".join(a), "".join(b)) == plain("".join(a), "".join(b))
