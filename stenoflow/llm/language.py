@@ -10,6 +10,7 @@ are weak evidence for a text's own language.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -200,13 +201,15 @@ class Model:
     def __setstate__(self, state):
         (self.weights, self.prior, self.by_table), self.seen = state, {}
 
-    def word(self, word: str) -> tuple[float, ...]:
-        """The word's margins: three for the families, three within them."""
+    def word(self, word: str) -> tuple[tuple[float, ...], int, tuple[tuple[float, float], ...], tuple[int, ...]]:
+        """The word's scores for the families and the best of them; for each family the scores of its two languages and the better one."""
         got = self.seen.get(word)
         if got is None:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            got = self.seen[word] = tuple(_margins(self.weights, _grams(word)).tolist())
+            m = _margins(self.weights, _grams(word)).tolist()
+            family = tuple(m[:3])
+            got = self.seen[word] = family, family.index(max(family)), tuple((WITHIN * x, -WITHIN * x) for x in m[3:]), tuple(int(x < 0) for x in m[3:])
         return got
 
 
@@ -216,6 +219,7 @@ def _prior(langs: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
     return tuple(PRIOR * math.log((n + 1) / (len(langs) + len(LANGS))) for n in share.tolist())
 
 
+@functools.lru_cache(1024)
 def _families(prior: tuple[float, ...]) -> list[float]:
     """The prior of each family from those of its languages."""
     return [PRIOR * math.log(math.exp(prior[2 * f] / PRIOR) + math.exp(prior[2 * f + 1] / PRIOR)) for f in range(3)]
@@ -327,18 +331,19 @@ def sample_and_totals(rows: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[list[t
 # ---- stretches
 
 
-def _runs(scores: list[tuple[float, ...]], prior: Sequence[float], start: Sequence[float]) -> list[list[int]]:
+def _runs(scores: Sequence[tuple[float, ...]], best_of: Sequence[int], prior: Sequence[float], start: Sequence[float]) -> list[list[int]]:
     """Runs [first, end, choice] of the best path through the scores, less SWITCH for each change of choice.
 
-    prior is the handicap of a choice where it takes over, start its lead at the beginning. A run other than the main one stands only if it is
+    best_of is the best choice by each of the scores, prior the handicap of a choice where it takes over, start its lead at the beginning. A run other than the main one stands only if it is
     long enough for a clause and clearly ahead; else it goes to a neighbour.
     """
-    n, every = len(scores), range(len(prior))
+    n = len(scores)
     totals = [p + sum(x) for p, x in zip(start, zip(*scores))]
-    only = max(every, key=totals.__getitem__)
-    votes = Counter(max(every, key=x.__getitem__) for x in scores)
+    only = totals.index(max(totals))
     # a stretch of another choice needs words that are best in it
-    langs = sorted({x for x, k in votes.items() if k >= LEAST_STRETCH} | {only})
+    if n - best_of.count(only) < LEAST_STRETCH:
+        return [[0, n, only]]
+    langs = [x for x in range(len(prior)) if x == only or best_of.count(x) >= LEAST_STRETCH]
     if len(langs) == 1:
         return [[0, n, only]]
     best = {x: start[x] for x in langs}
@@ -409,16 +414,17 @@ def stretches(model: Model, text: str | None, tab: str | None = None, probs: dic
     for x, p in (probs or {}).items():
         if x in LANGS and p is not None:
             start[LANGS.index(x)] += EVIDENCE * math.log(min(1.0, max(p, 0.05)))
-    margins = [model.word(w) for w in words]
-    by_family = [m[:3] for m in margins]
-    family_prior, family_start = _families(prior), _families(tuple(start))
+    known = [model.word(w) for w in words]
+    by_family, first, second, closer = zip(*known)
+    family_prior = _families(prior)
+    family_start = _families(tuple(start)) if probs else family_prior
     out: list[tuple[int, int, str, float]] = []
-    for b, e, f in _runs(by_family, family_prior, family_start):
+    for b, e, f in _runs(by_family, first, family_prior, family_start):
         sure = _confidence([p + sum(x) for p, x in zip(family_start, zip(*by_family[b:e]))], f, e - b)
-        within = [(WITHIN * m[3 + f], -WITHIN * m[3 + f]) for m in margins[b:e]]
+        within = [x[f] for x in second[b:e]]
         pair = [p - family_prior[f] for p in prior[2 * f : 2 * f + 2]]
         pair_start = [p - family_start[f] for p in start[2 * f : 2 * f + 2]]
-        for b2, e2, x in _runs(within, pair, pair_start):
+        for b2, e2, x in _runs(within, [c[f] for c in closer[b:e]], pair, pair_start):
             close = _confidence([p + sum(s) for p, s in zip(pair_start, zip(*within[b2:e2]))], x, e2 - b2)
             out.append((b + b2, b + e2, LANGS[2 * f + x], round(sure * close, 4)))
     return spoken, out
