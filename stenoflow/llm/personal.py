@@ -157,23 +157,31 @@ def name_spans(text: str, is_name: Callable[[str], bool]) -> list[tuple[int, int
     return spans
 
 
-class Terms:
-    """The folded form of each word that a filter lets pass, '' for others, remembered; the memory is emptied when it is full."""
-
-    def __init__(self, filter_: np.ndarray):
-        self.filter, self.seen = filter_, {}
-
-    def __call__(self, word: str) -> str:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            term = fold(word)
-            # the same hash as Spark's xxhash64
-            got = self.seen[word] = term if len(word) > 1 and bits.hit(self.filter, xxhash.xxh64_intdigest(term, seed=42)) else ""
+class _Memory(dict):
+    """What a function gives for each word, remembered; the memory is emptied when it is full."""
+
+    def __init__(self, of: Callable[[str], object]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = self.of(word)
         return got
 
 
+def passing(filter_: np.ndarray) -> Callable[[str], str]:
+    """The folded form of each word that a filter lets pass, '' for others."""
+
+    def of(word: str) -> str:
+        term = fold(word)
+        # the same hash as Spark's xxhash64
+        return term if len(word) > 1 and bits.hit(filter_, xxhash.xxh64_intdigest(term, seed=42)) else ""
+
+    return _Memory(of).__getitem__
+
+
 def value_of(kind: str, text: str) -> str:
     """What all notations of one find of this kind have in common: its letters and digits, folded."""
     return f"{kind}|" + "".join(filter(str.isalnum, fold(text)))
@@ -249,14 +257,17 @@ def _cooccurrence(filter_: np.ndarray):
     pass (before or after it) or after a form of address."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seed = Terms(filter_)
+        seed = passing(filter_)
+        titled_by = _Memory(lambda w: bool(_TITLE.match(w))).__getitem__
+        marks = _Memory(lambda w: bool(seed(w)) or titled_by(w)).__getitem__
+        folded = _Memory(fold).__getitem__
         for pdf in batches:
             words: Counter = Counter()
             near: Counter = Counter()
             for text in map(chars.consistent, pdf["text"]):
                 said = _WORD.findall(text)
                 words.update(said)
-                if not any(seed(w) or _TITLE.match(w) for w in said):
+                if not any(map(marks, said)):
                     continue
                 clean = _masked(text, structured(text))
                 found = list(_WORD.finditer(clean))
@@ -265,16 +276,16 @@ def _cooccurrence(filter_: np.ndarray):
                     before, after, titled = "", "", False
                     if i and _NEXT.fullmatch(between := clean[found[i - 1].end() : m.start()]):
                         left = found[i - 1].group()
-                        before, titled = (seed(left) if between != ", " else ""), bool(_TITLE.match(left))
+                        before, titled = (seed(left) if between != ", " else ""), titled_by(left)
                     if i + 1 < len(found) and clean[m.end() : found[i + 1].start()] == " ":
                         after = seed(found[i + 1].group())
                     if before or after or titled:
                         w = m.group()
                         inside = cased and i and clean[m.start() - 1 : m.start()] == " " and clean[m.start() - 2 : m.start() - 1] not in _OPENS
-                        near[fold(w), before or None, after or None, titled, inside and w[0].isupper(), inside and not w[0].isupper()] += 1
+                        near[folded(w), before or None, after or None, titled, inside and w[0].isupper(), inside and not w[0].isupper()] += 1
             n: Counter = Counter()
             for w, k in words.items():
-                n[fold(w)] += k
+                n[folded(w)] += k
             rows = [(t, None, None, False, k, 0, 0, 0) for t, k in n.items()]
             rows += [(t, b, a, d, 0, k, k * bool(up), k * bool(low)) for (t, b, a, d, up, low), k in near.items()]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _COUNTS.split(", ")])
@@ -331,7 +342,7 @@ def _proposed(filter_: np.ndarray):
     """Distinct (rec_key, entity, h, kind, value) that a batch of texts may disclose: values of notations, and words that the filter lets pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        term = Terms(filter_)
+        term = passing(filter_)
         for pdf in batches:
             rows = []
             for key, entity, h, text in pdf.itertuples(index=False, name=None):
