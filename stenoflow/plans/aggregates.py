@@ -159,7 +159,7 @@ def q_weighted_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy("lang", X.without_diacritics(F.col("form")).alias("key")).agg(F.max_by("form", F.struct("n", "form")).alias("form"), F.max("n").alias("n"))
 
 
-@query("""
+@query(r"""
 with t as (select distinct unnest(missing) as term from exp_asr), h as (select run_id, ' ' || trim(regexp_replace(translate(lower(hyp), 'şţ', 'șț'), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ' as h from exp_asr where hyp is not null),
 f as (select h.run_id, t.term, contains(h.h, ' ' || trim(regexp_replace(translate(lower(t.term), 'şţ', 'șț'), '[^\p{L}\p{N}_]+', ' ', 'g'))) as hit from h join t on t.term != '')
 select run_id, round(avg(case when hit then 1 else 0 end), 6) as recall, coalesce(string_agg(term, ', ' order by term) filter (where not hit), '') as missed from f group by 1""")
