@@ -35,23 +35,27 @@ ORDERS = (4, 3, 2, 1)
 TAIL = 400
 _FIVE_WORDS = r"(?:[\p{L}\p{N}][\p{L}\p{N}'’\-]*[^\p{L}\p{N}'’\-]+){5}"
 # fixed values: words that stand for a cut in brackets at the end of a text
-_MARK = r"(?iu)^\s*(?:\.{2,}|…|more|cut|truncated|trunchiat|trunc|continued|cont|snip|обрезано|обрыв|далее|продолжение|suite|tronqué|gekürzt)\.{0,3}\s*[\])>]$"
+_WORDS_OF_CUTS = r"(?:\.{2,}|…|more|cut|truncated|trunchiat|trunc|continued|cont|snip|обрезано|обрыв|далее|продолжение|suite|tronqué|gekürzt)\.{0,3}\s*[\])>]$"
+_MARK = rf"(?iu)^\s*{_WORDS_OF_CUTS}"
 _SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _FOLD = str.maketrans("ăâîșțşţё", "aaiststе")
 _DIGITS = re.compile(r"\d+")
+_LAST_MARK = re.compile(rf"(?i)[\[(<]\s*{_WORDS_OF_CUTS}")
 #: Word sequences that end this share of a source's texts, at least CLOSINGS of them, are its closing words (signatures, version marks).
 CLOSING_SHARE, CLOSINGS = 0.002, 3
 
 
 def length_hazards(documents: DataFrame, near: int = NEAR, fdr: float = FDR) -> DataFrame:
     """Rows (source, unit, length, n, at_risk, hazard, expected, p, limit) for each length that occurs; unit is 'chars' or 'bytes'.
+    A text that a source repeats counts once: its copies are no endings of their own.
 
     p bounds the chance of n or more endings if the hazard were that of the neighbouring lengths (Chernoff bound of the binomial tail);
     limit marks the lengths that pass Benjamini-Hochberg at `fdr` within their source and unit. Windows run over lengths, of which each
     counts once, not over documents. A null source is a source of its own.
     """
-    both = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length"))))
-    counts = documents.where("text is not null and text != ''").select("source", both.alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+    texts = documents.where("text is not null and text != ''").select("source", F.xxhash64("text").alias("h"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).distinct()
+    both = F.explode(F.array(*(F.struct(F.lit(unit).alias("unit"), F.col(unit).alias("length")) for unit in ("chars", "bytes"))))
+    counts = texts.select("source", both.alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("source", "unit")
     longer = group.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     around = group.orderBy("length").rangeBetween(-near, near)
@@ -81,6 +85,16 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(_DIGITS.sub("0", text.lower().translate(_FOLD)))
 
 
+def _without_mark(text: str) -> str:
+    """A text without the spaces, and the dots or mark in brackets that a cut may have left, at its end: they are no end that vouches for it."""
+    text = text.rstrip(_SPACES)
+    if text.endswith(("]", ")", ">")) and (mark := _LAST_MARK.search(text, max(0, len(text) - 40))):
+        return text[: mark.start()]
+    bare = text.rstrip(_SPACES + ".…")
+    tail = text[len(bare) :]
+    return bare if ".." in tail or "…" in tail else text
+
+
 class _Hashes(dict):
     """The hash of each word, 0 for an end, remembered; the memory is emptied when it is full."""
 
@@ -104,14 +118,20 @@ def _runs(words: np.ndarray, k: int, before: np.ndarray | None) -> np.ndarray:
 
 
 def _count(asked: np.ndarray):
-    """Counts of the asked runs of a batch of texts; asked: a bit for each slot of a hash, so that only runs that may be asked for are kept."""
+    """Counts of the asked runs of a batch of texts; asked: a bit for each slot of a hash, so that only runs that may be asked for are kept.
+
+    Copies of a text come to one task, which reads the first: repeats don't support each other.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
+        known, read = _Hashes(), set()
         for pdf in batches:
             flat: list[int] = []
-            for text in pdf["text"]:
-                flat += map(known.__getitem__, _tokens(text))
+            for text, h in zip(pdf["text"], pdf["h"]):
+                if h in read:
+                    continue
+                read.add(h)
+                flat += map(known.__getitem__, _tokens(_without_mark(text)))
                 flat.append(TEXT_END)
             follows = np.array(flat, dtype=np.uint64)
             words = np.where(follows == TEXT_END, np.uint64(0), follows)
@@ -128,12 +148,12 @@ def _count(asked: np.ndarray):
 
 
 def _followers(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows (h, n, ends) for runs of 1 to 4 words: how often each occurs in the corpus followed by something, and by an end.
+    """Rows (h, n, ends) for runs of 1 to 4 words: how often each occurs in the corpus followed by something, and by an end. Each distinct text counts once.
 
-    asked has the runs, in a column h, that must be among them; others may be. The end of a text is no follower: a cut text would vouch for
-    itself. Runs do not cross ends.
+    asked has the runs, in a column h, that must be among them; others may be. The end of a text is no follower, nor are the spaces, dots or
+    mark there: a cut text would vouch for itself. Runs do not cross ends.
     """
-    texts = documents.where("text is not null and text != ''").select("text")
+    texts = documents.where("text is not null and text != ''").select("text", F.xxhash64("text").alias("h")).repartition("h")
     return texts.mapInPandas(_count(bits.slots(asked)), "h long, n long, ends long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
@@ -208,11 +228,13 @@ def endings(read: DataFrame, followers: DataFrame) -> DataFrame:
     """
     plain = read.where("kind = 'plain'")
     asked = plain.select("doc_id", "source", "at_limit", "text_hash", F.explode("runs").alias("x")).select("doc_id", "source", "at_limit", "text_hash", "x.k", "x.h", "x.letters")
-    # closing words: one of four letters or more, or two, that end many texts of a source at other lengths than its limits
-    per_source = read.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
-    closers = asked.where("k <= 2 and not at_limit and (k = 2 or letters >= 4)").groupBy("source", "h").agg(F.count(F.lit(1)).alias("times"))
-    least = max(CLOSINGS, read.count() * CLOSING_SHARE)
-    everywhere = closers.groupBy("h").agg(F.sum("times").alias("times_all")).where(F.col("times_all") >= least)
+    # closing words: one of four letters or more, or two, that end many distinct texts of a source at other lengths than its limits
+    texts = read.select("source", "text_hash").distinct()
+    per_source = texts.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
+    closed = asked.where("k <= 2 and not at_limit and (k = 2 or letters >= 4)").select("source", "h", "text_hash").distinct()
+    closers = closed.groupBy("source", "h").agg(F.count(F.lit(1)).alias("times"))
+    least = max(CLOSINGS, texts.select("text_hash").distinct().count() * CLOSING_SHARE)
+    everywhere = closed.select("h", "text_hash").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("times_all")).where(F.col("times_all") >= least)
     closers = closers.alias("c").join(per_source.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).where((F.col("times") >= CLOSINGS) & (F.col("times") >= F.col("of") * CLOSING_SHARE)).select("c.source", "h", "times")
     known = asked.join(followers, "h", "left").alias("a")
     known = known.join(closers.alias("c"), F.col("a.h").eqNullSafe(F.col("c.h")) & F.col("a.source").eqNullSafe(F.col("c.source")), "left").select("a.*", "c.times")

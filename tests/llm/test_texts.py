@@ -110,3 +110,20 @@ def test_truncation(spark):
     rates = {r["source"]: (r["documents"], r["cut"]) for r in truncation.truncation_rates(truncation.truncated(df)).collect()}
     assert rates["a"] == (72, len(cut))
     assert truncation.truncated(df.limit(0)).collect() == []
+
+
+def test_truncation_of_repeated_texts(spark):
+    whole = ["Dacă potasiul nu se corectează, îl mutăm la chirurgie fără discuții.", "Pacientul de la patul opt respiră mai bine după ce am schimbat sonda.", "Graficul pentru luni nu este încă semnat de juristul."]
+    rows = [(i, "a", " ".join(whole[(i + j) % 3] for j in range(2 + i % 4))) for i in range(60)]
+    # what a cut leaves after the last word is no sentence end, however often it occurs
+    ends = ["...", "…", " . . ..", "\n", "... \n", "[...]", "<...>"]
+    for end in ends:
+        assert truncation._without_mark("Dacă potasiul nu se cor" + end).rstrip() == "Dacă potasiul nu se cor", end
+    assert truncation._without_mark("Da (bine). (nu)\n") == "Da (bine). (nu)"
+    rows += [(100 + i, "b", f"{whole[i % 2]} Dacă potasiul nu se cor{'abcdefg'[i]}{end}") for i, end in enumerate(ends)]
+    rows += [(200, "c", "Graficul pentru luni nu este încă semnat de juristul...")]
+    once = {r["doc_id"]: tuple(r[1:]) for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(once[100 + i][5] for i in range(len(ends))) and not once[200][5]
+    many = [(1000 * k + i, source, text) for k in range(9) for i, source, text in rows]
+    again = {r["doc_id"]: tuple(r[1:]) for r in truncation.truncated(spark.createDataFrame(many, "doc_id long, source string, text string")).collect()}
+    assert len(again) == len(many) and all(again[1000 * k + i] == x for i, x in once.items() for k in range(9))
