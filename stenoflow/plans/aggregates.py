@@ -98,7 +98,7 @@ select meeting_id, key, min(t) as first_seconds, count(*) filter (where kind = 0
 from a group by 1, 2""")
 def q_subject_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions and tasks grouped by subject: patients first, the general block last."""
-    ordinal = F.col("part_idx") * 1_000_000 + F.col("item_idx")
+    ordinal = F.col("part_idx").cast("long") * 1_000_000 + F.col("item_idx")  # part_idx is an int
     key = F.when(F.coalesce("subject", F.lit("")) == "", "general").otherwise(F.col("subject"))
     t = F.coalesce(X.seconds_of(F.col("timestamp")), F.lit(0))
     a = items(spark, sf_dir, "decision").select("meeting_id", key.alias("key"), t.alias("t"), ordinal.alias("ord"), F.lit(0).alias("kind"), F.col("decision").alias("what"))
