@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
@@ -105,21 +106,52 @@ class MergedGroups:
 
 
 class Leaders:
-    """Near-duplicates by the first leader in order that is similar enough; a newcomer with a longer quote takes over the leader's place."""
+    """Near-duplicates by the first leader in order that is similar enough; a newcomer with a longer quote takes over the leader's place.
 
-    def __init__(self, similar: Callable[[str, str], float], least: float = 85.0, text: str = "text", quote: str = "quote", key: str = "item"):
-        self.similar, self.least, self.text, self.quote, self.key, self.leaders = similar, least, text, quote, key, []
+    `index` (as fuzzy.WordSets) keeps the leaders' texts by number and tells how similar each can be at most, so that only those that can reach
+    `least` are measured; without it all are. A text seen before is measured again only with the leaders that changed since.
+    """
+
+    def __init__(self, similar: Callable[[str, str], float], least: float = 85.0, text: str = "text", quote: str = "quote", key: str = "item", index: object = None):
+        self.similar, self.least, self.text, self.quote, self.key, self.leaders, self.index = similar, least, text, quote, key, [], index
+        self.changed: list[int] = []
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def _first(self, text: str, begin: int = 0) -> int | None:
+        if self.index is None:
+            places = range(begin, len(self.leaders))
+        else:
+            places = (np.flatnonzero(self.index.reach(text)[begin:] >= self.least - 1e-6) + begin).tolist()
+        return next((i for i in places if self.similar(text, self.leaders[i][0]) >= self.least), None)
+
+    def _leader(self, text: str) -> int | None:
+        if text not in self.known:
+            return self._first(text)
+        at, then = self.known[text]
+        since = sorted({i for i in self.changed[then:] if i <= at})
+        for i in since:
+            if self.similar(text, self.leaders[i][0]) >= self.least:
+                return i
+        return at if at not in since else self._first(text, at + 1)
 
     def feed(self, row: dict) -> list[tuple]:
         text, quote = row[self.text] or "", row[self.quote] or ""
-        for i, leader in enumerate(self.leaders):
-            if self.similar(text, leader[0]) >= self.least:
-                took = len(quote) > len(leader[1])
-                if took:
-                    self.leaders[i] = (text, quote)
-                return [(row[self.key], i, took)]
-        self.leaders.append((text, quote))
-        return [(row[self.key], len(self.leaders) - 1, True)]
+        i = self._leader(text)
+        if i is None:
+            i, took = len(self.leaders), True
+            self.leaders.append((text, quote))
+            if self.index is not None:
+                self.index.put(text)
+        elif took := len(quote) > len(self.leaders[i][1]):
+            before = self.leaders[i][0]
+            self.leaders[i] = (text, quote)
+            if before != text:
+                self.changed.append(i)
+                if self.index is not None:
+                    self.index.put(text, i, before)
+        if self.similar(text, text) >= self.least:  # an empty text is like none, not even itself
+            self.known[text] = (i, len(self.changed))
+        return [(row[self.key], i, took)]
 
     def close(self) -> list[tuple]:
         return []

@@ -24,3 +24,33 @@ def rows(spark, name, folder):
 def test_subject_blocks(spark, folder):
     got = {r[1]: r[2:] for r in rows(spark, "q_subject_blocks", folder)}
     assert got == {"patul 3": (10, 1, 2, "Sună familia azi. | Sună familia azi", 1), "Patul 3 ": (5, 1, 0, "", 2), "general": (0, 0, 1, "Trimite raportul.", 3)}
+
+
+def test_leader_dedup(spark, folder):
+    assert rows(spark, "q_leader_dedup", folder) == [("m", 4_000_000_000, 0, True), ("m", 4_000_000_001, 1, True), ("m", 2_000_000_000_000_007, 1, True)]
+
+
+def test_leaders_with_an_index():
+    import random
+
+    from stenoflow.functions import fuzzy
+    from stenoflow.operators import folds
+
+    rng = random.Random(4)
+    for least in (85.0, 60.0, 30.0):
+        for _ in range(60):
+            some = ["".join(rng.choice("abș  ") for _ in range(rng.randint(0, 12))) for _ in range(25)]
+            said = [{"item": i, "text": rng.choice(some), "quote": "x" * rng.randint(0, 9)} for i in range(60)]
+            plain, want = [], []
+            for r in said:
+                at = next((i for i, x in enumerate(plain) if fuzzy.token_set_ratio(r["text"], x[0]) >= least), None)
+                took = at is None or len(r["quote"]) > len(plain[at][1])
+                if at is None:
+                    at = len(plain)
+                    plain.append(None)
+                if took:
+                    plain[at] = (r["text"], r["quote"])
+                want.append((r["item"], at, took))
+            for index in (None, fuzzy.WordSets()):
+                leaders = folds.Leaders(fuzzy.token_set_ratio, least, index=index)
+                assert [x for r in said for x in leaders.feed(r)] == want, said
