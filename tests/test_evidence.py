@@ -38,3 +38,26 @@ def test_earlier_and_nearer_segments_win(spark, tmp_path):
     spark.createDataFrame(decisions, "meeting_id string, part_idx long, item_idx long, evidence_quote string, timestamp string").write.parquet(f"{tmp_path}/decision.parquet")
     got = registry.queries()["q_evidence"](spark, str(tmp_path)).select("meeting_id", "seg_idx", "evidence_score").collect()
     assert sorted(map(tuple, got)) == [("m", 0, 100.0), ("n", 1, 100.0)]
+
+
+def test_likely_scores_are_reached():
+    from stenoflow.plans.joins import likely_scores
+
+    rng = random.Random(3)
+    some = lambda lo, hi: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(lo, hi)))
+    for _ in range(100):
+        turns = [{"seg_idx": i, "start": rng.choice([None, 50.0 * i]), "text": rng.choice([some(1, 9), "..."])} for i in range(rng.randint(1, 12))]
+        quotes = [{"part_idx": 0, "item_idx": i, "quote": some(3, 6), "ts": rng.choice([None, 100.0])} for i in range(4)]
+        for _, i, score in likely_scores(quotes, turns):
+            q = quotes[i]
+            every = [fuzzy.partial_ratio(q["quote"], t["text"]) + 3.0 * (q["ts"] is not None and t["start"] is not None and abs(t["start"] - q["ts"]) < 120) for t in turns]
+            assert 55 <= score <= max(every) + 1e-9
+
+
+def test_evidence_has_few_copies_of_a_meeting(spark):
+    from stenoflow.plans.joins import _met
+
+    quotes = spark.range(9000).selectExpr("'m' as meeting_id", "cast(0 as int) as part_idx", "id as item_idx", "'q' as quote", "null as ts", "55.0D as least")
+    turns = spark.range(40_000).selectExpr("'m' as meeting_id", "id as seg_idx", "1.0D as start", "'t' as text")
+    met = [(r["q"], r["t"]) for r in _met(quotes, turns).selectExpr("size(quotes) as q", "size(turns) as t").collect()]
+    assert sum(q * t for q, t in met) == 9000 * 40_000 and sum(q for q, _ in met) <= 9000 * 32 and sum(t for _, t in met) <= 40_000 * 4
