@@ -61,3 +61,14 @@ def test_evidence_has_few_copies_of_a_meeting(spark):
     turns = spark.range(40_000).selectExpr("'m' as meeting_id", "id as seg_idx", "1.0D as start", "'t' as text")
     met = [(r["q"], r["t"]) for r in _met(quotes, turns).selectExpr("size(quotes) as q", "size(turns) as t").collect()]
     assert sum(q * t for q, t in met) == 9000 * 40_000 and sum(q for q, _ in met) <= 9000 * 32 and sum(t for _, t in met) <= 40_000 * 4
+
+
+def test_uncertain_word_of_a_quote(spark, tmp_path):
+    from stenoflow.plans import registry
+
+    words = lambda *ps: [(w, p, True) for w, p in zip("vom administra zece miligrame de noradrenalină la ora opt".split(), ps)]
+    said = [("m", 0, 0.0, "vom administra zece miligrame de noradrenalină la ora opt", words(0.9, 0.9, 0.9, 0.9, 0.9, 0.3, 0.9, 0.9, 0.2)), ("m", 1, 9.0, "cu totul altceva", None)]
+    spark.createDataFrame(said, "meeting_id string, seg_idx long, start double, text string, word_conf array<struct<word:string,p:double,critical:boolean>>").write.parquet(f"{tmp_path}/segment.parquet")
+    decisions = [("m", 0, 0, "administra zece miligrame de noradrenalină", None)]
+    spark.createDataFrame(decisions, "meeting_id string, part_idx long, item_idx long, evidence_quote string, timestamp string").write.parquet(f"{tmp_path}/decision.parquet")
+    assert [tuple(r) for r in registry.queries()["q_uncertain_in_quote"](spark, str(tmp_path)).collect()] == [("m", 0, 0, 5, "noradrenalină", 0.3)]
