@@ -72,3 +72,29 @@ def test_uncertain_word_of_a_quote(spark, tmp_path):
     decisions = [("m", 0, 0, "administra zece miligrame de noradrenalină", None)]
     spark.createDataFrame(decisions, "meeting_id string, part_idx long, item_idx long, evidence_quote string, timestamp string").write.parquet(f"{tmp_path}/decision.parquet")
     assert [tuple(r) for r in registry.queries()["q_uncertain_in_quote"](spark, str(tmp_path)).collect()] == [("m", 0, 0, 5, "noradrenalină", 0.3)]
+
+
+def test_repeated_segments_are_met_once(spark):
+    from stenoflow.plans.joins import _met
+
+    quotes = spark.range(50).selectExpr("'m' as meeting_id", "0 as part_idx", "id as item_idx", "'q' as quote", "null as ts", "55.0D as least")
+    turns = spark.range(200).selectExpr("'m' as meeting_id", "id % 100 as seg_idx", "1.0D as start", "'t' as text")
+    assert [(len(r["quotes"]), len(r["turns"])) for r in _met(quotes, turns).select("quotes", "turns").collect()] == [(50, 100)]
+
+
+def test_equal_and_near_segments():
+    from stenoflow.plans.joins import found_turns
+
+    rng = random.Random(4)
+    some = lambda a, lo, hi: "".join(rng.choice(a) for _ in range(rng.randint(lo, hi)))
+    for _ in range(300):
+        letters = rng.choice(["ab ", "abc. ", "abcdefgh  "])
+        turns = [{"seg_idx": i, "start": rng.choice([None, 50.0 * rng.randint(0, 20)]), "text": some(letters, 1, rng.choice([6, 25, 60]))} for i in range(rng.randint(1, 15))]
+        said = "".join(t["text"] for t in turns) + " " * 8
+        for alone in (True, False):
+            k = rng.randint(0, len(said) - 8)
+            q = {"part_idx": 0, "item_idx": 0, "quote": rng.choice([said[k : k + rng.randint(8, 30)], some(letters, 8, 40)]), "ts": rng.choice([None, 100.0, 700.0]), "least": 55.0}
+            near = lambda t: q["ts"] is not None and t["start"] is not None and abs(t["start"] - q["ts"]) < 120  # noqa: B023, E731
+            score, start, seg = max((fuzzy.partial_ratio(q["quote"], t["text"]) + 3.0 * near(t), -(float("inf") if t["start"] is None else t["start"]), -t["seg_idx"]) for t in turns)
+            got = [(x[2], x[4]) for x in found_turns([q], turns, alone)]
+            assert got == ([(-seg, score)] if score >= (55 if alone else 100) else []), (q, turns)
