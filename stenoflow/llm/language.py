@@ -11,6 +11,7 @@ are weak evidence for a text's own language.
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
 import zlib
@@ -81,6 +82,11 @@ def label_language(label: Column) -> Column:
 
 def spoken_text(text: str) -> str:
     """The text without markup, time stamps, labels, annotations, addresses and numbers of any kind."""
+    return _spoken(text)[0]
+
+
+def _spoken(text: str) -> tuple[str, list[str]]:
+    """The spoken text and all its words in small letters."""
     text = chars.consistent(text)
     digits = _DIGIT.search(text) is not None
     if digits or "<" in text or '"' in text or "://" in text:
@@ -91,20 +97,28 @@ def spoken_text(text: str) -> str:
         text = _NOISE.sub(" ", text)
         if digits:
             text = _LABELS.sub(" ", text)
-    for s, e, _ in reversed(personal.structured(text)):
+    words = _WORD.findall(text.lower())
+    spans = personal.structured(text, words)
+    if not spans:
+        return text, words
+    for s, e, _ in reversed(spans):
         text = text[:s] + " , " + text[e:]
-    return text
+    return text, _WORD.findall(text.lower())
 
 
 def _words_of(text: str) -> list[str]:
     """The words of a text, in small letters, without hesitation sounds; of a word said over and over, one."""
     out: list[str] = []
     for w in _WORD.findall(text.lower()):
-        if not (out and out[-1] == w) and not (w[0] in "ăâîhmueэмхaа" and _UH.fullmatch(w)):
+        if not (out and out[-1] == w) and not _hesitates(w):
             out.append(w)
     return out
 
 
+def _hesitates(word: str) -> bool:
+    return word[0] in "ăâîhmueэмхaа" and _UH.fullmatch(word) is not None
+
+
 # ---- features
 
 
@@ -188,18 +202,46 @@ def _margins(weights: np.ndarray, grams: list[int]) -> np.ndarray:
     return np.clip(weights[:, grams].sum(axis=1) / len(grams) ** 0.5, -1.5, 1.5)
 
 
+#: Words that this worker has scored, by the weights: Model.seen and Model.heard of the last model.
+_KEPT: dict[bytes, tuple[dict, dict]] = {}
+
+
 class Model:
     """Weights of three family classifiers and three one-versus-one machines, and the languages' priors."""
 
     def __init__(self, weights: np.ndarray, prior: tuple[float, ...] = (0.0,) * 6, by_table: dict[str, tuple[float, ...]] | None = None):
         self.weights, self.prior, self.by_table = weights, prior, by_table or {}
-        self.seen: dict[str, tuple[float, ...]] = {}
+        self.seen: dict[str, tuple] = {}
+        self.heard: dict[str, tuple | None] = {}
 
     def __getstate__(self):
         return self.weights, self.prior, self.by_table
 
     def __setstate__(self, state):
-        (self.weights, self.prior, self.by_table), self.seen = state, {}
+        self.weights, self.prior, self.by_table = state
+        # a worker's tasks bring the same weights, one after the other: what they give for a word is kept
+        key = hashlib.blake2b(self.weights.tobytes()).digest()
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = {}, {}
+        self.seen, self.heard = _KEPT[key]
+
+    def spoken(self, words: list[str]) -> list[tuple]:
+        """What `word` has for the words of a text as _words_of finds them, given all words in small letters."""
+        out, last, heard = [], None, self.heard
+        for w in words:
+            if w == last:
+                continue
+            try:
+                got = heard[w]
+            except KeyError:
+                if len(heard) > 300_000:
+                    heard.clear()
+                got = heard[w] = None if _hesitates(w) else self.word(w)
+            if got is not None:
+                out.append(got)
+                last = w
+        return out
 
     def word(self, word: str) -> tuple[tuple[float, ...], int, tuple[tuple[float, float], ...], tuple[int, ...]]:
         """The word's scores for the families and the best of them; for each family the scores of its two languages and the better one."""
@@ -331,14 +373,41 @@ def sample_and_totals(rows: DataFrame, bound: int = SAMPLE_ROWS) -> tuple[list[t
 # ---- stretches
 
 
-def _runs(scores: Sequence[tuple[float, ...]], best_of: Sequence[int], prior: Sequence[float], start: Sequence[float]) -> list[list[int]]:
+def _path(scores: Sequence[tuple[float, ...]], x: int, y: int, prior: Sequence[float], start: Sequence[float]) -> list[int]:
+    """The best path through the scores of two choices; of equal ones the first."""
+    bx, by, px, py = start[x], start[y], prior[x], prior[y]
+    back = []
+    for s in scores:
+        top = bx if bx >= by else by
+        first = bx >= by
+        move = top - SWITCH + px
+        if bx >= move:
+            nx, fx = bx, True
+        else:
+            nx, fx = move, first
+        move = top - SWITCH + py
+        if by >= move:
+            ny, fy = by, False
+        else:
+            ny, fy = move, first
+        back.append((fx, fy))
+        bx, by = nx + s[x], ny + s[y]
+    at = bx >= by
+    path = [x if at else y]
+    for fx, fy in back[:0:-1]:
+        at = fx if at else fy
+        path.append(x if at else y)
+    path.reverse()
+    return path
+
+
+def _runs(scores: Sequence[tuple[float, ...]], best_of: Sequence[int], prior: Sequence[float], start: Sequence[float], totals: Sequence[float]) -> list[list[int]]:
     """Runs [first, end, choice] of the best path through the scores, less SWITCH for each change of choice.
 
-    best_of is the best choice by each of the scores, prior the handicap of a choice where it takes over, start its lead at the beginning. A run other than the main one stands only if it is
+    best_of is the best choice by each of the scores, prior the handicap of a choice where it takes over, start its lead at the beginning, totals its lead with all scores. A run other than the main one stands only if it is
     long enough for a clause and clearly ahead; else it goes to a neighbour.
     """
     n = len(scores)
-    totals = [p + sum(x) for p, x in zip(start, zip(*scores))]
     only = totals.index(max(totals))
     # a stretch of another choice needs words that are best in it
     if n - best_of.count(only) < LEAST_STRETCH:
@@ -346,21 +415,24 @@ def _runs(scores: Sequence[tuple[float, ...]], best_of: Sequence[int], prior: Se
     langs = [x for x in range(len(prior)) if x == only or best_of.count(x) >= LEAST_STRETCH]
     if len(langs) == 1:
         return [[0, n, only]]
-    best = {x: start[x] for x in langs}
-    back: list[dict[int, int]] = []
-    for s in scores:
-        top = max(langs, key=best.__getitem__)
-        step, frm = {}, {}
-        for x in langs:
-            stay, move = best[x], best[top] - SWITCH + prior[x]
-            step[x], frm[x] = (stay, x) if stay >= move else (move, top)
-            step[x] += s[x]
-        back.append(frm)
-        best = step
-    path = [max(langs, key=best.__getitem__)]
-    for frm in reversed(back[1:]):
-        path.append(frm[path[-1]])
-    path.reverse()
+    if len(langs) == 2:
+        path = _path(scores, *langs, prior, start)
+    else:
+        best = {x: start[x] for x in langs}
+        back: list[dict[int, int]] = []
+        for s in scores:
+            top = max(langs, key=best.__getitem__)
+            step, frm = {}, {}
+            for x in langs:
+                stay, move = best[x], best[top] - SWITCH + prior[x]
+                step[x], frm[x] = (stay, x) if stay >= move else (move, top)
+                step[x] += s[x]
+            back.append(frm)
+            best = step
+        path = [max(langs, key=best.__getitem__)]
+        for frm in reversed(back[1:]):
+            path.append(frm[path[-1]])
+        path.reverse()
     runs: list[list[int]] = []
     for i, x in enumerate(path):
         if runs and runs[-1][2] == x:
@@ -402,34 +474,40 @@ def stretches(model: Model, text: str | None, tab: str | None = None, probs: dic
     """
     if not text:
         return 0, []
-    clean = spoken_text(text)
-    words = _words_of(clean)
-    spoken = len(words)
+    clean, words = _spoken(text)
+    known = model.spoken(words)
+    n = spoken = len(known)
     if spoken < LEAST_WORDS:  # numbers are spoken too
         spoken = sum(not _UH.fullmatch(w) for w in _SPOKEN.findall(clean))
-    if not words:
+    if not known:
         return spoken, []
     prior = model.by_table.get(tab, model.prior)
     start = list(prior)
     for x, p in (probs or {}).items():
         if x in LANGS and p is not None:
             start[LANGS.index(x)] += EVIDENCE * math.log(min(1.0, max(p, 0.05)))
-    known = [model.word(w) for w in words]
-    by_family, first, second, closer = zip(*known)
+    by_family = [k[0] for k in known]
     family_prior = _families(prior)
     family_start = _families(tuple(start)) if probs else family_prior
+    totals = _totals(by_family, family_start)
     out: list[tuple[int, int, str, float]] = []
-    for b, e, f in _runs(by_family, first, family_prior, family_start):
-        sure = _confidence([p + sum(x) for p, x in zip(family_start, zip(*by_family[b:e]))], f, e - b)
-        within = [x[f] for x in second[b:e]]
+    for b, e, f in _runs(by_family, [k[1] for k in known], family_prior, family_start, totals):
+        sure = _confidence(totals if e - b == n else _totals(by_family[b:e], family_start), f, e - b)
+        own = known if e - b == n else known[b:e]
+        within = [k[2][f] for k in own]
         pair = [p - family_prior[f] for p in prior[2 * f : 2 * f + 2]]
         pair_start = [p - family_start[f] for p in start[2 * f : 2 * f + 2]]
-        for b2, e2, x in _runs(within, [c[f] for c in closer[b:e]], pair, pair_start):
-            close = _confidence([p + sum(s) for p, s in zip(pair_start, zip(*within[b2:e2]))], x, e2 - b2)
+        both = _totals(within, pair_start)
+        for b2, e2, x in _runs(within, [k[3][f] for k in own], pair, pair_start, both):
+            close = _confidence(both if e2 - b2 == e - b else _totals(within[b2:e2], pair_start), x, e2 - b2)
             out.append((b + b2, b + e2, LANGS[2 * f + x], round(sure * close, 4)))
     return spoken, out
 
 
+def _totals(scores: Sequence[tuple[float, ...]], start: Sequence[float]) -> list[float]:
+    return [p + sum(x) for p, x in zip(start, zip(*scores))]
+
+
 def _confidence(totals: list[float], x: int, n: int) -> float:
     """Logistic of the mean margin over the best rival, sharper for longer stretches."""
     ahead = totals[x] - max(t for i, t in enumerate(totals) if i != x)

@@ -95,8 +95,11 @@ def fold(word: str) -> str:
     return "".join(ch for ch in low if not unicodedata.combining(ch))
 
 
-def structured(text: str) -> list[tuple[int, int, str]]:
-    """Spans of e-mail addresses, phone and identity numbers and street addresses; earlier kinds take precedence."""
+def structured(text: str, words: list[str] | None = None) -> list[tuple[int, int, str]]:
+    """Spans of e-mail addresses, phone and identity numbers and street addresses; earlier kinds take precedence.
+
+    words: the text's words in small letters, where they are known.
+    """
     spans: list[tuple[int, int, str]] = []
 
     def add(kind: str, start: int, end: int) -> None:
@@ -120,7 +123,7 @@ def structured(text: str) -> list[tuple[int, int, str]]:
                 enough = kind == "idnum" or 9 <= sum(ch.isdigit() for ch in m.group()) <= 15
                 if enough and not _GOODS.search(text, max(0, m.start() - 60), m.start()):
                     add(kind, *m.span())
-    if len(low) > 24 and sum(map(_DIGITS.__contains__, _WORD.findall(low))) >= 7:
+    if len(low) > 24 and sum(map(_DIGITS.__contains__, _WORD.findall(low) if words is None else words)) >= 7:
         add_all("phone", PHONE_SPOKEN)
     if _ANY_DIGIT.search(low):
         if any(x in low for x in _NEED_STREET):
